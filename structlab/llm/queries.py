@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structlab.llm.common import table
 from structlab.llm.exact_dedup import exact_dedup
 from structlab.llm.hilbert_shard import hilbert_shards
+from structlab.llm.quality_rules import apply_rules, fit_rules
+from structlab.llm.secret_ledger import BASE_RULES, RULES, joined_spans, ordered_spans, scan
 from structlab.llm.source_mix import mix_sources
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = fit_rules(docs, table(spark, sf_dir, "labels"))
+    judged = apply_rules(docs, rules)
+    return judged.select(
+        F.col("row_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
     return placed.select(
@@ -31,10 +42,26 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = scan(table(spark, sf_dir, "documents"))
+    rows = found.select("path_id", ordered_spans(F.col("findings"), BASE_RULES).alias("base"), ordered_spans(F.col("findings"), RULES).alias("every"))
+    counts = [count_of("base", r.kind).alias(f"n_{r.kind}") for r in BASE_RULES]
+    return rows.select(
+        F.col("path_id").alias("doc_id"), *counts,
+        F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("every")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op7_source_mix": op7_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_secret_ledger": op10_secret_ledger,
 }
 
 ORACLES = {
