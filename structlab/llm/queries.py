@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structlab.llm.best_fit_pack import pack_documents
 from structlab.llm.common import table
 from structlab.llm.exact_dedup import exact_dedup
 from structlab.llm.hilbert_shard import hilbert_shards
+from structlab.llm.html_consensus import extract_main_text
 from structlab.llm.quality_rules import apply_rules, fit_rules
 from structlab.llm.secret_ledger import BASE_RULES, RULES, joined_spans, ordered_spans, scan
 from structlab.llm.source_mix import mix_sources
@@ -30,6 +32,11 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages"))
+    return pages.select(F.col("row_id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -42,6 +49,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("row_id", "doc_id")
+
+
 def count_of(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -59,8 +73,10 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_html_consensus": op3_html_consensus,
     "op7_source_mix": op7_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_best_fit_pack": op9_best_fit_pack,
     "op10_secret_ledger": op10_secret_ledger,
 }
 
