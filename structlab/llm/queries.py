@@ -10,6 +10,7 @@ from structlab.llm.common import table
 from structlab.llm.exact_dedup import exact_dedup
 from structlab.llm.hilbert_shard import hilbert_shards
 from structlab.llm.html_consensus import extract_main_text
+from structlab.llm.jaccard_join import jaccard_components
 from structlab.llm.quality_rules import apply_rules, fit_rules
 from structlab.llm.secret_ledger import BASE_RULES, RULES, joined_spans, ordered_spans, scan
 from structlab.llm.source_mix import mix_sources
@@ -37,6 +38,11 @@ def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("row_id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return rows.select(F.col("row_id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -74,6 +80,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_html_consensus": op3_html_consensus,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_pack": op9_best_fit_pack,
