@@ -14,6 +14,7 @@ from structlab.llm.jaccard_join import jaccard_components
 from structlab.llm.quality_rules import apply_rules, fit_rules
 from structlab.llm.secret_ledger import BASE_RULES, RULES, joined_spans, ordered_spans, scan
 from structlab.llm.source_mix import mix_sources
+from structlab.llm.suffix_dedup import suffix_dedup
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,15 @@ def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("row_id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return rows.select(
+        F.col("row_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
     return rows.select(F.col("row_id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -80,6 +90,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_html_consensus": op3_html_consensus,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
