@@ -13,6 +13,7 @@ from structlab.llm.html_consensus import extract_main_text
 from structlab.llm.jaccard_join import jaccard_components
 from structlab.llm.quality_rules import apply_rules, fit_rules
 from structlab.llm.secret_ledger import BASE_RULES, RULES, joined_spans, ordered_spans, scan
+from structlab.llm.skip_chain_pii import KINDS, find_personal_data
 from structlab.llm.source_mix import mix_sources
 from structlab.llm.suffix_dedup import suffix_dedup
 
@@ -48,6 +49,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
+    return rows.select(
+        F.col("row_id").alias("doc_id"), *counts,
+        F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
     return rows.select(F.col("row_id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -91,6 +101,7 @@ QUERIES = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_html_consensus": op3_html_consensus,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_skip_chain_pii": op5_skip_chain_pii,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
