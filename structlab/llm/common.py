@@ -68,5 +68,19 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(marked, SPACE, "")).cast("long")
 
 
+def one_row_per_id(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` without further rows of an id that it holds already (rows without an id all stay).
+
+    Only rows whose id repeats are compared; usually there are none.
+    """
+    repeated = df.groupBy(id_col).count().filter((F.col("count") > 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
+    repeated = Scratch(df.sparkSession, "repeated").save(repeated, "ids")
+    if repeated.isEmpty():
+        return df
+    ids = bounded(repeated, 1_000_000)
+    single = df.join(ids, F.col(id_col) == F.col("__id"), "left_anti")
+    return single.unionByName(df.join(ids, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

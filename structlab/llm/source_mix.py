@@ -62,43 +62,65 @@ def draws(row_id: Column, seed: str = "mix", n: int = DRAWS) -> list[Column]:
     return out[:n]
 
 
-def mix_sources(
+def mix_plan(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix",
-    weights=WEIGHTS, share: float = SHARE, cap: int = CAP, source_bound: int = SOURCE_BOUND, size: Column | None = None,
+    weights=WEIGHTS, share: float = SHARE, cap: int = CAP, source_bound: int = SOURCE_BOUND,
 ) -> DataFrame:
-    """Copies of each row: row_id, size, source_size, target, rate, copies.
+    """One row per source: source, source_size, target, rate, draw (which of the Bernoulli draws it uses).
 
     A document's size is its number of words (null text: 0).  Each source's sum
     of Bernoulli copies is steered by choosing, per source, among ``DRAWS``
     seeds the one whose emitted words come nearest to the expectation; every
-    draw on its own has the fraction as its probability.  A document never
-    exceeds ``cap`` copies.  Sums combine before the shuffle, and rates reach
-    the documents by a broadcast of checked size, so a hot source is no
-    bottleneck; beyond ``source_bound`` sources the join is shuffled and
-    adaptive execution splits hot keys.
-
-    Rows that repeat an id share its draw.  Sources of size 0 have target 0.
-    An empty table gives an empty result.
+    draw on its own has the fraction as its probability.  Sums combine before
+    the shuffle, and rates reach the documents by a broadcast of checked size,
+    so a hot source is no bottleneck; beyond ``source_bound`` sources the join
+    is shuffled and adaptive execution splits hot keys.
     """
     work = Scratch(df.sparkSession, "source-mix")
-    rows = df.select(
-        F.col(id_col).alias("row_id"),
-        F.col(source_col).alias("source"),
-        (word_count(F.col(text_col)) if size is None else size).cast("long").alias("size"),
-    )
+    rows = df.select(F.col(id_col).alias("row_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = work.save(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = work.save(source_targets(sizes, weights, share, cap), "targets")
     n_sources = rates.count()
-    match = F.col("r.source").eqNullSafe(F.col("t.source"))
-    rated = rows.alias("r").join(bounded(rates, source_bound, n_sources).alias("t"), match)
-    rated = rated.select("r.row_id", "r.source", "r.size", "t.source_size", "t.target", "t.rate")
+    rated = rows.alias("r").join(bounded(rates, source_bound, n_sources).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    rated = rated.select("r.row_id", "r.source", "r.size", "t.source_size", "t.rate")
     fraction = F.col("rate") - F.floor("rate")
     took = [F.sum(F.when(u < fraction, F.col("size")).otherwise(0)).alias(f"d{k}") for k, u in enumerate(draws(F.col("row_id"), seed))]
     sums = rated.groupBy("source").agg(F.first(fraction * F.col("source_size")).alias("expected"), *took)
     off = F.array(*[F.abs(F.col(f"d{k}") - F.col("expected")) for k in range(DRAWS)])
-    best = work.save(sums.select("source", F.array_position(off, F.array_min(off)).cast("int").alias("draw")), "draws")
-    final = rated.alias("r").join(bounded(best, source_bound, n_sources).alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")))
-    u = F.element_at(F.array(*draws(F.col("r.row_id"), seed)), F.col("b.draw"))
-    copies = F.floor("r.rate") + F.when(u < F.col("r.rate") - F.floor("r.rate"), 1).otherwise(0)
-    return final.select("r.row_id", "r.size", "r.source_size", "r.target", "r.rate", copies.cast("int").alias("copies"))
+    best = sums.select(F.col("source").alias("best_source"), F.array_position(off, F.array_min(off)).cast("int").alias("draw"))
+    plan = rates.join(best, F.col("source").eqNullSafe(F.col("best_source"))).drop("best_source")
+    plan = work.save(plan, "plan")
+    work.drop("sizes", "targets")
+    return plan
+
+
+def copies_of(row_id: Column, rate: Column, draw: Column, seed: str = "mix") -> Column:
+    """floor(rate) copies and one more if the row's draw is below the fraction."""
+    u = F.element_at(F.array(*draws(row_id, seed)), draw)
+    return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
+def mix_sources(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix",
+    weights=WEIGHTS, share: float = SHARE, cap: int = CAP, source_bound: int = SOURCE_BOUND,
+) -> DataFrame:
+    """row_id, size, source_size, target, rate and copies of each row.
+
+    A document never has more than ``cap`` copies.  Rows that repeat an id
+    share its draw.  Sources of size 0 have target 0.  An empty table gives an
+    empty result.
+    """
+    plan = mix_plan(df, id_col, text_col, source_col, seed, weights, share, cap, source_bound)
+    rows = df.select(F.col(id_col).alias("row_id"), F.col(source_col).alias("row_source"), word_count(F.col(text_col)).alias("size"))
+    rated = rows.join(bounded(plan, source_bound), F.col("row_source").eqNullSafe(F.col("source")))
+    return rated.select("row_id", "size", "source_size", "target", "rate", copies_of(F.col("row_id"), F.col("rate"), F.col("draw"), seed).alias("copies"))
+
+
+def emit_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", source_bound: int = SOURCE_BOUND) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it; texts aren't shuffled while rates are broadcast."""
+    plan = bounded(mix_plan(df, id_col, text_col, source_col, seed, source_bound=source_bound), source_bound)
+    rows = df.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"))
+    rated = rows.join(plan, F.col("__source").eqNullSafe(F.col("source")))
+    copies = copies_of(F.col("__id"), F.col("rate"), F.col("draw"), seed)
+    return rated.select("__row", F.explode(F.array_repeat(F.lit(1), copies))).select("__row.*")
