@@ -7,6 +7,7 @@ Windows are partitioned by sequence, so no corpus passes through one task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,7 +115,6 @@ def lz78_phrases(tokens: Column) -> Column:
 
 def lz76_phrases(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_phrases): exhaustive-history parse; inherently sequential, so Arrow batches per partition."""
-    import pandas as pd
 
     def count(s: str) -> int:
         i, phrases, n = 0, 0, len(s)

@@ -1,4 +1,4 @@
 """Named queries over the test tables, each beside its DuckDB text."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from structlab.plans import events, sequences, texts  # noqa: F401
+from structlab.plans.registry import ORACLES, QUERIES  # noqa: F401
