@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +18,11 @@ LENGTH = 2048
 #: Pieces that one task packs, in expectation; a group wastes at most part of its last sequences.
 GROUP_PIECES = 4096
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_200_000
+#: ASCII without controls, and the accented letters of Latin-1, whose lower case and composed form are one character each.
+_PLAIN = re.compile("[\\x21-\\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+#: Fixed value: what the tokenizer splits such text into.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 
 class ChunkEncoder:
@@ -25,24 +30,42 @@ class ChunkEncoder:
 
     The tokenizer drops white space and no token spans it, so the ids of a text
     are those of its chunks between spaces and line ends, one after the other.
+    A chunk of plain Latin characters is in turn its lower-cased words, digits
+    and runs of other signs; those repeat far more often than whole chunks.
+    Any other chunk, and one that may hold a special token, goes to the
+    tokenizer as it is.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _split(self, chunk: str) -> list[str]:
+        return _PARTS.findall(chunk.lower()) if _PLAIN.fullmatch(chunk) and "<|" not in chunk else [chunk]
+
+    def _learn(self, chunks: set[str]) -> None:
+        split = {c: self._split(c) for c in chunks}
+        new = [p for p in {p for parts in split.values() for p in parts} if p not in self.parts]
+        for part, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[part] = b"".join([i.to_bytes(4, "little") for i in coded.ids])
+        for chunk, parts in split.items():
+            self.chunks[chunk] = b"".join([self.parts[p] for p in parts])
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in set(chunks) if c not in self.known]
-        if new:
-            if len(self.known) > CACHE_CHUNKS:
-                self.known = {"": b""}
-                new = [c for c in set(chunks) if c]
-            for chunk, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[chunk] = b"".join(i.to_bytes(4, "little") for i in coded.ids)
-        known = self.known
+        known = self.chunks
+        try:
+            return b"".join([known[c] for c in chunks])
+        except KeyError:
+            if len(known) > CACHE_CHUNKS:
+                known = self.chunks = {"": b""}
+            if len(self.parts) > CACHE_CHUNKS:
+                self.parts = {}
+            self._learn({c for c in chunks if c not in known})
         return b"".join([known[c] for c in chunks])
 
 
