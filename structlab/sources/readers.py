@@ -71,8 +71,8 @@ def split_rows(df: DataFrame, separator: str) -> DataFrame:
 def atf_tokens(lines: Column) -> Column:
     """Sign tokens of an ATF text line: null for structure and comment lines; line numbers, comments and determiners taken out."""
     body = F.regexp_replace(lines, r"^\s*\d+['\w]*\.\s*", "")
-    body = F.regexp_replace(body, r"\(\$[^)]*\$\)|\{[^}]*\}|#.*$", " ")
-    body = F.regexp_replace(body, r"[\[\]<>!?*,;]", " ")
+    body = F.regexp_replace(body, r"\(\$[^)]*\$\)|\{[^}]*\}|\s#.*$", " ")
+    body = F.regexp_replace(body, r"[\[\]<>!?*#,;]", " ")
     tokens = F.filter(F.split(F.trim(body), r"\s+"), lambda t: ~t.isin("", "...", "x", "X", "|"))
     return F.when(~F.trim(lines).rlike(r"^([&@$#>=]|$)"), tokens)
 
