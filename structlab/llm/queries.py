@@ -11,6 +11,7 @@ from structlab.llm.exact_dedup import exact_dedup
 from structlab.llm.hilbert_shard import hilbert_shards
 from structlab.llm.html_consensus import extract_main_text
 from structlab.llm.jaccard_join import jaccard_components
+from structlab.llm.oracles import ORACLES  # noqa: F401
 from structlab.llm.quality_rules import apply_rules, fit_rules
 from structlab.llm.secret_ledger import BASE_RULES, RULES, joined_spans, ordered_spans, scan
 from structlab.llm.skip_chain_pii import KINDS, find_personal_data
@@ -108,15 +109,3 @@ QUERIES = {
     "op9_best_fit_pack": op9_best_fit_pack,
     "op10_secret_ledger": op10_secret_ledger,
 }
-
-ORACLES = {
-    "op8_exact_dedup": """
-        SELECT doc_id,
-               max(doc_id) OVER g AS keep_id,
-               count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents
-        WINDOW g AS (PARTITION BY coalesce(text, ''))
-    """,
-}
