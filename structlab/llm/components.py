@@ -11,6 +11,14 @@ from structlab.llm.common import Scratch, bounded
 NODE_BOUND = 1_000_000
 
 
+def is_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only, and that one has none: then components are done."""
+    roots = edges.select("v").distinct().select(F.col("v").alias("u"))
+    if not edges.join(bounded(roots, NODE_BOUND), "u", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("u").count().filter("count > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, work: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
 
@@ -23,8 +31,9 @@ def connected_components(edges: DataFrame, work: Scratch | None = None) -> DataF
     work = work or Scratch(edges.sparkSession, "components")
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     current = work.save(pairs, "edges0")
-    before = None
     for k in range(1, 60):
+        if is_stars(current):
+            break
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = work.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"large{k}")
         large = both.join(bounded(low, NODE_BOUND), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,12 +41,7 @@ def connected_components(edges: DataFrame, work: Scratch | None = None) -> DataF
         low2 = work.save(large.groupBy("u").agg(F.min("v").alias("m")), f"small{k}")
         small = large.join(bounded(low2, NODE_BOUND), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = work.save(small.filter("u <> v").distinct(), f"edges{k}")
-        stamp = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        current = work.save(small.filter("u <> v").distinct(), f"edges{k}")
         work.drop(f"edges{k - 1}", f"large{k}", f"mid{k}", f"small{k}")
-        current = after
-        if stamp == before:
-            break
-        before = stamp
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,10 @@ from structlab.llm.components import connected_components
 CELLS, SLICES = 1 << 20, 64
 #: Most ids that are broadcast to pick rows.
 ID_BOUND = 1_000_000
+#: Ranges of hashes that a row's n-grams are counted in.
+RANGES = 32
+#: Prefix n-grams that two linked rows are made to share (fewer in rows too small for that).
+SHARED = 4
 
 
 def _order(row: np.ndarray, value: np.ndarray, load: np.ndarray | None) -> np.ndarray:
@@ -99,9 +103,12 @@ def load_classes(scanned: DataFrame, rows: int) -> np.ndarray:
 
 
 def row_prefixes(df: DataFrame, n: int, percent: int, load: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, size, grams): the first size - ceil(percent * size / 100) + 1 n-grams of each row.
+    """(row_id, size, grams, ranges): the first size - o + s n-grams of each row, with o = ceil(percent * size / 100) the
+    least overlap of a link and s = min(SHARED, o).
 
-    Two linked rows share one of these, whatever the common order is.
+    Two linked rows share at least the smaller s of these, whatever the common order is.  ``ranges`` counts all
+    n-grams of the row by their hash's range (null if a count is too large for it): an overlap is at most the sum of
+    the smaller counts.
     """
     id_type = df.select(id_col).schema[0].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(load)
@@ -115,13 +122,19 @@ def row_prefixes(df: DataFrame, n: int, percent: int, load: np.ndarray, id_col:
                 row, value = row[order], value[order]
                 size = np.bincount(row, minlength=high - low)
                 first = np.concatenate(([0], np.cumsum(size)[:-1]))
-                most = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+                least = (percent * size + 99) // 100
+                most = np.where(size > 0, size - least + np.minimum(SHARED, least), 0)
                 head = np.arange(len(row)) - first[row] < most[row]
                 grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(most))), pa.int32()), pa.array(value[head].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), grams], names=["row_id", "size", "grams"])
+                part = (value >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+                table = np.bincount(row * RANGES + part, minlength=(high - low) * RANGES).reshape(high - low, RANGES)
+                fits = table.max(1, initial=0) < 1 << 15
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.where(fits, RANGES, 0)))), pa.int32())
+                ranges = pa.ListArray.from_arrays(ends, pa.array(table[fits].ravel().astype(np.int16)), mask=pa.array(~fits))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), grams, ranges], names=["row_id", "size", "grams", "ranges"])
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(scan, f"row_id {id_type}, size long, grams array<long>")
+    return rows.mapInArrow(scan, f"row_id {id_type}, size long, grams array<long>, ranges array<short>")
 
 
 def full_sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -179,18 +192,26 @@ class JaccardJoin:
         work, percent = self.work, self.percent
         scanned = work.save(row_sets(self.df, self.n, self.id_col, self.text_col), "scanned")
         sets = scanned.filter("slice is null").select("row_id", "size", "sig1", "sig2")
+        ids = sets.groupBy("row_id").count()
+        self.unique = ids.filter("count > 1").isEmpty()
         key = ["size", "sig1", "sig2"]
         classes = work.save(sets.filter("size > 0").groupBy(*key).agg(F.min("row_id").alias("rep")), "classes")
         n_classes = classes.count()
         load = load_classes(scanned, max(1, n_classes))
         reps = bounded(classes.select(F.col("rep").alias("row_id")), ID_BOUND, n_classes)
         heads = row_prefixes(self.df, self.n, percent, load, self.id_col, self.text_col)
-        heads = work.save(heads.join(reps, "row_id", "left_semi").dropDuplicates(["row_id"]), "heads")
+        heads = heads.join(reps, "row_id", "left_semi")
+        heads = work.save(heads if self.unique else heads.dropDuplicates(["row_id"]), "heads")
         entries = heads.select("row_id", "size", F.posexplode("grams").alias("pos", "gram"))
         counted = entries.groupBy("gram").agg(F.count("*").alias("n"))
         shared = work.save(counted.filter("n > 1").select("gram"), "shared")
-        entries = work.save(entries.join(bounded(shared, ID_BOUND), "gram", "left_semi"), "entries")
-        work.drop("heads", "shared")
+        entries = entries.join(shared, "gram", "left_semi")
+        before = F.row_number().over(Window.partitionBy("row_id").orderBy("pos")) - 1
+        least = F.expr(f"({percent} * size + 99) div 100")
+        entries = work.save(entries.withColumn("before", before).filter(F.col("before") + F.col("size") - F.col("pos") >= least), "entries")
+        self.heads = heads.select("row_id", "ranges")
+        work.drop("shared")
+        work.release()
         band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
         entries = entries.withColumn("band", band)
         pivots = entries.groupBy("gram", "band").agg(F.min(F.struct("row_id", "size", "pos")).alias("p"), F.count("*").alias("n"))
@@ -212,7 +233,10 @@ class JaccardJoin:
         return least.select("row_id", "size", F.coalesce("component", "row_id").alias("component"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Sum partial overlaps per pair and drop pairs below their bound."""
+        """Sum partial overlaps per pair; drop pairs that share too few prefix n-grams or can't reach their bound.
+
+        A pivot's pairs are counted in its own blocks only, so a link may be missed here and found across components.
+        """
         ordered = F.col("a") < F.col("b")
         swap = lambda c: F.when(ordered, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
         back = lambda c: F.when(ordered, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
@@ -222,22 +246,32 @@ class JaccardJoin:
         )
         summed = fit.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("overlap"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
         most = F.col("overlap") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
-        return summed.filter(most >= _need(self.percent, "size_a", "size_b")).select("a", "b", "size_a", "size_b")
+        enough = F.least(F.lit(SHARED), F.expr(f"({self.percent} * least(size_a, size_b) + 99) div 100"))
+        return summed.filter((F.col("overlap") >= enough) & (most >= _need(self.percent, "size_a", "size_b"))).select("a", "b", "size_a", "size_b")
 
     def across(self, entries: DataFrame, found: DataFrame) -> DataFrame:
-        """Products within blocks that hold more than one component, across components only."""
+        """Products within blocks that hold more than one component, across components only.
+
+        ``before`` counts a row's earlier prefix n-grams that some other row has too; only those can have matched
+        already, so at any shared n-gram the overlap is at most the smaller count plus the smaller rest.
+        """
         known = bounded(found, ID_BOUND)
-        rows = entries.join(known, F.col("row_id") == F.col("node"), "left").select("gram", "row_id", "size", "pos", F.coalesce("component", "row_id").alias("component"))
+        rows = entries.join(known, F.col("row_id") == F.col("node"), "left").select("gram", "row_id", "size", "pos", "before", F.coalesce("component", "row_id").alias("component"))
         rows = self.work.save(rows, "rows")
         split = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         split = self.work.save(split.filter("low <> high").select("gram"), "split")
-        rows = self.work.save(rows.join(bounded(split, ID_BOUND), "gram", "left_semi"), "split_rows")
-        a = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("row_id", "size", "pos", "component")])
-        b = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_id", "size", "pos", "component")])
-        rest = F.least(F.col("pos_a"), F.col("pos_b")) + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+        rows = self.work.save(rows.join(split, "gram", "left_semi"), "split_rows")
+        wanted = self.work.save(rows.select("row_id").distinct(), "wanted")
+        ranges = self.work.save(self.heads.join(bounded(wanted, ID_BOUND), "row_id", "left_semi"), "ranges")
+        rows = rows.join(bounded(ranges, ID_BOUND // 4), "row_id")
+        a = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("row_id", "size", "pos", "before", "component", "ranges")])
+        b = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_id", "size", "pos", "before", "component", "ranges")])
+        rest = F.least(F.col("before_a"), F.col("before_b")) + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+        most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda n, x: n + x)
         pairs = a.join(b, "gram").filter(
             (F.col("row_id_a") < F.col("row_id_b")) & (F.col("component_a") != F.col("component_b"))
             & _sizes_fit(self.percent, "size_a", "size_b") & (rest >= _need(self.percent, "size_a", "size_b"))
+            & (F.coalesce(most, F.lit(1 << 40)) >= _need(self.percent, "size_a", "size_b"))
         )
         return pairs.select(F.col("row_id_a").alias("a"), "size_a", "pos_a", F.col("row_id_b").alias("b"), "size_b", "pos_b")
 
@@ -250,12 +284,13 @@ class JaccardJoin:
             return pairs.sparkSession.createDataFrame([], T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
         chosen = self.df.join(bounded(ids, ID_BOUND, n_ids), F.col(self.id_col) == F.col("row_id"), "left_semi")
         sets = self.work.save(full_sets(chosen, self.n, self.id_col, self.text_col), "sets")
-        sets = sets.dropDuplicates(["row_id"]) if self.df.count() != self.df.select(self.id_col).distinct().count() else sets
+        sets = sets if self.unique else sets.dropDuplicates(["row_id"])
         joined = pairs.join(sets.select(F.col("row_id").alias("a"), F.col("grams").alias("grams_a")), "a")
         joined = joined.join(sets.select(F.col("row_id").alias("b"), F.col("grams").alias("grams_b")), "b")
         overlap = F.size(F.array_intersect("grams_a", "grams_b"))
         out = self.work.save(joined.filter(overlap >= _need(self.percent, "size_a", "size_b")).select("a", "b"), "verified")
         self.work.drop("ids", "sets")
+        self.work.release()
         return out
 
 
