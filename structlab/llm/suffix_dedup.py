@@ -23,6 +23,9 @@ LEAST = 100
 #: Bytes of an anchor; a power of two.  Every string of LEAST bytes holds an anchor that its other copies hold too.
 ANCHOR = 32
 REACH = LEAST - ANCHOR
+#: Strings around an anchor by their bytes to the left of it: from each of these to STEP more.
+STEP = 17
+STEPS = (0, 17, 34, 51)
 #: Surroundings that one shard sorts, in expectation, and the most of one anchor that go to a shard.
 SHARD_TEXTS, ANCHOR_TEXTS = 1500, 5000
 ID_BOUND = 1_000_000
@@ -52,17 +55,17 @@ def _slid(x: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position, anchor hash, hash of the surroundings): winnowing.
+def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, position, bytes to the left, bytes to the right, anchor hash, hash of the surroundings): winnowing.
 
     A position is an anchor if its hash is least in some string of LEAST bytes
-    that lies within its row.  The surroundings reach REACH bytes to the left
-    and LEAST to the right, less at a row's ends: all such strings that hold
-    the anchor.
+    that lies within its row.  Its surroundings are those strings and no
+    others, so nearly every string is in the surroundings of one anchor only
+    (of several where hashes tie), and of the same one wherever it occurs.
     """
     none = np.zeros(0, np.int64)
     if len(raw) < LEAST:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     h = _doubled(raw)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     end = offsets[1:][row]
@@ -73,31 +76,38 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     top = _slid(least[::-1].copy(), REACH + 1, np.maximum)[::-1]
     pos = np.flatnonzero((top == h) & (at + ANCHOR <= end) & (top > 0))
     row = row[pos]
-    first = np.maximum(offsets[:-1][row], pos - REACH)
-    last = np.minimum(offsets[1:][row], pos + LEAST)
+    # The strings in which the anchor is least start at most REACH before it: the first and last of those starts.
+    ahead = np.full(len(pos), -1, np.int64)
+    behind = np.full(len(pos), -1, np.int64)
+    for back in range(REACH, -1, -1):
+        start = pos - back
+        mine = (start >= offsets[:-1][row]) & (least[np.maximum(start, 0)] == h[pos])
+        ahead[mine & (ahead < 0)] = back
+        behind[mine] = back
+    first, last = pos - ahead, pos - behind + LEAST
     with np.errstate(over="ignore"):
         around = (pos - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - pos).astype(np.uint64)
         for k in range(6):
             around = textnum.mix(around * _WEIGHTS[k] + h[np.minimum(first + 32 * k, last - ANCHOR)])
-    return row, pos - offsets[:-1][row], h[pos], around
+    return row, pos - offsets[:-1][row], pos - first, last - pos, h[pos], around
 
 
 def anchor_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, pos, anchor, around) for every anchor of every text."""
+    """(row_id, pos, left, right, anchor, around) for every anchor of every text."""
     id_type = df.select(id_col).schema[0].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = textnum.utf8(batch.column(1))
             for low, high in textnum.pieces(raw, offsets):
-                row, pos, anchor, around = anchors(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                row, pos, left, right, anchor, around = anchors(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + low)), pa.array(pos), *(pa.array(x.view(np.int64)) for x in (anchor, around))],
-                    names=["row_id", "pos", "anchor", "around"],
+                    [batch.column(0).take(pa.array(row + low)), pa.array(pos), *(pa.array(x.astype(np.int16)) for x in (left, right)), *(pa.array(x.view(np.int64)) for x in (anchor, around))],
+                    names=["row_id", "pos", "left", "right", "anchor", "around"],
                 )
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(scan, f"row_id {id_type}, pos long, anchor long, around long")
+    return rows.mapInArrow(scan, f"row_id {id_type}, pos long, left short, right short, anchor long, around long")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,37 +120,31 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], ends[np.concatenate((at[1:] - 1, [len(ends) - 1]))] if len(at) else ends
 
 
-def repeated_starts(texts: list[bytes], places: list[tuple]) -> list[tuple]:
-    """Of each text, the starts of LEAST-byte strings that occur at an earlier place in any of the texts.
+def repeated_starts(texts: list[bytes], rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of the LEAST-byte strings of the texts that occur at an earlier (row, start) in any of them.
 
-    ``places``: (id, offset) of each text.  One suffix array over all texts, a
-    separator between them; suffixes that share LEAST symbols are neighbours.
+    ``rows`` and ``starts`` (below 2^32) say where each text lies.  One suffix
+    array over all texts, a separator after each; suffixes that share LEAST
+    symbols are neighbours.
     """
-    parts, at, owner = [], [], []
-    for k, t in enumerate(texts):
-        parts.append(np.frombuffer(t, np.uint8).astype(np.int64) + 1)
-        parts.append(np.zeros(1, np.int64))
-        at.append(np.arange(len(t) + 1))
-        owner.append(np.full(len(t) + 1, k))
-    symbols, at, owner = np.concatenate(parts), np.concatenate(at), np.concatenate(owner)
     sizes = np.array([len(t) for t in texts])
+    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    symbols = np.insert(raw, np.cumsum(sizes), 0)
+    owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    at = np.arange(len(symbols)) - np.repeat(np.concatenate(([0], np.cumsum(sizes + 1)[:-1])), sizes + 1)
     order = suffix_array(symbols, 257)
     common = np.array(permuted_common_prefixes(symbols.tolist(), order, LEAST))
     order = np.array(order)
-    whole = at[order] + LEAST <= sizes[owner[order]]
     group = np.cumsum(common[order] < LEAST)
+    whole = at[order] + LEAST <= sizes[owner[order]]
     order, group = order[whole], group[whole]
-    out: list[tuple] = []
-    low, n = 0, len(order)
-    cuts = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1 if n else []
-    owners, starts = owner.tolist(), at.tolist()
-    for high in cuts:
-        if high - low > 1:
-            found = [(places[owners[i]][0], places[owners[i]][1] + starts[i]) for i in order[low:high].tolist()]
-            first = min(found)
-            out += {p for p in found if p != first}
-        low = high
-    return out
+    if not len(order):
+        return rows[:0], starts[:0]
+    place = (rows[owner[order]] << np.int64(32)) + starts[owner[order]] + at[order]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    least = np.repeat(np.minimum.reduceat(place, first), np.diff(np.concatenate((first, [len(place)]))))
+    later = np.unique(place[place != least])
+    return later >> np.int64(32), later & np.int64((1 << 32) - 1)
 
 
 class SuffixDedup:
@@ -151,10 +155,13 @@ class SuffixDedup:
        hold all such strings around it.  Anchors found once are done with.
     2. Where anchor and surroundings both repeat, everything in them starts
        earlier at their first occurrence: the later ones are removed whole.
-    3. First occurrences of different surroundings of one anchor meet in a
-       shard; its suffix array is induced, common prefixes are computed in
-       text order, and neighbours that share LEAST bytes are one string.
-    4. An anchor with more than ``anchor_texts`` different surroundings (a
+    3. First occurrences of different surroundings of one anchor may still
+       share strings.  Those that do share the inner part of one of STEPS
+       ranges of strings; a hash of each part tells which may be left out.
+    4. What is left meets in shards by anchor; a shard's suffix array is
+       induced, common prefixes are computed in text order, and neighbours
+       that share LEAST bytes are one string.
+    5. An anchor with more than ``anchor_texts`` different surroundings (a
        passage that very many documents share) doesn't go to a shard: its
        strings are compared by hash in an aggregate that combines before the
        shuffle.  Nothing is dropped.
@@ -189,24 +196,68 @@ class SuffixDedup:
         counts = work.save(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "counts")
         found = work.save(found.join(bounded(counts, ID_BOUND), "anchor", "left_semi"), "shared")
         work.drop("anchors", "counts")
-        pairs = found.groupBy("anchor", "around").agg(F.min(F.struct("row_id", "pos")).alias("first"), F.count("*").alias("n"))
+        pairs = found.groupBy("anchor", "around").agg(F.min(F.struct("row_id", "pos", "left", "right")).alias("first"), F.count("*").alias("n"))
         pairs = work.save(pairs, "pairs")
         repeated = pairs.filter("n > 1").select("anchor", "around", "first")
-        later = found.join(bounded(repeated, ID_BOUND), ["anchor", "around"]).filter(F.struct("row_id", "pos") != F.col("first"))
-        same = later.select("row_id", (F.col("pos") - REACH).alias("low"), (F.col("pos") + LEAST).alias("high"))
+        later = found.join(bounded(repeated, ID_BOUND), ["anchor", "around"]).filter(F.struct("row_id", "pos", "left", "right") != F.col("first"))
+        same = later.select("row_id", (F.col("pos") - F.col("left")).alias("low"), (F.col("pos") + F.col("right")).alias("high"))
         spread = work.save(pairs.groupBy("anchor").agg(F.count("*").alias("texts")).filter("texts > 1"), "spread")
-        open_rows = pairs.join(bounded(spread, ID_BOUND), "anchor").select("anchor", "texts", "first.row_id", "first.pos")
+        open_rows = pairs.join(bounded(spread, ID_BOUND), "anchor").select("anchor", "texts", "first.*")
         open_rows = work.save(open_rows, "open")
-        per_row = work.save(
-            open_rows.groupBy("row_id").agg(F.collect_list(F.struct("pos", "anchor", (F.col("texts") > self.anchor_texts).alias("hot"))).alias("spots")), "spots"
-        )
-        texts = rows.join(bounded(per_row, ID_BOUND // 4), "row_id")
+        near = self.near_spots(rows, open_rows)
+        hot = near.groupBy("anchor").agg((F.count("*") > self.anchor_texts).alias("hot"))
+        hot = work.save(hot, "hot_anchors")
+        near = work.save(near.join(bounded(hot, ID_BOUND), "anchor"), "near_hot")
+        texts = self.with_spots(rows, near, "pos", "anchor", "left", "right", "hot")
         parts = [same]
-        if open_rows.filter(F.col("texts") > self.anchor_texts).limit(1).count():
+        if near.filter("hot").limit(1).count():
             parts.append(self.by_hash(texts))
-        parts.append(self.by_suffix_array(texts, open_rows.count()))
+        parts.append(self.by_suffix_array(texts, near.count()))
         return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0].unionByName(parts[1]).unionByName(parts[2])
 
+    def with_spots(self, rows: DataFrame, spots: DataFrame, *columns: str) -> DataFrame:
+        """(row_id, body, spots) of the rows that have spots; a broadcast if there are few spots, else a join of these texts."""
+        lists = spots.groupBy("row_id").agg(F.collect_list(F.struct(*columns)).alias("spots"))
+        lists = self.work.save(lists, "lists")
+        return rows.join(bounded(lists, ID_BOUND, spots.count()), "row_id").select("row_id", "body", "spots")
+
+    def near_spots(self, rows: DataFrame, open_rows: DataFrame) -> DataFrame:
+        """(row_id, pos, anchor, left, right): open spots that may share a string with another one, cut down to the steps in which."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blake = hashlib.blake2b
+            for batch in batches:
+                at, pos, anchor, left, right, key = [], [], [], [], [], []
+                for k, (body, spots) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    raw = body.encode()
+                    for s in spots:
+                        p, a = s["pos"], s["anchor"]
+                        seed = a.to_bytes(8, "little", signed=True)
+                        for g in STEPS:
+                            # Strings with g to g + STEP bytes to the left of the anchor, of those that are its own.
+                            most, fewest = min(g + STEP, s["left"]), max(g, LEAST - s["right"])
+                            if fewest <= most:
+                                at.append(k)
+                                pos.append(p)
+                                anchor.append(a)
+                                left.append(most)
+                                right.append(LEAST - fewest)
+                                low, high = p - g, p + LEAST - STEP - g
+                                key.append(int.from_bytes(blake(raw[low:high], digest_size=8, key=seed, salt=bytes((g,))).digest(), "little", signed=True))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (pos, anchor)), *(pa.array(x, pa.int16()) for x in (left, right)), pa.array(key, pa.int64())],
+                    names=["row_id", "pos", "anchor", "left", "right", "key"],
+                )
+
+        texts = self.with_spots(rows, open_rows, "pos", "anchor", "left", "right")
+        probes = self.work.save(texts.mapInArrow(probe, f"row_id {self.id_type}, pos long, anchor long, left short, right short, key long"), "probes")
+        twice = self.work.save(probes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
+        near = probes.join(bounded(twice, ID_BOUND), "key", "left_semi").groupBy("row_id", "pos", "anchor")
+        near = self.work.save(near.agg(F.max("left").alias("left"), F.max("right").alias("right")), "near")
+        self.work.drop("probes", "twice", "lists")
+        self.work.release()
+        return near
+
     def by_suffix_array(self, texts: DataFrame, n_open: int) -> DataFrame:
         shards = max(1, -(-n_open // self.shard_texts))
 
@@ -217,27 +268,24 @@ class SuffixDedup:
                     raw = body.encode()
                     for s in spots:
                         if not s["hot"]:
-                            low = max(0, s["pos"] - REACH)
+                            low = s["pos"] - s["left"]
                             at.append(k)
                             start.append(low)
                             anchor.append(s["anchor"])
-                            around.append(raw[low : s["pos"] + LEAST])
+                            around.append(raw[low : s["pos"] + s["right"]])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(anchor, pa.int64()), pa.array(around, pa.binary())],
                     names=["row_id", "start", "anchor", "around"],
                 )
 
         def sort(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["row_id", "start"], kind="stable")
-            found = repeated_starts(rows["around"].tolist(), list(zip(rows["row_id"].tolist(), rows["start"].tolist(), strict=True)))
-            lows: dict = {}
-            for row_id, start in set(found):
-                lows.setdefault(row_id, []).append(start)
-            out = []
-            for row_id, starts in lows.items():
-                begin = np.array(starts)
-                out += [(row_id, a, b) for a, b in zip(*(x.tolist() for x in merged(begin, begin + LEAST)), strict=True)]
-            return pd.DataFrame(out, columns=["row_id", "low", "high"])
+            ids, number = np.unique(rows["row_id"].to_numpy(), return_inverse=True)
+            row, start = repeated_starts(rows["around"].tolist(), number.astype(np.int64), rows["start"].to_numpy(np.int64))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + LEAST)
+            first = np.flatnonzero(new)
+            last = np.concatenate((first[1:], [len(row)]))[: len(first)] - 1
+            return pd.DataFrame({"row_id": ids[row[first]], "low": start[first], "high": start[last] + LEAST})
 
         spots = texts.select("row_id", "body", "spots").mapInArrow(cut, f"row_id {self.id_type}, start long, anchor long, around binary")
         dealt = spots.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -251,7 +299,7 @@ class SuffixDedup:
                 at, start, key = [], [], []
                 for k, (body, spots) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                     raw = body.encode()
-                    places = {i for s in spots if s["hot"] for i in range(max(0, s["pos"] - REACH), min(s["pos"], len(raw) - LEAST) + 1)}
+                    places = {i for s in spots if s["hot"] for i in range(s["pos"] - s["left"], s["pos"] + s["right"] - LEAST + 1)}
                     for i in sorted(places):
                         at.append(k)
                         start.append(i)
@@ -276,9 +324,22 @@ class SuffixDedup:
         """
         work = self.work
         ranges = work.save(self.intervals(), "ranges")
-        per_row = ranges.groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("ranges"))
-        per_row = work.save(per_row, "ranges_by_row")
-        every = self.df.join(bounded(per_row, ID_BOUND // 4), "row_id", "left")
+        per_row = ranges.groupBy("row_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+        runs = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+
+        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for ranges in batch.column(1).to_pylist():
+                    low, high = merged(np.array([r["low"] for r in ranges]), np.array([r["high"] for r in ranges]))
+                    out.append([{"low": a, "high": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, runs)], names=["row_id", "ranges"])
+
+        per_row = work.save(per_row.mapInArrow(unite, f"row_id {self.id_type}, ranges array<struct<low:long,high:long>>"), "ranges_by_row")
+        work.drop("ranges")
+        work.release()
+        n_runs = per_row.agg(F.sum(F.size("ranges"))).first()[0] or 0
+        every = self.df.join(bounded(per_row, ID_BOUND // 2, n_runs), "row_id", "left")
         whole = self.whole.select("row_id", F.lit(True).alias("copy"))
         every = every.join(bounded(whole, ID_BOUND), "row_id", "left").select("row_id", "body", "ranges", F.coalesce("copy", F.lit(False)).alias("copy"))
 
