@@ -86,7 +86,7 @@ def embedding_nn(spark, sf_dir):
     """Nearest other vector of a stated query set (ids divisible by 100) against all rows."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
-    pairs = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")).join(F.broadcast(q), F.col("a") != F.col("b"))
+    pairs = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")).join(q, F.col("a") != F.col("b"))
     d2 = F.aggregate(F.zip_with("u", "v", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
     best = F.min(F.struct(d2.alias("d2"), "b"))
     return pairs.groupBy(F.col("a").alias("vec_id")).agg(best.alias("m")).select("vec_id", F.col("m.b").alias("nearest"), r6(F.sqrt("m.d2"), 5).alias("distance"))
