@@ -96,9 +96,10 @@ def scan(
 
     Ledger rows are (blob, kind, version, spans), also where nothing was found.
     One row per blob is read: the smallest path id of each.  Which rows those
-    are reaches the texts as a broadcast of ids (of the rows to scan or of
-    those to skip, whichever are fewer) if they are at most ``id_bound``, and
-    beyond it by a shuffled join; the texts of skipped rows are never searched.
+    are reaches the texts as a broadcast of (path id, blob) (of the rows to scan
+    or of those to skip, whichever are fewer) if they are at most ``id_bound``,
+    and beyond it by a shuffled join; the texts of skipped rows are never
+    searched.  A path may hold several versions: rows are told apart by both.
     The blob table is an aggregate that combines before the shuffle, and the
     join back is split by adaptive execution where a blob is hot.
 
@@ -117,20 +118,20 @@ def scan(
         todo = pairs.groupBy("blob").agg(F.first("path_id").alias("path_id"), F.collect_list("kind").alias("kinds"))
     todo = work.save(todo, "todo")
     texts = df.select(F.col(path_col).alias("path_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    texts = texts.withColumn("blob", F.sha2("body", 256))
+    version = lambda w: F.col("t.path_id").eqNullSafe(F.col(f"{w}.path_id")) & (F.col("t.blob") == F.col(f"{w}.blob"))
     n_rows, n_todo = paths.count(), todo.count()
     every = ledger is None
     if n_todo <= id_bound and not (every and n_rows - n_todo < n_todo):
-        work_rows = texts.alias("t").join(F.broadcast(todo).alias("w"), F.col("t.path_id").eqNullSafe(F.col("w.path_id")))
-        work_rows = work_rows.select("w.blob", "w.kinds", "t.body")
+        work_rows = texts.alias("t").join(F.broadcast(todo).alias("w"), version("w")).select("w.blob", "w.kinds", "t.body")
     elif every and n_rows - n_todo <= id_bound:
         skip = work.save(paths.join(todo.select("blob", "path_id").withColumn("__first", F.lit(True)), ["blob", "path_id"], "left")
-                         .filter(F.col("__first").isNull() & F.col("path_id").isNotNull()).select("path_id"), "skip")
-        work_rows = texts.join(F.broadcast(skip), "path_id", "left_anti")
+                         .filter(F.col("__first").isNull() & F.col("path_id").isNotNull()).select("path_id", "blob"), "skip")
+        work_rows = texts.alias("t").join(F.broadcast(skip).alias("s"), version("s"), "left_anti")
         kinds = F.array(*[F.lit(r.kind) for r in rules])
-        work_rows = work_rows.select(F.sha2("body", 256).alias("blob"), kinds.alias("kinds"), "body")
+        work_rows = work_rows.select("blob", kinds.alias("kinds"), "body")
     else:
-        work_rows = texts.alias("t").join(todo.alias("w"), F.col("t.path_id").eqNullSafe(F.col("w.path_id")))
-        work_rows = work_rows.filter(F.sha2("body", 256) == F.col("blob")).select("w.blob", "w.kinds", "t.body")
+        work_rows = texts.alias("t").join(todo.alias("w"), version("w")).select("w.blob", "w.kinds", "t.body")
     none = F.lit(None).cast("array<struct<start:int,end:int>>")
     results = F.array(
         *[
