@@ -43,6 +43,21 @@ def best_overlap(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("left_id").agg(best.alias("best"), (F.count("*") > 1).alias("straddles")).select("left_id", "best.*", "straddles")
 
 
+def best_overlap_whole(left: DataFrame, right: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """``best_overlap`` of all ``interval_overlaps``, without a row per pair: equal intervals share their answer.
+
+    Each side is reduced to its distinct intervals first (the right one with its
+    smallest id and its count), so pairs grow with distinct intervals, not with rows.
+    """
+    spots = left.select(start, end).distinct().withColumn("id", F.struct(F.col(start).alias("s"), F.col(end).alias("e")))
+    spans = right.groupBy(start, end).agg(F.struct(F.min("id").alias("id"), F.count("*").alias("n")).alias("id"))
+    pairs = interval_overlaps(spots, spans, start, end, width)
+    best = F.min_by(F.struct("right_id.id", "overlap"), F.struct(-F.col("overlap"), F.abs(F.col("s") - F.col("s2")), F.col("right_id.id")))
+    found = pairs.groupBy("left_id").agg(best.alias("best"), (F.sum("right_id.n") > 1).alias("straddles"))
+    found = found.select(F.col("left_id.s").alias(start), F.col("left_id.e").alias(end), F.col("best.id").alias("right_id"), "best.overlap", "straddles")
+    return left.join(found, [start, end]).select(F.col("id").alias("left_id"), "right_id", "overlap", "straddles")
+
+
 def unordered_pairs(df: DataFrame, id_col: str, cols: list[str], block: list[str] = ()) -> DataFrame:
     """Pairs a < b of the rows of each block (of a whole table only where it is a small dimension)."""
     a = df.select(*block, F.col(id_col).alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])

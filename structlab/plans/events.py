@@ -155,8 +155,18 @@ def null_cond_entropy_events(spark, sf_dir):
            round(quantile_cont(m, 0.05), 6) + 0.0 AS null_q05, round(quantile_cont(m, 0.95), 6) + 0.0 AS null_q95 FROM b
 """)
 def stratified_bootstrap_null(spark, sf_dir):
-    """Mean value against resampling with replacement within each tenth user."""
-    rows = table(spark, sf_dir, "events").filter("value is not null and user_id % 10 = 0").select(F.col("user_id").alias("g"), F.col("event_id").alias("pos"), F.col("value").alias("v"))
+    """Mean value against resampling with replacement within each tenth user, as in its SQL; ``stratified_bootstrap_null_whole`` takes all users."""
+    return bootstrap_null(table(spark, sf_dir, "events").filter("user_id % 10 = 0"))
+
+
+@query()
+def stratified_bootstrap_null_whole(spark, sf_dir):
+    """Mean value against resampling with replacement within each user."""
+    return bootstrap_null(table(spark, sf_dir, "events"))
+
+
+def bootstrap_null(events):
+    rows = events.filter("value is not null").select(F.col("user_id").alias("g"), F.col("event_id").alias("pos"), F.col("value").alias("v"))
     drawn = nulls.bootstrap(nulls.trials(rows, 30), "v", ["pos"], ["trial", "g"], "boot")
     out = nulls.summarize(rows.agg(F.avg("v").alias("m")), drawn.groupBy("trial").agg(F.avg("v").alias("m")), "m", ddof=1)
     return out.select("n_trials", *[r6(c).alias(c) for c in ("observed", "null_mean", "null_sd", "null_q05", "null_q95")])
@@ -181,7 +191,17 @@ def integer_multiplicity(spark, sf_dir):
     SELECT round((SELECT h FROM h WHERE trial = -1), 6) + 0.0 AS observed, round(avg(h), 6) + 0.0 AS null_mean, round(avg((h <= (SELECT h FROM h WHERE trial = -1))::INT), 6) + 0.0 AS p_le FROM h WHERE trial >= 0
 """)
 def entropy_vs_uniform(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("v"))
+    """A part of the table, as in its SQL; ``entropy_vs_uniform_whole`` takes all rows."""
+    return uniform_null(table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0"))
+
+
+@query()
+def entropy_vs_uniform_whole(spark, sf_dir):
+    return uniform_null(table(spark, sf_dir, "lineitem"))
+
+
+def uniform_null(lineitem):
+    rows = lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("v"))
     top = rows.agg(F.max("v").alias("top"))
     u = uniform("half", F.col("trial"), F.col("l_orderkey"), F.col("l_linenumber"))
     drawn = nulls.trials(rows.drop("v"), 20).crossJoin(F.broadcast(top)).select("trial", (F.floor(u * F.col("top") * 2 + 0.5) / 2).alias("v"))

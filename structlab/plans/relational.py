@@ -54,6 +54,13 @@ def anti_join_filter(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(big, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
+def windows_and_spans(orders, lineitem):
+    day = lambda c: F.expr(f"timestampdiff(DAY, timestamp_ntz'1970-01-01 00:00:00', {c})").cast("long")
+    a = orders.select(F.col("o_orderkey").alias("id"), day("o_orderdate").alias("s"), (day("o_orderdate") + 10).alias("e"))
+    b = lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), day("l_shipdate").alias("s"), (day("l_shipdate") + 1 + F.col("l_linenumber")).alias("e"))
+    return a, b
+
+
 @query("""
     WITH a AS (SELECT o_orderkey AS id, (epoch_us(o_orderdate) / 86400000000)::BIGINT AS s, (epoch_us(o_orderdate) / 86400000000)::BIGINT + 10 AS e FROM orders WHERE o_orderkey <= 2000),
          b AS (SELECT l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) / 86400000000)::BIGINT AS s, (epoch_us(l_shipdate) / 86400000000)::BIGINT + 1 + l_linenumber AS e FROM lineitem WHERE l_orderkey % 50 = 0),
@@ -61,14 +68,21 @@ def anti_join_filter(spark, sf_dir):
     SELECT left_id, arg_min(right_id, (-overlap, off, right_id)) AS right_id, max(overlap)::BIGINT AS overlap, count(*) > 1 AS straddles FROM o GROUP BY left_id
 """)
 def interval_overlap_bins(spark, sf_dir):
-    """Order windows against shipping spans: the largest overlap, then the nearest start, then the smallest id."""
-    day = lambda c: F.expr(f"timestampdiff(DAY, timestamp_ntz'1970-01-01 00:00:00', {c})").cast("long")
-    a = table(spark, sf_dir, "orders").filter("o_orderkey <= 2000").select(F.col("o_orderkey").alias("id"), day("o_orderdate").alias("s"), (day("o_orderdate") + 10).alias("e"))
-    b = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
-    b = b.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), day("l_shipdate").alias("s"), (day("l_shipdate") + 1 + F.col("l_linenumber")).alias("e"))
+    """Order windows against shipping spans: the largest overlap, then the nearest start, then the smallest id.
+
+    A part of both tables, as in its SQL; ``interval_overlap_bins_whole`` takes all rows.
+    """
+    a, b = windows_and_spans(table(spark, sf_dir, "orders").filter("o_orderkey <= 2000"), table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0"))
     return joins.best_overlap(joins.interval_overlaps(a, b, "s", "e", 30))
 
 
+@query()
+def interval_overlap_bins_whole(spark, sf_dir):
+    """All order windows against all shipping spans."""
+    a, b = windows_and_spans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+    return joins.best_overlap_whole(a, b, "s", "e", 30)
+
+
 @query("""
     SELECT e.event_id, o.o_orderkey AS right_o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate
 """)
@@ -97,7 +111,16 @@ def embedding_nn(spark, sf_dir):
     SELECT o_orderkey, round((1 - cos(2 * pi() * (x - 29.530588853 * floor(x / 29.530588853)) / 29.530588853)) / 2, 6) + 0.0 AS lit FROM m
 """)
 def lunar_illumination_orders(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey <= 500")
+    """The first orders, as in its SQL; ``lunar_illumination_orders_whole`` takes all."""
+    return lit(table(spark, sf_dir, "orders").filter("o_orderkey <= 500"))
+
+
+@query()
+def lunar_illumination_orders_whole(spark, sf_dir):
+    return lit(table(spark, sf_dir, "orders"))
+
+
+def lit(rows):
     return rows.select("o_orderkey", r6(dates.lunar_illumination(F.col("o_orderdate").cast("date"))).alias("lit"))
 
 
@@ -105,7 +128,16 @@ def lunar_illumination_orders(spark, sf_dir):
     SELECT o_orderkey, julian(o_orderdate::DATE::TIMESTAMP)::DOUBLE - 0.5 AS jd FROM orders WHERE o_orderkey <= 500
 """)
 def julian_day_orders(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey <= 500")
+    """The first orders, as in its SQL; ``julian_day_orders_whole`` takes all."""
+    return julian(table(spark, sf_dir, "orders").filter("o_orderkey <= 500"))
+
+
+@query()
+def julian_day_orders_whole(spark, sf_dir):
+    return julian(table(spark, sf_dir, "orders"))
+
+
+def julian(rows):
     d = F.col("o_orderdate")
     return rows.select("o_orderkey", dates.julian_day(F.year(d), F.month(d), F.day(d)).cast("double").alias("jd"))
 
