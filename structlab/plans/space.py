@@ -45,7 +45,7 @@ def nearest_dimension(spark, sf_dir):
     SELECT id, round(min(d), 6) + 0.0 AS nn_deg FROM d GROUP BY id
 """)
 def haversine_nn(spark, sf_dir):
-    """Nearest neighbour within a nation."""
+    """Nearest neighbour within a nation, for some nations as in its SQL; ``haversine_nn_whole`` takes all."""
     p = sites(spark, sf_dir).filter("nation < 5")
     a, b = p.alias("a"), p.alias("b")
     sep = sphere.angular_sep(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
@@ -53,6 +53,15 @@ def haversine_nn(spark, sf_dir):
     return both.groupBy(F.col("a.id").alias("id")).agg(r6(F.min(sep)).alias("nn_deg"))
 
 
+@query()
+def haversine_nn_whole(spark, sf_dir):
+    """Nearest neighbour within each nation; cells are as wide as about five sites of the largest nation need."""
+    p = sites(spark, sf_dir)
+    most = p.groupBy("nation").count().agg(F.max("count")).first()[0] or 1
+    out = spatial.sky_nearest(p, "id", "lon", "lat", min(60.0, math.degrees(2.0 * math.sqrt(5.0 / most))), ["nation"])
+    return out.select("id", r6("nn").alias("nn_deg"))
+
+
 X, Y = sql_uniform("'xy'", "s_suppkey::VARCHAR"), sql_uniform("'xy'", "s_suppkey::VARCHAR", lane=1)
 PLANE = f"p AS (SELECT s_suppkey AS id, 1000 * {X} AS x, 1000 * {Y} AS y FROM supplier)"
 
@@ -111,8 +120,17 @@ def clark_evans_null(spark, sf_dir):
     SELECT a, b, round(d, 6) + 0.0 AS sep FROM d WHERE d <= 2
 """)
 def sky_close_pairs(spark, sf_dir):
-    out = spatial.sky_neighbours(sites(spark, sf_dir).filter("id % 3 = 0"), "id", "lon", "lat", 2.0)
-    return out.select("a", "b", r6("sep").alias("sep"))
+    """A third of the sites, as in its SQL; ``sky_close_pairs_whole`` takes all."""
+    return close_sites(sites(spark, sf_dir).filter("id % 3 = 0"))
+
+
+@query()
+def sky_close_pairs_whole(spark, sf_dir):
+    return close_sites(sites(spark, sf_dir))
+
+
+def close_sites(p):
+    return spatial.sky_neighbours(p, "id", "lon", "lat", 2.0).select("a", "b", r6("sep").alias("sep"))
 
 
 BEAR = """CASE WHEN true THEN (degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))) + 360) % 360 END"""
@@ -130,8 +148,18 @@ def fold_sql(a: str, b: str) -> str:
     SELECT tol, count(*) FILTER (dev <= tol) AS n_triples, round(avg(dev), 6) + 0.0 AS mean_dev FROM v, (SELECT unnest([0.5::DOUBLE, 1.0, 2.0, 5.0]) AS tol) GROUP BY tol
 """)
 def collinear_triples(spark, sf_dir):
+    """The first sites, as in its SQL; ``collinear_triples_whole`` takes all."""
     rows = sites(spark, sf_dir).filter("id <= 200")
-    out = spatial.collinear_triples(rows, "id", "lat", "lon", [0.5, 1.0, 2.0, 5.0], ["nation"])
+    return over_nations(spatial.collinear_triples(rows, "id", "lat", "lon", [0.5, 1.0, 2.0, 5.0], ["nation"]), rows)
+
+
+@query()
+def collinear_triples_whole(spark, sf_dir):
+    rows = sites(spark, sf_dir)
+    return over_nations(spatial.collinear_triples_whole(rows, "id", "lat", "lon", [0.5, 1.0, 2.0, 5.0], ["nation"]), rows)
+
+
+def over_nations(out, rows):
     n = F.sum("n_triples")
     per = out.join(rows.groupBy("nation").count().select("nation", (F.col("count") * (F.col("count") - 1) * (F.col("count") - 2) / 6).alias("w")), "nation")
     return per.groupBy("tol").agg(n.alias("n_triples"), r6(F.sum(F.col("mean_dev") * F.col("w")) / F.sum("w")).alias("mean_dev"))
@@ -242,10 +270,20 @@ def fft_peakiness(spark, sf_dir):
     SELECT note, count(*) AS n_pairs, count(*) FILTER (off <= 20) AS n_hits FROM c GROUP BY note
 """)
 def pairwise_ratio_diatonic(spark, sf_dir):
-    """Ratios of all pairs of a table of sixty values against the just scale."""
+    """Ratios of all pairs of the first values against the just scale, as in its SQL; ``pairwise_ratio_diatonic_whole`` takes all values."""
+    return diatonic_hits(table(spark, sf_dir, "supplier").filter("s_suppkey <= 60"))
+
+
+@query()
+def pairwise_ratio_diatonic_whole(spark, sf_dir):
+    """Ratios of all pairs of the table against the just scale."""
+    return diatonic_hits(table(spark, sf_dir, "supplier"))
+
+
+def diatonic_hits(supplier):
     from structlab.functions.ratio import nearest_diatonic
 
-    d = table(spark, sf_dir, "supplier").filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), ((F.col("s_acctbal") + 1000) / 100).alias("v"))
+    d = supplier.select(F.col("s_suppkey").alias("k"), ((F.col("s_acctbal") + 1000) / 100).alias("v"))
     pairs = joins.unordered_pairs(d, "k", ["v"]).select(nearest_diatonic(F.greatest("v_a", "v_b") / F.least("v_a", "v_b")).alias("n"))
     return pairs.groupBy("n.note").agg(F.count("*").alias("n_pairs"), F.count_if(F.round("n.off", 4) <= 20).alias("n_hits"))
 
@@ -257,10 +295,19 @@ def pairwise_ratio_diatonic(spark, sf_dir):
     SELECT user_id, round(min(vv - fv * fv / ff), 4) + 0.0 AS rss FROM q GROUP BY user_id
 """)
 def beam_transit_fit(spark, sf_dir):
+    """The first users, as in its SQL; ``beam_transit_fit_whole`` takes all."""
+    return beam_fit(table(spark, sf_dir, "events").filter("user_id < 20"))
+
+
+@query()
+def beam_transit_fit_whole(spark, sf_dir):
+    return beam_fit(table(spark, sf_dir, "events"))
+
+
+def beam_fit(events):
     from pyspark.sql import Window
 
-    events = table(spark, sf_dir, "events").filter("user_id < 20 and value is not null")
-    rows = events.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"), F.col("value").alias("v")).filter("i <= 6")
+    rows = events.filter("value is not null").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"), F.col("value").alias("v")).filter("i <= 6")
     out = fit.beam_grid(rows, "i", "v", "gaussian", [float(k) for k in range(1, 7)], [0.5, 1.0, 2.0], ["user_id"])
     return fit.best_beam(out, ["user_id"]).select("user_id", r6("rss", 4).alias("rss"))
 

@@ -7,13 +7,16 @@ import duckdb
 import pytest
 
 from structlab import plans
+from structlab.operators import spatial
+from structlab.plans import space
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer supplier orders lineitem events benchmark".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: Ids and texts that reach beyond every cut.
 STRETCHED = {
-    "customer": "SELECT * REPLACE (c_custkey * 3 AS c_custkey) FROM t",
+    "customer": "SELECT * REPLACE (c_custkey * 2 AS c_custkey) FROM t",
+    "events": "SELECT * REPLACE (user_id * 2 AS user_id) FROM t",
     "supplier": "SELECT * REPLACE (s_suppkey * 20 AS s_suppkey) FROM t",
     "benchmark": "SELECT * REPLACE (text || ' ' || reverse(text) AS text) FROM t",
 }
@@ -24,6 +27,11 @@ CUTS = {
     "julian_day_orders": [" WHERE o_orderkey <= 500"],
     "stratified_bootstrap_null": [" AND user_id % 10 = 0"],
     "entropy_vs_uniform": [" WHERE l_orderkey % 20 = 0"],
+    "haversine_nn": [" WHERE nation < 5"],
+    "sky_close_pairs": [" WHERE id % 3 = 0"],
+    "collinear_triples": [" WHERE id <= 200"],
+    "pairwise_ratio_diatonic": [" WHERE s_suppkey <= 60"],
+    "beam_transit_fit": ["user_id < 20 AND "],
 }
 
 
@@ -61,3 +69,19 @@ def test_whole_query(spark, stretched, name):
     assert sorted(names) == columns
     want = in_order(tuple(r[names.index(c)] for c in columns) for r in out.fetchall())
     assert len(got) == len(want) and all(same(x, y) for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True))
+
+
+def test_collinear_triples_in_blocks(spark, stretched):
+    rows = space.sites(spark, stretched[0]).withColumn("nation", space.F.col("id") % 4)
+    key = lambda df: sorted(df.select("nation", "tol", "n_triples", "mean_dev").collect())
+    want = key(spatial.collinear_triples(rows, "id", "lat", "lon", [1.0, 5.0], ["nation"]))
+    for block, piece in ((32, 250_000), (5, 300), (1, 1)):
+        got = key(spatial.collinear_triples_whole(rows, "id", "lat", "lon", [1.0, 5.0], ["nation"], block, piece))
+        assert len(want) == 4 and [r[:3] for r in got] == [r[:3] for r in want]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in want], rel=1e-9)
+
+
+def test_sky_nearest_finds_lone_points(spark, stretched):
+    rows = space.sites(spark, stretched[0])
+    nn = lambda t: {r.id: r.nn for r in spatial.sky_nearest(rows, "id", "lon", "lat", t, ["nation"]).collect()}
+    assert nn(3.0) == nn(60.0) and len(nn(3.0)) == 150
