@@ -52,16 +52,29 @@ BITS = "b AS (SELECT item_id, text, list_aggregate(list_transform(string_split(l
 
 
 def item_bits(spark, sf_dir):
+    """Bits of the first 64 characters, as in the SQL; ``whole_bits`` has those of the whole text."""
     return table(spark, sf_dir, "benchmark").select("item_id", tx.text_to_bits(F.left(F.col("text"), F.lit(64))).alias("bits"))
 
 
+def whole_bits(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.text_to_bits(F.col("text")).alias("bits"))
+
+
 @query(f"""
     WITH {BITS}
     SELECT item_id, len(bits)::BIGINT AS n_bits, round(abs(len(replace(bits, '0', '')) / len(bits) - 0.5), 6) + 0.0 AS balance,
            round(list_sum(list_transform(range(2, len(bits) + 1), lambda i: (bits[i] <> bits[i - 1])::INT)) / (len(bits) - 1), 6) + 0.0 AS run_density FROM b
 """)
 def text_to_bits_stats(spark, sf_dir):
-    b = item_bits(spark, sf_dir)
+    return bits_stats(item_bits(spark, sf_dir))
+
+
+@query()
+def text_to_bits_stats_whole(spark, sf_dir):
+    return bits_stats(whole_bits(spark, sf_dir))
+
+
+def bits_stats(b):
     return b.select("item_id", F.length("bits").cast("long").alias("n_bits"), r6(tx.bit_balance(F.col("bits"))).alias("balance"), r6(tx.run_density(F.col("bits"))).alias("run_density"))
 
 
@@ -69,8 +82,18 @@ def text_to_bits_stats(spark, sf_dir):
     SELECT count(*) AS n, count(*) AS n_ok FROM benchmark WHERE regexp_full_match(left(text, 64), '[\\x00-\\x7F]*')
 """)
 def codec_roundtrip(spark, sf_dir):
+    """Encoding and decoding gives back the start of every ASCII text; ``codec_roundtrip_whole`` takes whole texts."""
+    return roundtrips(table(spark, sf_dir, "benchmark").select(F.left(F.col("text"), F.lit(64)).alias("t")))
+
+
+@query()
+def codec_roundtrip_whole(spark, sf_dir):
     """Encoding and decoding gives back every ASCII text."""
-    items = table(spark, sf_dir, "benchmark").select(F.left(F.col("text"), F.lit(64)).alias("t")).filter(tx.is_pure_ascii(F.col("t")))
+    return roundtrips(table(spark, sf_dir, "benchmark").select(F.col("text").alias("t")))
+
+
+def roundtrips(texts):
+    items = texts.filter(tx.is_pure_ascii(F.col("t")))
     return items.agg(F.count("*").alias("n"), F.count_if(tx.codec_roundtrip_ok(F.col("t")) & tx.codec_roundtrip_ok(F.col("t"), 7, False)).alias("n_ok"))
 
 
@@ -81,7 +104,16 @@ def codec_roundtrip(spark, sf_dir):
     SELECT item_id, count(*) AS n_windows, round(avg(h), 6) + 0.0 AS mean_h, round(min(h), 6) + 0.0 AS min_h, round(max(h), 6) + 0.0 AS max_h, count(*) FILTER (h < 0.7) AS n_low FROM h GROUP BY item_id
 """)
 def window_entropy_bits(spark, sf_dir):
-    profile = sequence.window_profile(item_bits(spark, sf_dir), "item_id", "bits", 64, 16)
+    return window_entropy(item_bits(spark, sf_dir))
+
+
+@query()
+def window_entropy_bits_whole(spark, sf_dir):
+    return window_entropy(whole_bits(spark, sf_dir))
+
+
+def window_entropy(b):
+    profile = sequence.window_profile(b, "item_id", "bits", 64, 16)
     return profile.groupBy("item_id").agg(
         F.count("*").alias("n_windows"), r6(F.avg("entropy")).alias("mean_h"), r6(F.min("entropy")).alias("min_h"), r6(F.max("entropy")).alias("max_h"), F.count_if(F.col("entropy") < 0.7).alias("n_low")
     )
@@ -93,7 +125,16 @@ def window_entropy_bits(spark, sf_dir):
     SELECT item_id, arg_max(k, (abs(r), -k))::BIGINT AS peak_lag, round(arg_max(r, (abs(r), -k)), 6) + 0.0 AS peak_r, count(*) FILTER (abs(r) > 0.3) AS n_strong FROM r GROUP BY item_id
 """)
 def autocorr_bits(spark, sf_dir):
-    rows = item_bits(spark, sf_dir).select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.when(F.substring(F.col("bits"), i, F.lit(1)) == "1", 1).otherwise(-1))).alias("i", "v"))
+    return autocorrelation(item_bits(spark, sf_dir))
+
+
+@query()
+def autocorr_bits_whole(spark, sf_dir):
+    return autocorrelation(whole_bits(spark, sf_dir))
+
+
+def autocorrelation(b):
+    rows = b.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.when(F.substring(F.col("bits"), i, F.lit(1)) == "1", 1).otherwise(-1))).alias("i", "v"))
     w = Window.partitionBy("item_id").orderBy("i")
     shifted = rows.select("item_id", "v", *[F.lead("v", k).over(w).alias(f"l{k}") for k in range(1, 33)])
     sums = shifted.groupBy("item_id").agg(*[F.avg(F.col("v") * F.col(f"l{k}")).alias(f"r{k}") for k in range(1, 33)])
@@ -109,7 +150,16 @@ def autocorr_bits(spark, sf_dir):
     SELECT item_id, w::BIGINT AS width, count(*) AS n_rows, round(stddev_pop(h), 6) + 0.0 AS sd_row_entropy FROM h GROUP BY item_id, w
 """)
 def reshape_entropy(spark, sf_dir):
-    b = item_bits(spark, sf_dir).select("item_id", "bits", F.explode(F.sequence(F.lit(2), F.lit(64))).alias("width")).filter(F.length("bits") % F.col("width") == 0)
+    return row_entropies(item_bits(spark, sf_dir))
+
+
+@query()
+def reshape_entropy_whole(spark, sf_dir):
+    return row_entropies(whole_bits(spark, sf_dir))
+
+
+def row_entropies(b):
+    b = b.select("item_id", "bits", F.explode(F.sequence(F.lit(2), F.lit(64))).alias("width")).filter(F.length("bits") % F.col("width") == 0)
     starts = F.sequence(F.lit(0), F.floor(F.length("bits") / F.col("width")).cast("int") - 1)
     rows = b.select("item_id", "width", F.explode(F.transform(starts, lambda r: F.substring(F.col("bits"), r * F.col("width") + 1, F.col("width")))).alias("row"))
     h = rows.select("item_id", "width", tx.binary_entropy(tx.one_share(F.col("row"))).alias("h"))
@@ -126,7 +176,16 @@ def reshape_entropy(spark, sf_dir):
 """)
 def byte_decode_sweep(spark, sf_dir):
     """Every offset and bit order; the decoding with the most printable codes wins."""
-    b = item_bits(spark, sf_dir).select("item_id", "bits", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"), F.lit([True, False]).alias("orders"))
+    return most_printable(item_bits(spark, sf_dir))
+
+
+@query()
+def byte_decode_sweep_whole(spark, sf_dir):
+    return most_printable(whole_bits(spark, sf_dir))
+
+
+def most_printable(b):
+    b = b.select("item_id", "bits", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"), F.lit([True, False]).alias("orders"))
     b = b.select("item_id", "bits", "o", F.explode("orders").alias("m"))
     n = F.floor((F.length("bits") - F.col("o")) / 8).cast("int")
     part = lambda i: F.substring(F.col("bits"), F.col("o") + i * 8 + 1, F.lit(8))
@@ -139,7 +198,7 @@ def byte_decode_sweep(spark, sf_dir):
 
 @query()
 def lz76_bits(spark, sf_dir):
-    return sequence.lz76_phrases(item_bits(spark, sf_dir).withColumn("bits", F.left("bits", F.lit(256))), "item_id", "bits")
+    return sequence.lz76_phrases(whole_bits(spark, sf_dir), "item_id", "bits")
 
 
 @query("""
@@ -172,6 +231,15 @@ def regex_snippets(spark, sf_dir):
     SELECT a, b, list_sum(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: (x[i] <> y[i])::INT))::BIGINT AS n_diff FROM b
 """)
 def hamming_neighbours(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.left(F.col("text"), F.lit(40)).alias("t"))
+    """The first 40 characters, as in its SQL; ``hamming_neighbours_whole`` takes whole texts."""
+    return differences(table(spark, sf_dir, "benchmark").select("item_id", F.left(F.col("text"), F.lit(40)).alias("t")))
+
+
+@query()
+def hamming_neighbours_whole(spark, sf_dir):
+    return differences(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t")))
+
+
+def differences(items):
     pairs = items.select(F.col("item_id").alias("a"), F.col("t").alias("x")).join(items.select(F.col("item_id").alias("b"), F.col("t").alias("y")), F.col("a") + 1 == F.col("b"))
     return pairs.select("a", "b", tx.hamming(F.col("x"), F.col("y")).cast("long").alias("n_diff"))
