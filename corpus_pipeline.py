@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structlab.llm.best_fit_pack import pack_documents
-from structlab.llm.common import Scratch, bounded, one_row_per_id, table
+from structlab.llm.common import Scratch, bounded, id_and_text, one_row_per_id, repeated_ids, table
 from structlab.llm.exact_dedup import KEY_BOUND, duplicate_groups
 from structlab.llm.jaccard_join import jaccard_components
 from structlab.llm.quality_rules import base_failed, fit_rules, rule_column, text_statistics
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays, once."""
+    """Of equal texts the row with the largest id stays, once; different texts of one id all stay."""
     groups = duplicate_groups(docs).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"))
     rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("__sha"))
     joined = rows.join(bounded(groups, KEY_BOUND // 4), F.col("__sha") == F.col("__digest"), "left")
@@ -41,11 +41,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at 0.8 or more, the one with the smallest id of each group stays."""
-    rows = jaccard_components(docs, n=5, percent=80)
+    """Of documents that five-word shingles link at 0.8 or more, the one with the smallest id of each group stays.
+
+    Where ids repeat, documents are told apart by id and text.
+    """
+    if not repeated_ids(docs, "doc_id").isEmpty():
+        keyed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), id_and_text(docs, "doc_id").alias("__key"))
+        rows = jaccard_components(keyed, n=5, percent=80, id_col="__key", text_col="__text")
+        return without(spark, keyed, rows, "__key").select("__row.*")
+    return without(spark, docs, jaccard_components(docs, n=5, percent=80), "doc_id")
+
+
+def without(spark: SparkSession, docs: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the documents that aren't the first of their component."""
     dropped = rows.filter("row_id <> component").select(F.col("row_id").alias("__dropped")).distinct()
     dropped = Scratch(spark, "near").save(dropped, "dropped")
-    return docs.join(bounded(dropped, ID_BOUND), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    return docs.join(bounded(dropped, ID_BOUND), F.col(id_col) == F.col("__dropped"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

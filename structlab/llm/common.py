@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -74,18 +75,32 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(marked, SPACE, "")).cast("long")
 
 
-def one_row_per_id(df: DataFrame, id_col: str) -> DataFrame:
-    """``df`` without further rows of an id that it holds already (rows without an id all stay).
+def repeated_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """The ids that more than one row has, as a written table; usually there are none."""
+    repeated = df.groupBy(id_col).count().filter((F.col("count") > 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
+    return Scratch(df.sparkSession, "repeated").save(repeated, "ids")
+
+
+def one_row_per_id(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """``df`` without further rows of an id and a text that it holds already (rows without an id all stay).
 
-    Only rows whose id repeats are compared; usually there are none.
+    Different texts of one id are different rows.  Only rows whose id repeats are compared.
     """
-    repeated = df.groupBy(id_col).count().filter((F.col("count") > 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
-    repeated = Scratch(df.sparkSession, "repeated").save(repeated, "ids")
+    repeated = repeated_ids(df, id_col)
     if repeated.isEmpty():
         return df
     ids = bounded(repeated, 1_000_000)
     single = df.join(ids, F.col(id_col) == F.col("__id"), "left_anti")
-    return single.unionByName(df.join(ids, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+    several = df.join(ids, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__sha256", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    return single.unionByName(several.dropDuplicates([id_col, "__sha256"]).drop("__sha256"))
+
+
+def id_and_text(df: DataFrame, id_col: str, text_col: str = "text") -> Column:
+    """A string per row that sorts as its id (numbers as numbers), then as the digest of its text; null where the id is."""
+    whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    shifted = (F.col(id_col).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string")
+    key = F.lpad(shifted, 20, "0") if whole else F.col(id_col).cast("string")
+    return F.concat(key, F.lit("\x01"), F.sha2(F.coalesce(text_col, F.lit("")), 256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,3 +34,25 @@ def test_stages(spark, tmp_path):
         if name == "pack":
             assert out.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
         docs = out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_texts_that_share_an_id(spark, kind):
+    """Different texts of one id are no copies: each goes through exact and near by its own text."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(5, x), (5, y), (5, y), (3, x + " end"), (10, y), (9, z), (-2, z + " end"), (None, "no id"), (None, "nor this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    out = corpus_pipeline.exact(spark, docs, "")
+    seen = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    # Of the three copies of y the row with the largest id stays ("5" is the largest string).
+    y_id = "10" if kind == "long" else "5"
+    assert seen(out) == sorted([("5", x), (y_id, y), ("3", x + " end"), ("9", z), ("-2", z + " end"), ("None", "no id"), ("None", "nor this")])
+    docs = spark.createDataFrame([(5, x), (5, y), (5, y), *rows[3:4], *rows[5:]], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    out = corpus_pipeline.exact(spark, docs, "")
+    assert seen(out) == sorted([("5", x), ("5", y), ("3", x + " end"), ("9", z), ("-2", z + " end"), ("None", "no id"), ("None", "nor this")])
+    out = corpus_pipeline.near(spark, out, "")
+    assert out.columns == docs.columns
+    assert seen(out) == sorted([("5", y), ("3", x + " end"), ("-2", z + " end"), ("None", "no id"), ("None", "nor this")])
