@@ -25,6 +25,8 @@ LABELS = ("none", *KINDS)
 SAMPLE_DOCS, SAMPLE_TOKENS = 20_000, 60_000
 DIMS = 1 << 13
 ROUNDS, DAMP, SURE = 12, 0.3, 0.9
+#: Most digits of the kinds that go by digits.
+MOST_DIGITS = {"card": 19, "phone": 15}
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -236,7 +238,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
-    """Spans that the field adds: tokens with a sure label that overlap no base span; neighbours of one label are one span.
+    """Spans that the field adds: tokens with a sure label that overlap no base span; neighbours of one label are one span as far as that is plausible.
 
     A document without any sure evidence (no base span and no token whose own
     features make it an entity) gets nothing from its neighbours either.
@@ -248,24 +250,75 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         return []
     p = field.marginals(graph)
     best = p.argmax(1)
-    covered = np.array(labels_of(graph, base)) > 0
+    labels = labels_of(graph, base)
+    sure = [0 if labels[k] or p[k, best[k]] < SURE else int(best[k]) for k in range(len(graph.spans))]
+    tied = tied_phones(text, graph, labels, sure)
     linked = set(graph.chain)
     out: list[tuple[str, int, int]] = []
-    last = -1
-    for k, (a, b) in enumerate(graph.spans):
-        if covered[k] or best[k] == 0 or p[k, best[k]] < SURE:
-            continue
-        kind = KINDS[best[k] - 1]
-        if out and out[-1][0] == kind and last == k - 1 and (k - 1, k) in linked:
-            out[-1] = (kind, out[-1][1], b)
+    k = 0
+    while k < len(sure):
+        end = k + 1
+        while sure[k] and end < len(sure) and sure[end] == sure[k] and (end - 1, end) in linked:
+            end += 1
+        if sure[k]:
+            out += spans_of_run(text, KINDS[sure[k] - 1], graph.spans[k:end], [n in tied for n in range(k, end)])
+        k = end
+    return out
+
+
+def tied_phones(text: str, graph: Graph, labels: list[int], sure: list[int]) -> set[int]:
+    """Sure phone nodes that skip edges join, by way of others, to a phone that isn't a mere run of digits: one of a base span or one with signs of its own."""
+    phone = 1 + KINDS.index("phone")
+    near: dict[int, list[int]] = {}
+    for a, b in graph.skip:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    todo = [k for k in near if labels[k] == phone or (sure[k] == phone and plausible("phone", text[slice(*graph.spans[k])]))]
+    tied = set(todo)
+    while todo:
+        for k in near[todo.pop()]:
+            if k not in tied and sure[k] == phone:
+                tied.add(k)
+                todo.append(k)
+    return tied
+
+
+def spans_of_run(text: str, kind: str, nodes: list[tuple[int, int]], tied: list[bool]) -> list[tuple[str, int, int]]:
+    """The plausible spans that cover most nodes of a run of neighbours with one label; of equal covers the one with most spans."""
+    join = lambda i, j: (kind, nodes[i][0], nodes[j][1])
+    fits = lambda i, j: plausible(kind, text[nodes[i][0] : nodes[j][1]], i == j and tied[i])
+    if kind == "ip":
+        return [join(i, i) for i in range(len(nodes)) if fits(i, i)]
+    if kind == "email":
+        out, first = [], 0
+        for k in range(1, len(nodes)):
+            if fits(k, k) and fits(first, k - 1):
+                out.append(join(first, k - 1))
+                first = k
+        return out + ([join(first, len(nodes) - 1)] if fits(first, len(nodes) - 1) else [])
+    size = [max(1, len(_NOT_DIGIT.sub("", text[a:b]))) for a, b in nodes]
+    best: list[tuple[int, int]] = [(0, 0)]
+    back = [-1]
+    for j in range(len(nodes)):
+        most, start, total, i = best[j], -1, 0, j
+        while i >= 0 and (total := total + size[i]) <= MOST_DIGITS[kind]:
+            if fits(i, j) and (found := (best[i][0] + j + 1 - i, best[i][1] + 1)) > most:
+                most, start = found, i
+            i -= 1
+        best.append(most)
+        back.append(start)
+    out, j = [], len(nodes)
+    while j > 0:
+        if back[j] < 0:
+            j -= 1
         else:
-            out.append((kind, a, b))
-        last = k
-    return [s for s in out if plausible(s[0], text[s[1] : s[2]])]
+            out.append(join(back[j], j - 1))
+            j = back[j]
+    return out[::-1]
 
 
-def plausible(kind: str, found: str) -> bool:
-    """Whether an added span has what its kind needs at least."""
+def plausible(kind: str, found: str, tied: bool = False) -> bool:
+    """Whether an added span has what its kind needs at least; digits alone are a phone only where they are ``tied`` to one."""
     n = len(_NOT_DIGIT.sub("", found))
     if kind == "email":
         return "@" in found[1:-1]
@@ -273,8 +326,8 @@ def plausible(kind: str, found: str) -> bool:
         parts = found.split(".")
         return len(parts) == 4 and all(x.isdigit() and len(x) < 4 and int(x) <= 255 for x in parts)
     if kind == "card":
-        return 13 <= n <= 19 and luhn(_NOT_DIGIT.sub("", found))
-    return 9 <= n <= 15 and not found.isdigit()
+        return 13 <= n <= MOST_DIGITS[kind] and luhn(_NOT_DIGIT.sub("", found))
+    return 9 <= n <= MOST_DIGITS[kind] and (tied or not found.isdigit())
 
 
 def find_personal_data(df: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

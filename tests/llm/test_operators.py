@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,28 @@ def test_skip_chain_pii(spark, docs, rows, none):
     assert skip_chain_pii.find_personal_data(none, field).count() == 0
 
 
+def test_added_spans_of_sure_labels():
+    class Sure:
+        def __init__(self, kind):
+            self.label = 1 + skip_chain_pii.KINDS.index(kind)
+
+        def marginals(self, graph):
+            return np.eye(5)[[self.label] * len(graph.spans)]
+
+    def added(text, kind):
+        return [text[a:b] for _, a, b in skip_chain_pii.added_spans(text, skip_chain_pii.base_spans(text), Sure(kind))]
+
+    # Digits alone are a phone where they repeat one, also by way of another repeat, and nothing without.
+    assert added("call +14155550100 or 14155550100 or else 14155550100 but not 14155550199", "phone") == ["14155550100"] * 2
+    assert added("order 404189222 and order 404189222", "phone") == []
+    # Neighbours join only as far as they make a number.
+    assert added("try 415-555-0100 415-555-0101 today", "phone") == ["415-555-0100", "415-555-0101"]
+    assert added("try (415) 555-0100 (756) 555-9792 today", "phone") == ["(415) 555-0100", "(756) 555-9792"]
+    assert added("try (415) 555-0100 today", "phone") == ["(415) 555-0100"]
+    assert added("card 3056.9309.0259.04 3852.0000.0232.37 x", "card") == ["3056.9309.0259.04", "3852.0000.0232.37"]
+    assert added("a1@b c2@d", "email") == ["a1@b", "c2@d"] and added("john1 @b", "email") == ["john1 @b"]
+
+
 def test_html_consensus(spark):
     article = "".join(f"<p>Paragraph {k} of the story, long enough to count as text.</p>" for k in range(5))
     page = "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><nav><ul><li><a href='/'>menu</a></li></ul></nav><div class='cookie-notice'>We use</div>{}<div class=comments><p>nice one</p></div><aside>side</aside><footer>foot</footer></body></html>"
