@@ -164,7 +164,7 @@ def _sizes_fit(percent: int, a: str, b: str):
 
 
 class JaccardJoin:
-    """Links and components of documents whose n-gram sets have a Jaccard similarity of ``percent`` / 100 or more.
+    """Components of documents whose n-gram sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     1. Every text is read whole; equal sets collapse into classes by size and
        a 128-bit signature.  Only one document of each class goes on.
@@ -177,6 +177,10 @@ class JaccardJoin:
        that their sizes give are dropped; the rest get the full product of
        their two rows.
 
+    ``links`` holds what ``run`` verifies: a subset of the links between
+    classes that spans every component.  ``link_counts`` verifies the pairs
+    inside components too and counts all links of each document.
+
     N-grams are compared by 64-bit hashes.  A document without words links
     with nothing.  Repeated rows of one id are one document.
     """
@@ -225,6 +229,7 @@ class JaccardJoin:
         more = work.save(self.verify(across), "more_links")
         edges = links.unionByName(more)
         self.links = edges
+        self.entries, self.key, self.sets = entries, key, sets
         final = work.save(connected_components(edges, work), "components")
         n_final = final.count()
         labelled = classes.join(bounded(final, ID_BOUND, n_final), F.col("rep") == F.col("node"), "left")
@@ -232,6 +237,26 @@ class JaccardJoin:
         least = sets.join(bounded(labelled, ID_BOUND, n_classes), key, "left")
         return least.select("row_id", "size", F.coalesce("component", "row_id").alias("component"))
 
+    def link_counts(self) -> DataFrame:
+        """(row_id, n_links): to how many other documents each document links; call it after ``run``.
+
+        The product over prefix columns is taken within components as well, over one document of each class, so work
+        grows with the number of linked classes.  Documents of a class link with each other and share their other links.
+        """
+        key, work = self.key, self.work
+        docs = self.sets.select("row_id", *key).distinct()
+        classes = work.save(docs.filter("size > 0").groupBy(*key).agg(F.min("row_id").alias("rep"), F.count("*").alias("n")), "counted_classes")
+        a = self.entries.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("row_id", "size", "pos")])
+        b = self.entries.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_id", "size", "pos")])
+        pairs = a.join(b, "gram").filter((F.col("row_id_a") < F.col("row_id_b")) & _sizes_fit(self.percent, "size_a", "size_b"))
+        pairs = pairs.select(F.col("row_id_a").alias("a"), "size_a", "pos_a", F.col("row_id_b").alias("b"), "size_b", "pos_b")
+        edges = work.save(self.verify(work.save(self.likely(pairs), "every_pair")), "every_link")
+        both = edges.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+        sizes = classes.select(F.col("rep").alias("other"), F.col("n").alias("m"))
+        around = both.join(sizes, "other").groupBy("rep").agg(F.sum("m").alias("m"))
+        per = classes.join(around, "rep", "left").select(*key, (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+        return docs.join(per, key, "left").select("row_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Sum partial overlaps per pair; drop pairs that share too few prefix n-grams or can't reach their bound.
 

@@ -364,6 +364,22 @@ def test_jaccard_join(docs, rows, none, n, percent):
         assert jaccard_join.jaccard_components(none, n, percent).count() == 0
 
 
+def test_jaccard_link_counts(docs, rows):
+    def shingles(t):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = {k: shingles(t) for k, t, *_ in rows}
+    linked = lambda a, b: a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])
+    want = {k: sum(bool(linked(k, j)) for j in sets) for k in sets}
+    join = jaccard_join.JaccardJoin(docs, 5, 70)
+    join.run()
+    got = {r.row_id: r.n_links for r in join.link_counts().collect()}
+    assert got == want and max(want.values()) > 10
+    # The links that run() needs only span the components.
+    assert join.links.count() < len({(frozenset(sets[a]), frozenset(sets[b])) for a in sets for b in sets if a < b and linked(a, b) and sets[a] != sets[b]})
+
+
 def test_best_fit_matches_brute_force():
     r = random.Random(1)
     lengths = sorted((r.randint(1, 2048) for _ in range(2000)), reverse=True)
