@@ -2,71 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from structlab.llm import textnum
 from structlab.llm.common import Scratch
+from structlab.llm.unit_encoder import encoder, spans
 
 LENGTH = 2048
 #: Pieces that one task packs, in expectation; a group wastes at most part of its last sequences.
-GROUP_PIECES = 4096
-#: Distinct chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 1_200_000
-#: ASCII without controls, and the accented letters of Latin-1, whose lower case and composed form are one character each.
-_PLAIN = re.compile("[\\x21-\\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-#: Fixed value: what the tokenizer splits such text into.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
-
-
-class ChunkEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and no token spans it, so the ids of a text
-    are those of its chunks between spaces and line ends, one after the other.
-    A chunk of plain Latin characters is in turn its lower-cased words, digits
-    and runs of other signs; those repeat far more often than whole chunks.
-    Any other chunk, and one that may hold a special token, goes to the
-    tokenizer as it is.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def _split(self, chunk: str) -> list[str]:
-        return _PARTS.findall(chunk.lower()) if _PLAIN.fullmatch(chunk) and "<|" not in chunk else [chunk]
-
-    def _learn(self, chunks: set[str]) -> None:
-        split = {c: self._split(c) for c in chunks}
-        new = [p for p in {p for parts in split.values() for p in parts} if p not in self.parts]
-        for part, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = b"".join([i.to_bytes(4, "little") for i in coded.ids])
-        for chunk, parts in split.items():
-            self.chunks[chunk] = b"".join([self.parts[p] for p in parts])
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.chunks
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > CACHE_CHUNKS:
-                known = self.chunks = {"": b""}
-            if len(self.parts) > CACHE_CHUNKS:
-                self.parts = {}
-            self._learn({c for c in chunks if c not in known})
-        return b"".join([known[c] for c in chunks])
+GROUP_PIECES = 16384
+#: Bytes of text that are encoded at a time (a longer text is one piece).
+ENCODED_BYTES = 1 << 21
 
 
 def cut_pieces(df: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -76,25 +28,24 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col:
     documents longer than ``length`` are cut.  Ids don't leave the task.
     """
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         for batch in batches:
-            rows, piece, start, size, crc = [], [], [], [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
-                for k, low in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[low : low + 4 * length]
-                    rows.append(at)
-                    piece.append(k)
-                    start.append(low // 4)
-                    size.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))],
-                names=["row_id", "piece", "start", "length", "ids_crc32"],
-            )
+            raw, offsets = textnum.utf8(batch.column(1))
+            for low, high in textnum.pieces(raw, offsets, ENCODED_BYTES):
+                ids, at = encode(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                ids, at = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4"), at + np.arange(len(at))
+                count = -(-np.diff(at) // length)
+                row, piece = np.repeat(np.arange(high - low), count), spans(count)
+                start = piece * length
+                first = at[row] + start
+                size = np.minimum(at[row + 1] - first, length)
+                crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row + low)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))],
+                    names=["row_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
     return rows.mapInArrow(pieces, f"row_id {id_type}, piece int, start long, length long, ids_crc32 long")
@@ -165,18 +116,17 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GRO
     as well as the whole but for its last sequences.  Small inputs are one group.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("row_id", "piece"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("row_id", "piece", "ids_crc32", "length"), F.lit(groups)).cast("long"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "row_id", "piece"], ascending=[False, True, True], kind="stable")
-        placed = best_fit(rows["length"].tolist(), length)
-        group = int(rows["__group"].iloc[0])
-        rows["sequence_id"] = [(group << 32) + b for b, _ in placed]
-        rows["offset"] = [o for _, o in placed]
-        return rows.drop(columns="__group")
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("row_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        placed = best_fit(rows["length"].to_pylist(), length)
+        group = rows["__group"][0].as_py()
+        rows = rows.append_column("sequence_id", pa.array([(group << 32) + b for b, _ in placed], pa.int64()))
+        return rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).drop_columns("__group")
 
-    return dealt.groupBy("__group").applyInPandas(pack, f"{kind}, sequence_id long, offset long")
+    return dealt.groupBy("__group").applyInArrow(pack, f"{kind}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

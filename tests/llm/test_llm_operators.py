@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from structlab.llm import best_fit_pack, exact_dedup, hilbert_shard, html_consensus, jaccard_join, quality_rules, secret_ledger, skip_chain_pii, source_mix, suffix_dedup
+from structlab.llm import best_fit_pack, exact_dedup, hilbert_shard, html_consensus, jaccard_join, quality_rules, secret_ledger, skip_chain_pii, source_mix, suffix_dedup, unit_encoder
 from structlab.llm.common import one_row_per_id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -414,7 +414,24 @@ def test_best_fit_pack(docs, rows, none):
         for r in mine:
             assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[r.start : r.start + r.length]))
     assert best_fit_pack.pack_documents(none, path).count() == 0
-    odd = ["Ὀδυσσεύς ΣΑΣ x́ y z don't 'S <|endoftext|>", "ÀÉß×÷ ''s A1b2", "a\tb\x1cc　d"]
-    encoder = best_fit_pack.ChunkEncoder(path)
+    odd = ["Ὀδυσσεύς ΣΑΣ x́ y z don't 'S <|endoftext|>", "ÀÉß×÷ ''s A1b2", "a\tb\x1cc　d", "a" * 40 + " " + "é" * 8, " \n ", ""]
     for t in odd:
-        assert encoder.encode(t) == b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids)
+        assert unit_encoder.text_ids(path, t) == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_small_unit_table(monkeypatch):
+    """A table that is full starts anew, a batch with too many units is halved, a chunk with too many is taken as text."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    monkeypatch.setattr(unit_encoder, "UNITS", 5)
+    text = "  \nab1cd2ef3gh4ij5kl;m!nn and\nsome other words, so that the table is full many times over "
+    assert unit_encoder.text_ids(path, text) == tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_pack_keeps_ids_beside_null(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    ids = [None, None, 1152921504606846977, -5]
+    docs = spark.createDataFrame([(k, "word " * 3000) for k in ids], "doc_id long, text string")
+    got = best_fit_pack.pack_documents(docs, path).collect()
+    assert Counter(r.row_id for r in got) == Counter(2 * ids)
+    assert Counter((r.start, r.length) for r in got) == {(0, 2048): 4, (2048, 953): 4}
