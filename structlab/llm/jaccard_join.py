@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,9 @@ CELLS, SLICES = 1 << 20, 64
 ID_BOUND = 1_000_000
 #: Ranges of hashes that a row's n-grams are counted in.
 RANGES = 32
-#: Prefix n-grams that two linked rows are made to share (fewer in rows too small for that).
-SHARED = 4
+#: Prefix n-grams that two linked rows are made to share (fewer in rows too small for that), and the earlier ones of a row
+#: by which a block can tell that other blocks have given enough of these already.
+SHARED, EARLIER = 4, 6
 
 
 def _order(row: np.ndarray, value: np.ndarray, load: np.ndarray | None) -> np.ndarray:
@@ -107,8 +108,8 @@ def row_prefixes(df: DataFrame, n: int, percent: int, load: np.ndarray, id_col:
     least overlap of a link and s = min(SHARED, o).
 
     Two linked rows share at least the smaller s of these, whatever the common order is.  ``ranges`` counts all
-    n-grams of the row by their hash's range (null if a count is too large for it): an overlap is at most the sum of
-    the smaller counts.
+    n-grams of the row by their hash's range, as bytes above or below size / RANGES (null if one is too large for it):
+    an overlap is at most the sum of the smaller counts.
     """
     id_type = df.select(id_col).schema[0].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(load)
@@ -128,13 +129,14 @@ def row_prefixes(df: DataFrame, n: int, percent: int, load: np.ndarray, id_col:
                 grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(most))), pa.int32()), pa.array(value[head].view(np.int64)))
                 part = (value >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
                 table = np.bincount(row * RANGES + part, minlength=(high - low) * RANGES).reshape(high - low, RANGES)
-                fits = table.max(1, initial=0) < 1 << 15
+                table -= size[:, None] // RANGES
+                fits = np.abs(table).max(1, initial=0) < 1 << 7
                 ends = pa.array(np.concatenate(([0], np.cumsum(np.where(fits, RANGES, 0)))), pa.int32())
-                ranges = pa.ListArray.from_arrays(ends, pa.array(table[fits].ravel().astype(np.int16)), mask=pa.array(~fits))
+                ranges = pa.ListArray.from_arrays(ends, pa.array(table[fits].ravel().astype(np.int8)), mask=pa.array(~fits))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), grams, ranges], names=["row_id", "size", "grams", "ranges"])
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(scan, f"row_id {id_type}, size long, grams array<long>, ranges array<short>")
+    return rows.mapInArrow(scan, f"row_id {id_type}, size long, grams array<long>, ranges array<byte>")
 
 
 def full_sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -172,10 +174,14 @@ class JaccardJoin:
        per block (an n-gram and a band of sizes): as many pairs as entries.
     3. Blocks that still hold several components get the product of all their
        rows across components: no link between components is lost, and a
-       block that has become one component costs nothing.
-    4. Pairs whose partial overlap plus what can follow is below the bound
-       that their sizes give are dropped; the rest get the full product of
-       their two rows.
+       block that has become one component costs nothing.  A pair counts in a
+       block only where its rows don't show ``SHARED`` common n-grams among
+       the ``EARLIER`` ones before it; so pairs that share many columns are
+       made a few times, and still reach the count that a link needs.
+    4. Pairs are dropped by bounds that their sizes give: sizes too unlike,
+       too few n-grams that can follow, or by the smaller counts per range of
+       hashes; then by the overlap of both prefixes and what can follow it.
+       The rest get the full product of their two rows.
 
     ``links`` holds what ``run`` verifies: a subset of the links between
     classes that spans every component.  ``link_counts`` verifies the pairs
@@ -187,7 +193,7 @@ class JaccardJoin:
 
     def __init__(self, df: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text"):
         self.n, self.percent, self.id_col, self.text_col = n, percent, id_col, text_col
-        self.df = df.select(id_col, text_col).filter(F.col(id_col).isNotNull())
+        self.df = df.select(id_col, text_col)
         self.id_type = self.df.schema[id_col].dataType
         self.work = Scratch(df.sparkSession, "jaccard-join")
 
@@ -196,46 +202,106 @@ class JaccardJoin:
         work, percent = self.work, self.percent
         scanned = work.save(row_sets(self.df, self.n, self.id_col, self.text_col), "scanned")
         sets = scanned.filter("slice is null").select("row_id", "size", "sig1", "sig2")
-        ids = sets.groupBy("row_id").count()
-        self.unique = ids.filter("count > 1").isEmpty()
+        known = sets.filter("row_id is not null")
+        self.unique = known.groupBy("row_id").count().filter("count > 1").isEmpty()
         key = ["size", "sig1", "sig2"]
-        classes = work.save(sets.filter("size > 0").groupBy(*key).agg(F.min("row_id").alias("rep")), "classes")
+        classes = work.save(known.filter("size > 0").groupBy(*key).agg(F.min("row_id").alias("rep")), "classes")
         n_classes = classes.count()
         load = load_classes(scanned, max(1, n_classes))
         reps = bounded(classes.select(F.col("rep").alias("row_id")), ID_BOUND, n_classes)
         heads = row_prefixes(self.df, self.n, percent, load, self.id_col, self.text_col)
         heads = heads.join(reps, "row_id", "left_semi")
-        heads = work.save(heads if self.unique else heads.dropDuplicates(["row_id"]), "heads")
-        entries = heads.select("row_id", "size", F.posexplode("grams").alias("pos", "gram"))
-        counted = entries.groupBy("gram").agg(F.count("*").alias("n"))
-        shared = work.save(counted.filter("n > 1").select("gram"), "shared")
-        entries = entries.join(shared, "gram", "left_semi")
-        before = F.row_number().over(Window.partitionBy("row_id").orderBy("pos")) - 1
-        least = F.expr(f"({percent} * size + 99) div 100")
-        entries = work.save(entries.withColumn("before", before).filter(F.col("before") + F.col("size") - F.col("pos") >= least), "entries")
-        self.heads = heads.select("row_id", "ranges")
-        work.drop("shared")
+        self.heads = work.save(heads if self.unique else heads.dropDuplicates(["row_id"]), "heads")
+        entries = work.save(self.shared_entries(), "entries")
         work.release()
-        band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-        entries = entries.withColumn("band", band)
-        pivots = entries.groupBy("gram", "band").agg(F.min(F.struct("row_id", "size", "pos")).alias("p"), F.count("*").alias("n"))
-        pivots = work.save(pivots.filter("n > 1").select("gram", "band", F.col("p.row_id").alias("a"), F.col("p.size").alias("size_a"), F.col("p.pos").alias("pos_a")), "pivots")
-        stars = entries.join(bounded(pivots, ID_BOUND), ["gram", "band"]).filter("row_id <> a")
-        stars = stars.select("a", "size_a", "pos_a", F.col("row_id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
-        tested = work.save(self.likely(stars), "stars")
+        tested = work.save(self.likely_by_prefix(self.stars(entries)), "stars")
         links = work.save(self.verify(tested), "star_links")
         found = work.save(connected_components(links, work), "star_components")
-        across = work.save(self.likely(self.across(entries, found)).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        counted = self.counted(self.across(entries, found)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        across = work.save(self.likely_by_prefix(counted), "across")
+        work.drop("rows", "split", "pairs", "near_pairs", "wanted", "shared")
+        work.release()
         more = work.save(self.verify(across), "more_links")
         edges = links.unionByName(more)
         self.links = edges
-        self.entries, self.key, self.sets = entries, key, sets
+        self.entries, self.key, self.sets = entries, key, known
         final = work.save(connected_components(edges, work), "components")
         n_final = final.count()
         labelled = classes.join(bounded(final, ID_BOUND, n_final), F.col("rep") == F.col("node"), "left")
         labelled = work.save(labelled.select(*key, F.coalesce("component", "rep").alias("component")), "labelled")
         least = sets.join(bounded(labelled, ID_BOUND, n_classes), key, "left")
-        return least.select("row_id", "size", F.coalesce("component", "row_id").alias("component"))
+        component = F.when(F.col("row_id").isNotNull(), F.coalesce("component", "row_id"))
+        return least.select("row_id", "size", component.alias("component"))
+
+    def shared_entries(self) -> DataFrame:
+        """(gram, row_id, size, pos, band, before, earlier, ranges): prefix n-grams that another row of like size has too.
+
+        Linked rows are of the same band of sizes or of neighbouring ones; an n-gram's bands are bits of a number
+        (bands 64 apart share a bit, and where a band may have three rows all bands count: both keep more, never less).
+
+        ``before`` counts a row's earlier ones; only those can have matched already, so at any shared n-gram an
+        overlap is at most the smaller count plus the smaller rest.  ``earlier`` holds the last of them.
+        """
+        percent = self.percent
+        band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+        entries = self.heads.select("row_id", "size", band.alias("band"), F.posexplode("grams").alias("pos", "gram"))
+        bit = F.expr("shiftleft(1L, band % 64)")
+        shared = entries.groupBy("gram").agg(F.count("*").alias("n"), F.bit_or(bit).alias("any"), F.bit_xor(bit).alias("odd")).filter("n > 1")
+        near = "any & (shiftleft(any, 1) | shiftrightunsigned(any, 63) | shiftrightunsigned(any, 1) | shiftleft(any, 63))"
+        shared = shared.select("gram", F.expr(f"if(n - bit_count(any) > bit_count(any & ~odd), any, (any & ~odd) | ({near}))").alias("bands"))
+        shared = self.work.save(shared.filter("bands <> 0"), "shared")
+        entries = entries.join(shared, "gram").filter(F.col("bands").bitwiseAND(bit) != 0).drop("bands")
+        in_order = Window.partitionBy("row_id").orderBy("pos")
+        entries = entries.withColumn("before", F.row_number().over(in_order) - 1)
+        entries = entries.withColumn("earlier", F.collect_list("gram").over(in_order.rowsBetween(-EARLIER, -1)))
+        least = F.expr(f"({percent} * size + 99) div 100")
+        entries = entries.filter(F.col("before") + F.col("size") - F.col("pos") >= least)
+        return entries.join(self.heads.select("row_id", "ranges"), "row_id")
+
+    def stars(self, entries: DataFrame) -> DataFrame:
+        """(a, b, size_a, size_b): pairs of each row with the pivots of its blocks, unless bounds rule them out."""
+        columns = ["row_id", "size", "pos", "before"]
+        pivots = entries.groupBy("gram", "band").agg(F.min(F.struct(*columns)).alias("p"), F.count("*").alias("n"))
+        pivots = pivots.filter("n > 1").select("gram", "band", *[F.col(f"p.{c}").alias(f"{c}_b") for c in columns])
+        rows = entries.select("gram", "band", *[F.col(c).alias(f"{c}_a") for c in columns])
+        # The pivot has the smallest id of its block.
+        pairs = rows.join(pivots, ["gram", "band"]).filter((F.col("row_id_b") < F.col("row_id_a")) & self.fits())
+        pairs = pairs.select(F.col("row_id_b").alias("a"), F.col("row_id_a").alias("b"), F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b"))
+        return pairs.distinct()
+
+    def fits(self) -> Column:
+        """Whether sizes and what can follow a shared n-gram of rows _a and _b leave room for a link."""
+        rest = F.least("before_a", "before_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+        return _sizes_fit(self.percent, "size_a", "size_b") & (rest >= _need(self.percent, "size_a", "size_b"))
+
+    def ranges_fit(self) -> Column:
+        """Whether the smaller counts per range of hashes leave room for a link."""
+        base = [F.floor(F.col(f"size_{k}") / RANGES).cast("int") for k in "ab"]
+        most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x + base[0], y + base[1])), F.lit(0).cast("long"), lambda n, x: n + x)
+        return F.coalesce(most, F.lit(1 << 40)) >= _need(self.percent, "size_a", "size_b")
+
+    def counted(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, size_a, size_b) of the pairs that were made as often as the n-grams that a link must share."""
+        made = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+        enough = F.least(F.lit(SHARED), F.expr(f"({self.percent} * least(size_a, size_b) + 99) div 100"))
+        return made.filter(F.col("n") >= enough).drop("n")
+
+    def likely_by_prefix(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that two bounds leave: the smaller counts per range of hashes; the overlap of both prefixes and all that can follow it."""
+        pairs, ranges = self.work.save(pairs, "pairs"), self.heads.select("row_id", "ranges")
+        for k in "ab":
+            pairs = pairs.join(ranges.select(F.col("row_id").alias(k), F.col("ranges").alias(f"ranges_{k}")), k)
+        pairs = pairs.filter(self.ranges_fit())
+        pairs = self.work.save(pairs.select("a", "b", "size_a", "size_b"), "near_pairs")
+        wanted = self.work.save(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct(), "wanted")
+        heads = self.heads.select("row_id", "grams").join(bounded(wanted, ID_BOUND), "row_id", "left_semi")
+        joined = pairs.join(heads.select(F.col("row_id").alias("a"), F.col("grams").alias("grams_a")), "a")
+        joined = joined.join(heads.select(F.col("row_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+        joined = joined.withColumn("common", F.array_intersect("grams_a", "grams_b")).filter(F.size("common") > 0)
+        after = [F.col(f"size_{k}") - F.array_position(f"grams_{k}", F.element_at("common", -1)) for k in "ab"]
+        enough = F.least(F.lit(SHARED), F.expr(f"({self.percent} * least(size_a, size_b) + 99) div 100"))
+        bound = F.size("common") + F.least(*after) >= _need(self.percent, "size_a", "size_b")
+        return joined.filter((F.size("common") >= enough) & bound).select("a", "b", "size_a", "size_b")
 
     def link_counts(self) -> DataFrame:
         """(row_id, n_links): to how many other documents each document links; call it after ``run``.
@@ -260,7 +326,6 @@ class JaccardJoin:
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Sum partial overlaps per pair; drop pairs that share too few prefix n-grams or can't reach their bound.
 
-        A pivot's pairs are counted in its own blocks only, so a link may be missed here and found across components.
         """
         ordered = F.col("a") < F.col("b")
         swap = lambda c: F.when(ordered, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
@@ -275,30 +340,21 @@ class JaccardJoin:
         return summed.filter((F.col("overlap") >= enough) & (most >= _need(self.percent, "size_a", "size_b"))).select("a", "b", "size_a", "size_b")
 
     def across(self, entries: DataFrame, found: DataFrame) -> DataFrame:
-        """Products within blocks that hold more than one component, across components only.
-
-        ``before`` counts a row's earlier prefix n-grams that some other row has too; only those can have matched
-        already, so at any shared n-gram the overlap is at most the smaller count plus the smaller rest.
-        """
+        """Products within blocks that hold more than one component, across components only."""
         known = bounded(found, ID_BOUND)
-        rows = entries.join(known, F.col("row_id") == F.col("node"), "left").select("gram", "row_id", "size", "pos", "before", F.coalesce("component", "row_id").alias("component"))
-        rows = self.work.save(rows, "rows")
+        rows = entries.join(known, F.col("row_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "row_id"))
         split = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         split = self.work.save(split.filter("low <> high").select("gram"), "split")
-        rows = self.work.save(rows.join(split, "gram", "left_semi"), "split_rows")
-        wanted = self.work.save(rows.select("row_id").distinct(), "wanted")
-        ranges = self.work.save(self.heads.join(bounded(wanted, ID_BOUND), "row_id", "left_semi"), "ranges")
-        rows = rows.join(bounded(ranges, ID_BOUND // 4), "row_id")
-        a = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("row_id", "size", "pos", "before", "component", "ranges")])
-        b = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_id", "size", "pos", "before", "component", "ranges")])
-        rest = F.least(F.col("before_a"), F.col("before_b")) + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-        most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda n, x: n + x)
+        rows = rows.join(split, "gram", "left_semi")
+        columns = ["row_id", "size", "pos", "before", "earlier", "component", "ranges"]
+        rows = self.work.save(rows.select("gram", *columns), "rows")
+        a = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in columns])
+        b = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in columns])
+        seen = F.size(F.array_intersect("earlier_a", "earlier_b"))
         pairs = a.join(b, "gram").filter(
-            (F.col("row_id_a") < F.col("row_id_b")) & (F.col("component_a") != F.col("component_b"))
-            & _sizes_fit(self.percent, "size_a", "size_b") & (rest >= _need(self.percent, "size_a", "size_b"))
-            & (F.coalesce(most, F.lit(1 << 40)) >= _need(self.percent, "size_a", "size_b"))
+            (F.col("row_id_a") < F.col("row_id_b")) & (F.col("component_a") != F.col("component_b")) & self.fits() & self.ranges_fit() & (seen < SHARED)
         )
-        return pairs.select(F.col("row_id_a").alias("a"), "size_a", "pos_a", F.col("row_id_b").alias("b"), "size_b", "pos_b")
+        return pairs.select(F.col("row_id_a").alias("a"), F.col("row_id_b").alias("b"), "size_a", "size_b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose full overlap meets the bound."""
@@ -320,9 +376,9 @@ class JaccardJoin:
 
 
 def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, size, component) of every row with an id; the component is its smallest id.
+    """(row_id, size, component) of every row; the component is its smallest id.
 
-    Rows without an id link with nothing and aren't returned.  An empty table
-    gives an empty result.
+    Rows without an id link with nothing and have no component.  An empty
+    table gives an empty result.
     """
     return JaccardJoin(df, n, percent, id_col, text_col).run()
