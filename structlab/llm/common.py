@@ -103,5 +103,13 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str = "text") -> Column:
     return F.concat(key, F.lit("\x01"), F.sha2(F.coalesce(text_col, F.lit("")), 256))
 
 
+def id_of(key: str, kind: T.DataType) -> Column:
+    """The id that ``id_and_text`` put into a key."""
+    text = F.expr(f"substring({key}, 1, length({key}) - 65)")
+    if isinstance(kind, T.IntegralType):
+        return (text.cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast(kind)
+    return text.cast(kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

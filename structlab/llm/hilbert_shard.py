@@ -84,7 +84,7 @@ def hilbert_index(codes: list[Column], bits: int) -> Column:
 
 
 def hilbert_shards(
-    df: DataFrame, dims: list[str], n_shards: int = 16, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, dims: list[str], n_shards: int = 16, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
 ) -> DataFrame:
     """Law ``rows``: row_id, size, text_crc32, curve, shard, slot; shard sizes differ by one row at most.
 
@@ -97,16 +97,20 @@ def hilbert_shards(
     a second range partitioning might cut elsewhere.
 
     Null dimensions come first; a null text is empty (size 1).  An empty table
-    gives an empty result.  Repeated rows take neighbouring slots.
+    gives an empty result.  Repeated rows take neighbouring slots.  With
+    ``whole`` each row's own columns come along as a struct ``row``.
     """
     spark = df.sparkSession
     work = Scratch(spark, "hilbert")
     body = F.coalesce(F.col(text_col), F.lit(""))
+    carried = [F.struct("*").alias("row")] if whole else []
+    kept = ["row"] if whole else []
     rows = df.select(
         F.col(id_col).alias("row_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         *[as_number(df, c).alias(f"dim{k}") for k, c in enumerate(dims)],
+        *carried,
     )
     rows = work.save(rows, "rows")
     shares = [k / 2**bits for k in range(1, 2**bits)]
@@ -115,7 +119,7 @@ def hilbert_shards(
     for k in range(len(dims)):
         points = sorted(set(cuts[k] or []))
         codes.append(sum((F.when(F.col(f"dim{k}") > F.lit(p), 1).otherwise(0) for p in points), F.lit(0)))
-    cells = rows.select("row_id", "size", "text_crc32", hilbert_index(codes, bits).alias("curve"))
+    cells = rows.select("row_id", "size", "text_crc32", hilbert_index(codes, bits).alias("curve"), *kept)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = ["curve", "text_crc32", "row_id"]
     ordered = cells.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id())
@@ -130,13 +134,16 @@ def hilbert_shards(
     ranked = ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("place"))
     ranked = ranked.withColumn("shard", F.expr(f"(rank * {n_shards}) div total"))
     start = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
-    return ranked.select("row_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - start).alias("slot"))
+    return ranked.select("row_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - start).alias("slot"), *kept)
 
 
-def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``df`` as one folder per shard, rows in curve order, so that file statistics prune every dimension."""
-    slots = placed.select(F.col("row_id").alias("_row_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    joined = df.join(slots, F.col(id_col).eqNullSafe(F.col("_row_id"))).drop("_row_id")
+def write_shards(df: DataFrame, dims: list[str], path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``df`` as one folder per shard, rows in curve order, so that file statistics prune every dimension.
+
+    Rows travel with their slots, so rows that repeat or have no id are written once each.
+    """
+    placed = hilbert_shards(df, dims, n_shards, id_col=id_col, text_col=text_col, whole=True)
+    placed = placed.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = joined.repartitionByRange(n, "_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    joined.write.partitionBy("_shard").parquet(path)
+    placed = placed.repartitionByRange(n, "_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    placed.write.partitionBy("_shard").parquet(path)

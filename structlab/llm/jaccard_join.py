@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from structlab.llm import textnum
-from structlab.llm.common import Scratch, bounded
+from structlab.llm.common import Scratch, bounded, id_and_text, id_of, repeated_ids
 from structlab.llm.components import connected_components
 
 #: Cells of the sketch of n-gram counts, and the slices it is summed in.
@@ -378,7 +378,13 @@ class JaccardJoin:
 def jaccard_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, size, component) of every row; the component is its smallest id.
 
-    Rows without an id link with nothing and have no component.  An empty
-    table gives an empty result.
+    Rows without an id link with nothing and have no component.  Where ids
+    repeat, each different text of an id is a document of its own, and the
+    component is the id of the smallest.  An empty table gives an empty result.
     """
-    return JaccardJoin(df, n, percent, id_col, text_col).run()
+    if repeated_ids(df, id_col).isEmpty():
+        return JaccardJoin(df, n, percent, id_col, text_col).run()
+    kind = df.schema[id_col].dataType
+    keyed = df.select(id_and_text(df, id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
+    rows = JaccardJoin(keyed, n, percent, "__key", "__text").run()
+    return rows.withColumn("row_id", id_of("row_id", kind)).withColumn("component", id_of("component", kind))

@@ -8,6 +8,7 @@ makes their labels agree.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -131,9 +132,12 @@ def graph_of(text: str) -> Graph:
 def labels_of(graph: Graph, base: list[tuple[str, int, int]]) -> list[int]:
     """Label of each node: the kind of a base span that overlaps it, else 0."""
     out = [0] * len(graph.spans)
+    ends = [d for _, d in graph.spans]
     for kind, a, b in base:
-        for k, (c, d) in enumerate(graph.spans):
-            if c < b and a < d and not out[k]:
+        for k in range(bisect.bisect_right(ends, a), len(ends)):
+            if graph.spans[k][0] >= b:
+                break
+            if not out[k]:
                 out[k] = 1 + KINDS.index(kind)
     return out
 
@@ -209,27 +213,32 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     """Fit a field on a bounded sample: about ``sample_docs`` documents, at most ``sample_tokens`` of their tokens.
 
     Base entities are the weak labels.  The sample's tokens and counts of label
-    pairs are what reaches the driver.
+    pairs are what reaches the driver: the first by a hash of id and text and
+    the place in the text, so the field doesn't depend on how rows are dealt.
     """
     total = df.count()
     share = int(min(1.0, sample_docs / max(total, 1)) * (1 << 30))
-    rows = df.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("field")), F.lit(1 << 30)) < share).select(F.col(text_col).alias("body"))
+    rows = df.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("field")), F.lit(1 << 30)) < share).select(F.col(text_col).alias("body"), F.xxhash64(id_col, text_col).alias("key"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features, labels, kinds = [], [], []
-            for body in batch.column(0).to_pylist():
+            features, labels, kinds, keys, places = [], [], [], [], []
+            for body, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if body and _MAY.search(body):
                     graph = graph_of(body)
                     y = labels_of(graph, base_spans(body))
                     features += [*graph.features, *[[p, q] for p, q in ((y[a], y[b]) for a, b in graph.chain)], *[[y[a], y[b]] for a, b in graph.skip]]
                     labels += [*y, *[-1] * (len(graph.chain) + len(graph.skip))]
                     kinds += [*["token"] * len(y), *["chain"] * len(graph.chain), *["skip"] * len(graph.skip)]
+                    places += range(len(kinds) - len(keys))
+                    keys += [key] * (len(kinds) - len(keys))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(features, pa.list_(pa.int32())), pa.array(labels, pa.int32()), pa.array(kinds, pa.string())], names=["features", "label", "kind"]
+                [pa.array(features, pa.list_(pa.int32())), pa.array(labels, pa.int32()), pa.array(kinds, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int32())],
+                names=["features", "label", "kind", "key", "place"],
             )
 
-    found = rows.mapInArrow(tokens, "features array<int>, label int, kind string").limit(3 * sample_tokens).collect()
+    found = rows.mapInArrow(tokens, "features array<int>, label int, kind string, key long, place int")
+    found = found.orderBy("key", "place").limit(3 * sample_tokens).collect()
     pairs = {k: np.zeros((len(LABELS), len(LABELS))) for k in ("chain", "skip")}
     for r in found:
         if r["kind"] != "token":

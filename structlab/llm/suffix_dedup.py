@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structlab.llm import textnum
-from structlab.llm.common import Scratch, bounded
+from structlab.llm.common import Scratch, bounded, id_and_text, id_of, repeated_ids
 from structlab.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LEAST = 100
@@ -368,4 +368,8 @@ class SuffixDedup:
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return SuffixDedup(df, id_col, text_col).run()
+    """``SuffixDedup.run``; where ids repeat, documents are told apart (and ordered) by id and digest of the text."""
+    if repeated_ids(df, id_col).isEmpty():
+        return SuffixDedup(df, id_col, text_col).run()
+    keyed = df.select(id_and_text(df, id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
+    return SuffixDedup(keyed, "__key", "__text").run().withColumn("row_id", id_of("row_id", df.schema[id_col].dataType))

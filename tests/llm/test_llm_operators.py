@@ -111,8 +111,9 @@ def test_hilbert_shards(docs, rows, none, tmp_path):
     order = sorted(got, key=lambda r: (r.shard, r.slot))
     assert all(a.curve <= b.curve for a, b in zip(order, order[1:], strict=False))
     assert hilbert_shard.hilbert_shards(none, ["source", "n_chars"]).count() == 0
-    hilbert_shard.write_shards(docs, placed, str(tmp_path / "shards"))
-    assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(rows)
+    again = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    hilbert_shard.write_shards(again, ["source", "lang", "n_chars"], str(tmp_path / "shards"))
+    assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(rows) + 5
 
 
 def fill(sizes, weights=(5, 2, 1), share=1.5, cap=2):
@@ -326,6 +327,17 @@ def test_suffix_dedup(docs, rows, none, anchor_texts):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    """Ranges and components go by id and text where ids repeat."""
+    x, y = "start " + " ".join(f"x{k}" for k in range(40)) * 5, "q" * 300
+    df = spark.createDataFrame([(1, x), (1, y), (7, y), (-3, "z " * 10), (None, y)], "doc_id long, text string")
+    got = {(r.row_id, r.n_bytes): [list(s) for s in r.spans] for r in suffix_dedup.suffix_dedup(df).collect()}
+    want = brute_repeats([(0, x), (1, y)])
+    assert got[1, len(x)] == want[0] and got[1, 300] == want[1] and got[7, 300] == [[0, 300]] and got[-3, 20] == [] and got[None, 300] == []
+    got = sorted((r.row_id or 0, r["size"], r.component or 0) for r in jaccard_join.jaccard_components(df, 3, 90).collect())
+    assert got == sorted([(1, len({tuple(x.split()[i : i + 3]) for i in range(len(x.split()) - 2)}), 1), (1, 1, 1), (7, 1, 1), (-3, 1, -3), (0, 1, 0)])
+
+
 def test_suffix_array_random():
     from structlab.llm.suffix_array import permuted_common_prefixes, suffix_array
 
