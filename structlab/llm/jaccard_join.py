@@ -214,12 +214,12 @@ class JaccardJoin:
         self.heads = work.save(heads if self.unique else heads.dropDuplicates(["row_id"]), "heads")
         entries = work.save(self.shared_entries(), "entries")
         work.release()
-        tested = work.save(self.likely_by_prefix(self.stars(entries)), "stars")
+        tested = work.save(self.likely_by_prefix(self.by_ranges(self.stars(entries))), "stars")
         links = work.save(self.verify(tested), "star_links")
         found = work.save(connected_components(links, work), "star_components")
         counted = self.counted(self.across(entries, found)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         across = work.save(self.likely_by_prefix(counted), "across")
-        work.drop("rows", "split", "pairs", "near_pairs", "wanted", "shared")
+        work.drop("rows", "split", "star_pairs", "pairs", "wanted", "shared")
         work.release()
         more = work.save(self.verify(across), "more_links")
         edges = links.unionByName(more)
@@ -286,13 +286,15 @@ class JaccardJoin:
         enough = F.least(F.lit(SHARED), F.expr(f"({self.percent} * least(size_a, size_b) + 99) div 100"))
         return made.filter(F.col("n") >= enough).drop("n")
 
-    def likely_by_prefix(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that two bounds leave: the smaller counts per range of hashes; the overlap of both prefixes and all that can follow it."""
-        pairs, ranges = self.work.save(pairs, "pairs"), self.heads.select("row_id", "ranges")
+    def by_ranges(self, pairs: DataFrame) -> DataFrame:
+        pairs, ranges = self.work.save(pairs, "star_pairs"), self.heads.select("row_id", "ranges")
         for k in "ab":
             pairs = pairs.join(ranges.select(F.col("row_id").alias(k), F.col("ranges").alias(f"ranges_{k}")), k)
-        pairs = pairs.filter(self.ranges_fit())
-        pairs = self.work.save(pairs.select("a", "b", "size_a", "size_b"), "near_pairs")
+        return pairs.filter(self.ranges_fit()).select("a", "b", "size_a", "size_b")
+
+    def likely_by_prefix(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose prefixes overlap enough: the common n-grams of both, and all that can follow the last of them."""
+        pairs = self.work.save(pairs, "pairs")
         wanted = self.work.save(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct(), "wanted")
         heads = self.heads.select("row_id", "grams").join(bounded(wanted, ID_BOUND), "row_id", "left_semi")
         joined = pairs.join(heads.select(F.col("row_id").alias("a"), F.col("grams").alias("grams_a")), "a")
