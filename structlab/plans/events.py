@@ -147,7 +147,7 @@ def null_cond_entropy_events(spark, sf_dir):
 
 
 @query(f"""
-    WITH e AS (SELECT user_id AS g, event_id AS pos, value AS v FROM events WHERE value IS NOT NULL AND user_id % 10 = 0), k AS (SELECT unnest(range(0, 30)) AS trial),
+    WITH e AS (SELECT user_id AS g, event_id AS pos, value AS v FROM events WHERE value IS NOT NULL), k AS (SELECT unnest(range(0, 30)) AS trial),
          n AS (SELECT trial, g, pos, v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY trial, g) AS n FROM e, k WINDOW w AS (PARTITION BY trial, g ORDER BY pos)),
          d AS (SELECT trial, g, pos, floor({sql_uniform("'boot'", 'trial::VARCHAR', 'g::VARCHAR', 'pos::VARCHAR')} * n)::BIGINT + 1 AS rn FROM n),
          b AS (SELECT trial, avg(v) AS m FROM d JOIN n USING (trial, g, rn) GROUP BY trial)
@@ -155,12 +155,6 @@ def null_cond_entropy_events(spark, sf_dir):
            round(quantile_cont(m, 0.05), 6) + 0.0 AS null_q05, round(quantile_cont(m, 0.95), 6) + 0.0 AS null_q95 FROM b
 """)
 def stratified_bootstrap_null(spark, sf_dir):
-    """Mean value against resampling with replacement within each tenth user, as in its SQL; ``stratified_bootstrap_null_whole`` takes all users."""
-    return bootstrap_null(table(spark, sf_dir, "events").filter("user_id % 10 = 0"))
-
-
-@query()
-def stratified_bootstrap_null_whole(spark, sf_dir):
     """Mean value against resampling with replacement within each user."""
     return bootstrap_null(table(spark, sf_dir, "events"))
 
@@ -184,19 +178,13 @@ def integer_multiplicity(spark, sf_dir):
 
 
 @query(f"""
-    WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity AS v FROM lineitem WHERE l_orderkey % 20 = 0), m AS (SELECT max(v) AS top FROM q), k AS (SELECT unnest(range(0, 20)) AS trial),
+    WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity AS v FROM lineitem), m AS (SELECT max(v) AS top FROM q), k AS (SELECT unnest(range(0, 20)) AS trial),
          u AS (SELECT trial, floor({sql_uniform("'half'", 'trial::VARCHAR', 'l_orderkey::VARCHAR', 'l_linenumber::VARCHAR')} * top * 2 + 0.5) / 2 AS v FROM q, m, k),
          c AS (SELECT trial, v, count(*) AS c FROM u GROUP BY ALL UNION ALL SELECT -1, v, count(*) FROM q GROUP BY v),
          h AS (SELECT trial, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM c GROUP BY trial)
     SELECT round((SELECT h FROM h WHERE trial = -1), 6) + 0.0 AS observed, round(avg(h), 6) + 0.0 AS null_mean, round(avg((h <= (SELECT h FROM h WHERE trial = -1))::INT), 6) + 0.0 AS p_le FROM h WHERE trial >= 0
 """)
 def entropy_vs_uniform(spark, sf_dir):
-    """A part of the table, as in its SQL; ``entropy_vs_uniform_whole`` takes all rows."""
-    return uniform_null(table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0"))
-
-
-@query()
-def entropy_vs_uniform_whole(spark, sf_dir):
     return uniform_null(table(spark, sf_dir, "lineitem"))
 
 

@@ -62,22 +62,12 @@ def windows_and_spans(orders, lineitem):
 
 
 @query("""
-    WITH a AS (SELECT o_orderkey AS id, (epoch_us(o_orderdate) / 86400000000)::BIGINT AS s, (epoch_us(o_orderdate) / 86400000000)::BIGINT + 10 AS e FROM orders WHERE o_orderkey <= 2000),
-         b AS (SELECT l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) / 86400000000)::BIGINT AS s, (epoch_us(l_shipdate) / 86400000000)::BIGINT + 1 + l_linenumber AS e FROM lineitem WHERE l_orderkey % 50 = 0),
+    WITH a AS (SELECT o_orderkey AS id, (epoch_us(o_orderdate) / 86400000000)::BIGINT AS s, (epoch_us(o_orderdate) / 86400000000)::BIGINT + 10 AS e FROM orders),
+         b AS (SELECT l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) / 86400000000)::BIGINT AS s, (epoch_us(l_shipdate) / 86400000000)::BIGINT + 1 + l_linenumber AS e FROM lineitem),
          o AS (SELECT a.id AS left_id, b.id AS right_id, least(a.e, b.e) - greatest(a.s, b.s) AS overlap, abs(a.s - b.s) AS off FROM a JOIN b ON a.s < b.e AND b.s < a.e)
     SELECT left_id, arg_min(right_id, (-overlap, off, right_id)) AS right_id, max(overlap)::BIGINT AS overlap, count(*) > 1 AS straddles FROM o GROUP BY left_id
 """)
 def interval_overlap_bins(spark, sf_dir):
-    """Order windows against shipping spans: the largest overlap, then the nearest start, then the smallest id.
-
-    A part of both tables, as in its SQL; ``interval_overlap_bins_whole`` takes all rows.
-    """
-    a, b = windows_and_spans(table(spark, sf_dir, "orders").filter("o_orderkey <= 2000"), table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0"))
-    return joins.best_overlap(joins.interval_overlaps(a, b, "s", "e", 30))
-
-
-@query()
-def interval_overlap_bins_whole(spark, sf_dir):
     """All order windows against all shipping spans."""
     a, b = windows_and_spans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
     return joins.best_overlap_whole(a, b, "s", "e", 30)
@@ -107,16 +97,10 @@ def embedding_nn(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE o_orderkey <= 500), m AS (SELECT o_orderkey, (d - DATE '2000-01-06') + 0.5 - (18 + 14 / 60) / 24 AS x FROM d)
+    WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders), m AS (SELECT o_orderkey, (d - DATE '2000-01-06') + 0.5 - (18 + 14 / 60) / 24 AS x FROM d)
     SELECT o_orderkey, round((1 - cos(2 * pi() * (x - 29.530588853 * floor(x / 29.530588853)) / 29.530588853)) / 2, 6) + 0.0 AS lit FROM m
 """)
 def lunar_illumination_orders(spark, sf_dir):
-    """The first orders, as in its SQL; ``lunar_illumination_orders_whole`` takes all."""
-    return lit(table(spark, sf_dir, "orders").filter("o_orderkey <= 500"))
-
-
-@query()
-def lunar_illumination_orders_whole(spark, sf_dir):
     return lit(table(spark, sf_dir, "orders"))
 
 
@@ -125,15 +109,9 @@ def lit(rows):
 
 
 @query("""
-    SELECT o_orderkey, julian(o_orderdate::DATE::TIMESTAMP)::DOUBLE - 0.5 AS jd FROM orders WHERE o_orderkey <= 500
+    SELECT o_orderkey, julian(o_orderdate::DATE::TIMESTAMP)::DOUBLE - 0.5 AS jd FROM orders
 """)
 def julian_day_orders(spark, sf_dir):
-    """The first orders, as in its SQL; ``julian_day_orders_whole`` takes all."""
-    return julian(table(spark, sf_dir, "orders").filter("o_orderkey <= 500"))
-
-
-@query()
-def julian_day_orders_whole(spark, sf_dir):
     return julian(table(spark, sf_dir, "orders"))
 
 

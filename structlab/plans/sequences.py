@@ -99,7 +99,7 @@ def repeat_structure_users(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+')[1:60] AS t FROM benchmark),
+    WITH RECURSIVE w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM benchmark),
     s AS (
         SELECT item_id, t, 0 AS i, []::VARCHAR[] AS seen, '' AS phrase FROM w
         UNION ALL
@@ -109,12 +109,6 @@ def repeat_structure_users(spark, sf_dir):
     SELECT item_id, len(seen)::BIGINT AS n_phrases, len(t)::BIGINT AS n_tokens FROM s WHERE i = len(t)
 """)
 def lz78_benchmark(spark, sf_dir):
-    """The first 60 words, as in its SQL; ``lz78_benchmark_whole`` takes all."""
-    return lz78(table(spark, sf_dir, "benchmark").select("item_id", F.slice(words(), 1, 60).alias("t")))
-
-
-@query()
-def lz78_benchmark_whole(spark, sf_dir):
     return lz78(table(spark, sf_dir, "benchmark").select("item_id", words().alias("t")))
 
 

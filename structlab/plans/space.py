@@ -41,20 +41,10 @@ def nearest_dimension(spark, sf_dir):
 
 
 @query(f"""
-    WITH {SITES}, t AS (SELECT * FROM s WHERE nation < 5), d AS (SELECT a.id, {sql_sep("a", "b")} AS d FROM t a JOIN t b ON a.id <> b.id AND a.nation = b.nation)
+    WITH {SITES}, t AS (SELECT * FROM s), d AS (SELECT a.id, {sql_sep("a", "b")} AS d FROM t a JOIN t b ON a.id <> b.id AND a.nation = b.nation)
     SELECT id, round(min(d), 6) + 0.0 AS nn_deg FROM d GROUP BY id
 """)
 def haversine_nn(spark, sf_dir):
-    """Nearest neighbour within a nation, for some nations as in its SQL; ``haversine_nn_whole`` takes all."""
-    p = sites(spark, sf_dir).filter("nation < 5")
-    a, b = p.alias("a"), p.alias("b")
-    sep = sphere.angular_sep(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
-    both = a.join(b, (F.col("a.nation") == F.col("b.nation")) & (F.col("a.id") != F.col("b.id")))
-    return both.groupBy(F.col("a.id").alias("id")).agg(r6(F.min(sep)).alias("nn_deg"))
-
-
-@query()
-def haversine_nn_whole(spark, sf_dir):
     """Nearest neighbour within each nation; cells are as wide as about five sites of the largest nation need."""
     p = sites(spark, sf_dir)
     most = p.groupBy("nation").count().agg(F.max("count")).first()[0] or 1
@@ -116,16 +106,10 @@ def clark_evans_null(spark, sf_dir):
 
 
 @query(f"""
-    WITH {SITES}, t AS (SELECT * FROM s WHERE id % 3 = 0), d AS (SELECT a.id AS a, b.id AS b, {sql_sep("a", "b")} AS d FROM t a JOIN t b ON a.id < b.id)
+    WITH {SITES}, t AS (SELECT * FROM s), d AS (SELECT a.id AS a, b.id AS b, {sql_sep("a", "b")} AS d FROM t a JOIN t b ON a.id < b.id)
     SELECT a, b, round(d, 6) + 0.0 AS sep FROM d WHERE d <= 2
 """)
 def sky_close_pairs(spark, sf_dir):
-    """A third of the sites, as in its SQL; ``sky_close_pairs_whole`` takes all."""
-    return close_sites(sites(spark, sf_dir).filter("id % 3 = 0"))
-
-
-@query()
-def sky_close_pairs_whole(spark, sf_dir):
     return close_sites(sites(spark, sf_dir))
 
 
@@ -142,19 +126,12 @@ def fold_sql(a: str, b: str) -> str:
 
 
 @query(f"""
-    WITH {SITES}, t AS (SELECT * FROM s WHERE id <= 200), p AS (SELECT a.nation AS g, a.id AS i, b.id AS j, {BEAR} AS b FROM t a JOIN t b ON a.nation = b.nation AND a.id < b.id),
+    WITH {SITES}, t AS (SELECT * FROM s), p AS (SELECT a.nation AS g, a.id AS i, b.id AS j, {BEAR} AS b FROM t a JOIN t b ON a.nation = b.nation AND a.id < b.id),
          v AS (SELECT x.g, least({fold_sql("x.b", "y.b")}, {fold_sql("x.b", "z.b")}, {fold_sql("y.b", "z.b")}) AS dev
                FROM p x JOIN p y ON x.g = y.g AND x.i = y.i AND x.j < y.j JOIN p z ON z.g = x.g AND z.i = x.j AND z.j = y.j)
     SELECT tol, count(*) FILTER (dev <= tol) AS n_triples, round(avg(dev), 6) + 0.0 AS mean_dev FROM v, (SELECT unnest([0.5::DOUBLE, 1.0, 2.0, 5.0]) AS tol) GROUP BY tol
 """)
 def collinear_triples(spark, sf_dir):
-    """The first sites, as in its SQL; ``collinear_triples_whole`` takes all."""
-    rows = sites(spark, sf_dir).filter("id <= 200")
-    return over_nations(spatial.collinear_triples(rows, "id", "lat", "lon", [0.5, 1.0, 2.0, 5.0], ["nation"]), rows)
-
-
-@query()
-def collinear_triples_whole(spark, sf_dir):
     rows = sites(spark, sf_dir)
     return over_nations(spatial.collinear_triples_whole(rows, "id", "lat", "lon", [0.5, 1.0, 2.0, 5.0], ["nation"]), rows)
 
@@ -264,18 +241,12 @@ def fft_peakiness(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT s_suppkey AS k, (s_acctbal + 1000) / 100 AS v FROM supplier WHERE s_suppkey <= 60), p AS (SELECT a.k AS a, b.k AS b, greatest(a.v, b.v) / least(a.v, b.v) AS r FROM d a JOIN d b ON a.k < b.k),
+    WITH d AS (SELECT s_suppkey AS k, (s_acctbal + 1000) / 100 AS v FROM supplier), p AS (SELECT a.k AS a, b.k AS b, greatest(a.v, b.v) / least(a.v, b.v) AS r FROM d a JOIN d b ON a.k < b.k),
          f AS (SELECT a, b, r / power(2, floor(log2(r))) AS f FROM p), n(place, note, v) AS (VALUES (0, 'unison', 1::DOUBLE), (1, 'second', 9 / 8), (2, 'third', 5 / 4), (3, 'fourth', 4 / 3), (4, 'fifth', 3 / 2), (5, 'sixth', 5 / 3), (6, 'seventh', 15 / 8), (7, 'octave', 2)),
          c AS (SELECT a, b, arg_min(note, (round(abs(1200 * log2(f / v)), 6), place)) AS note, round(min(abs(1200 * log2(f / v))), 4) + 0.0 AS off FROM f, n GROUP BY ALL)
     SELECT note, count(*) AS n_pairs, count(*) FILTER (off <= 20) AS n_hits FROM c GROUP BY note
 """)
 def pairwise_ratio_diatonic(spark, sf_dir):
-    """Ratios of all pairs of the first values against the just scale, as in its SQL; ``pairwise_ratio_diatonic_whole`` takes all values."""
-    return diatonic_hits(table(spark, sf_dir, "supplier").filter("s_suppkey <= 60"))
-
-
-@query()
-def pairwise_ratio_diatonic_whole(spark, sf_dir):
     """Ratios of all pairs of the table against the just scale."""
     return diatonic_hits(table(spark, sf_dir, "supplier"))
 
@@ -289,18 +260,12 @@ def diatonic_hits(supplier):
 
 
 @query(f"""
-    WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value AS v FROM events WHERE user_id < 20 AND value IS NOT NULL),
+    WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value AS v FROM events WHERE value IS NOT NULL),
          s AS (SELECT user_id, i, v FROM e WHERE i <= 6), g AS (SELECT unnest(range(1, 7)) * 1.0::DOUBLE AS mu), h AS (SELECT unnest([0.5::DOUBLE, 1.0, 2.0]) AS sg),
          f AS (SELECT user_id, mu, sg, v, exp(-0.5::DOUBLE * power((i - mu) / sg, 2)) AS f FROM s, g, h), q AS (SELECT user_id, mu, sg, sum(f * v) AS fv, sum(f * f) AS ff, sum(v * v) AS vv FROM f GROUP BY ALL)
     SELECT user_id, round(min(vv - fv * fv / ff), 4) + 0.0 AS rss FROM q GROUP BY user_id
 """)
 def beam_transit_fit(spark, sf_dir):
-    """The first users, as in its SQL; ``beam_transit_fit_whole`` takes all."""
-    return beam_fit(table(spark, sf_dir, "events").filter("user_id < 20"))
-
-
-@query()
-def beam_transit_fit_whole(spark, sf_dir):
     return beam_fit(table(spark, sf_dir, "events"))
 
 

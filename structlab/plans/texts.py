@@ -48,15 +48,10 @@ def printable_ratio_by_lang(spark, sf_dir):
     )
 
 
-BITS = "b AS (SELECT item_id, text, list_aggregate(list_transform(string_split(left(text, 64), ''), lambda c: right(lpad(bin(ascii(c)), 32, '0'), 8)), 'string_agg', '') AS bits FROM benchmark)"
+BITS = "b AS (SELECT item_id, text, list_aggregate(list_transform(string_split(text, ''), lambda c: right(lpad(bin(ascii(c)), 32, '0'), 8)), 'string_agg', '') AS bits FROM benchmark)"
 
 
 def item_bits(spark, sf_dir):
-    """Bits of the first 64 characters, as in the SQL; ``whole_bits`` has those of the whole text."""
-    return table(spark, sf_dir, "benchmark").select("item_id", tx.text_to_bits(F.left(F.col("text"), F.lit(64))).alias("bits"))
-
-
-def whole_bits(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", tx.text_to_bits(F.col("text")).alias("bits"))
 
 
@@ -69,25 +64,14 @@ def text_to_bits_stats(spark, sf_dir):
     return bits_stats(item_bits(spark, sf_dir))
 
 
-@query()
-def text_to_bits_stats_whole(spark, sf_dir):
-    return bits_stats(whole_bits(spark, sf_dir))
-
-
 def bits_stats(b):
     return b.select("item_id", F.length("bits").cast("long").alias("n_bits"), r6(tx.bit_balance(F.col("bits"))).alias("balance"), r6(tx.run_density(F.col("bits"))).alias("run_density"))
 
 
 @query("""
-    SELECT count(*) AS n, count(*) AS n_ok FROM benchmark WHERE regexp_full_match(left(text, 64), '[\\x00-\\x7F]*')
+    SELECT count(*) AS n, count(*) AS n_ok FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')
 """)
 def codec_roundtrip(spark, sf_dir):
-    """Encoding and decoding gives back the start of every ASCII text; ``codec_roundtrip_whole`` takes whole texts."""
-    return roundtrips(table(spark, sf_dir, "benchmark").select(F.left(F.col("text"), F.lit(64)).alias("t")))
-
-
-@query()
-def codec_roundtrip_whole(spark, sf_dir):
     """Encoding and decoding gives back every ASCII text."""
     return roundtrips(table(spark, sf_dir, "benchmark").select(F.col("text").alias("t")))
 
@@ -107,11 +91,6 @@ def window_entropy_bits(spark, sf_dir):
     return window_entropy(item_bits(spark, sf_dir))
 
 
-@query()
-def window_entropy_bits_whole(spark, sf_dir):
-    return window_entropy(whole_bits(spark, sf_dir))
-
-
 def window_entropy(b):
     profile = sequence.window_profile(b, "item_id", "bits", 64, 16)
     return profile.groupBy("item_id").agg(
@@ -128,11 +107,6 @@ def autocorr_bits(spark, sf_dir):
     return autocorrelation(item_bits(spark, sf_dir))
 
 
-@query()
-def autocorr_bits_whole(spark, sf_dir):
-    return autocorrelation(whole_bits(spark, sf_dir))
-
-
 def autocorrelation(b):
     rows = b.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.when(F.substring(F.col("bits"), i, F.lit(1)) == "1", 1).otherwise(-1))).alias("i", "v"))
     w = Window.partitionBy("item_id").orderBy("i")
@@ -153,11 +127,6 @@ def reshape_entropy(spark, sf_dir):
     return row_entropies(item_bits(spark, sf_dir))
 
 
-@query()
-def reshape_entropy_whole(spark, sf_dir):
-    return row_entropies(whole_bits(spark, sf_dir))
-
-
 def row_entropies(b):
     b = b.select("item_id", "bits", F.explode(F.sequence(F.lit(2), F.lit(64))).alias("width")).filter(F.length("bits") % F.col("width") == 0)
     starts = F.sequence(F.lit(0), F.floor(F.length("bits") / F.col("width")).cast("int") - 1)
@@ -175,15 +144,9 @@ def row_entropies(b):
     SELECT item_id, arg_max(o, (printable, m, -o))::BIGINT AS skip, arg_max(m, (printable, m, -o)) AS msb_first, round(max(printable), 6) + 0.0 AS printable FROM p GROUP BY item_id
 """)
 def byte_decode_sweep(spark, sf_dir):
-    """Every offset and bit order; the decoding with the most printable codes wins."""
     return most_printable(item_bits(spark, sf_dir))
 
 
-@query()
-def byte_decode_sweep_whole(spark, sf_dir):
-    return most_printable(whole_bits(spark, sf_dir))
-
-
 def most_printable(b):
     b = b.select("item_id", "bits", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"), F.lit([True, False]).alias("orders"))
     b = b.select("item_id", "bits", "o", F.explode("orders").alias("m"))
@@ -198,7 +161,7 @@ def most_printable(b):
 
 @query()
 def lz76_bits(spark, sf_dir):
-    return sequence.lz76_phrases(whole_bits(spark, sf_dir), "item_id", "bits")
+    return sequence.lz76_phrases(item_bits(spark, sf_dir), "item_id", "bits")
 
 
 @query("""
@@ -227,16 +190,10 @@ def regex_snippets(spark, sf_dir):
 
 
 @query("""
-    WITH b AS (SELECT a.item_id AS a, b.item_id AS b, left(a.text, 40) AS x, left(b.text, 40) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
+    WITH b AS (SELECT a.item_id AS a, b.item_id AS b, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
     SELECT a, b, list_sum(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: (x[i] <> y[i])::INT))::BIGINT AS n_diff FROM b
 """)
 def hamming_neighbours(spark, sf_dir):
-    """The first 40 characters, as in its SQL; ``hamming_neighbours_whole`` takes whole texts."""
-    return differences(table(spark, sf_dir, "benchmark").select("item_id", F.left(F.col("text"), F.lit(40)).alias("t")))
-
-
-@query()
-def hamming_neighbours_whole(spark, sf_dir):
     return differences(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t")))
 
 
