@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from structlab.functions import dates
 from structlab.operators import fit, joins
-from structlab.plans.registry import query, r6, table
+from structlab.plans.registry import checkpoints, query, r6, shared_dir, table
 
 
 @query("""
@@ -165,21 +165,17 @@ def quality_classifiers(spark, sf_dir):
         "quality", F.length("text").cast("double").alias("chars"), printable_ratio(F.col("text")).alias("printable"),
         (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.length("text")).alias("upper"), (F.length(F.regexp_replace("text", "[A-Za-z\\s]", "")) / F.length("text")).alias("signs"),
     )
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="structlab-"))
+    checkpoints(spark)
     return fit.train_classifiers(rows, ["chars", "printable", "upper", "signs"], "quality", 3)
 
 
 def _stream(spark, sf_dir, shape, name, mode="complete"):
-    import tempfile
     import uuid
 
     from structlab.streaming import events as st
 
     events = st.event_stream(spark, f"{sf_dir}/events.parquet")
-    return st.run_to_table(shape(events), f"{name}_{uuid.uuid4().hex[:8]}", mode, tempfile.mkdtemp(prefix="structlab-stream-"))
+    return st.run_to_table(shape(events), f"{name}_{uuid.uuid4().hex[:8]}", mode, shared_dir(spark, "stream"))
 
 
 @query("""
