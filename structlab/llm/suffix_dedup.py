@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from structlab.llm import textnum
 from structlab.llm.common import Scratch, bounded, id_and_text, id_of, repeated_ids
-from structlab.llm.suffix_array import permuted_common_prefixes, suffix_array
+from structlab.llm.suffix_array import permuted_common_prefixes, suffix_order
 
 LEAST = 100
 #: Bytes of an anchor; a power of two.  Every string of LEAST bytes holds an anchor that its other copies hold too.
@@ -128,13 +128,12 @@ def repeated_starts(texts: list[bytes], rows: np.ndarray, starts: np.ndarray) ->
     symbols are neighbours.
     """
     sizes = np.array([len(t) for t in texts])
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
     symbols = np.insert(raw, np.cumsum(sizes), 0)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     at = np.arange(len(symbols)) - np.repeat(np.concatenate(([0], np.cumsum(sizes + 1)[:-1])), sizes + 1)
-    order = suffix_array(symbols, 257)
-    common = np.array(permuted_common_prefixes(symbols.tolist(), order, LEAST))
-    order = np.array(order)
+    order = suffix_order(symbols, 257)
+    common = permuted_common_prefixes(symbols, order, LEAST)
     group = np.cumsum(common[order] < LEAST)
     whole = at[order] + LEAST <= sizes[owner[order]]
     order, group = order[whole], group[whole]
