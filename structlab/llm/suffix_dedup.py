@@ -146,6 +146,14 @@ def repeated_starts(texts: list[bytes], rows: np.ndarray, starts: np.ndarray) ->
     return later >> np.int64(32), later & np.int64((1 << 32) - 1)
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """``df`` (one row per key) as the side of a shuffled join that hash tables are built of, at every size of it.
+
+    The other side is read as a stream, and adaptive execution splits its hot keys.
+    """
+    return df.hint("shuffle_hash")
+
+
 class SuffixDedup:
     """Byte ranges to remove from every document.
 
@@ -166,7 +174,9 @@ class SuffixDedup:
        shuffle.  Nothing is dropped.
 
     Anchors and surroundings are compared by 64-bit hashes each, strings in
-    shards by their bytes.  Texts move only to the documents' own tasks.
+    shards by their bytes.  Joins of anchors, and of texts with their spots,
+    are shuffled at every size; only copies and final runs are broadcast, behind
+    a check of their count.
     """
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_texts: int = ANCHOR_TEXTS, shard_texts: int = SHARD_TEXTS):
@@ -193,20 +203,21 @@ class SuffixDedup:
         self.fresh = rows
         found = work.save(anchor_rows(rows, "row_id", "body"), "anchors")
         counts = work.save(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "counts")
-        found = work.save(found.join(bounded(counts, ID_BOUND), "anchor", "left_semi"), "shared")
+        found = work.save(found.join(hashed(counts), "anchor", "left_semi"), "shared")
         work.drop("anchors", "counts")
         pairs = found.groupBy("anchor", "around").agg(F.min(F.struct("row_id", "pos", "left", "right")).alias("first"), F.count("*").alias("n"))
         pairs = work.save(pairs, "pairs")
         repeated = pairs.filter("n > 1").select("anchor", "around", "first")
-        later = found.join(bounded(repeated, ID_BOUND), ["anchor", "around"]).filter(F.struct("row_id", "pos", "left", "right") != F.col("first"))
+        later = found.join(hashed(repeated), ["anchor", "around"]).filter(F.struct("row_id", "pos", "left", "right") != F.col("first"))
         same = later.select("row_id", (F.col("pos") - F.col("left")).alias("low"), (F.col("pos") + F.col("right")).alias("high"))
         spread = work.save(pairs.groupBy("anchor").agg(F.count("*").alias("texts")).filter("texts > 1"), "spread")
-        open_rows = pairs.join(bounded(spread, ID_BOUND), "anchor").select("anchor", "texts", "first.*")
+        open_rows = pairs.join(hashed(spread), "anchor").select("anchor", "texts", "first.*")
         open_rows = work.save(open_rows, "open")
         near = self.near_spots(rows, open_rows)
+        work.drop("spread", "open")
         hot = near.groupBy("anchor").agg((F.count("*") > self.anchor_texts).alias("hot"))
         hot = work.save(hot, "hot_anchors")
-        near = work.save(near.join(bounded(hot, ID_BOUND), "anchor"), "near_hot")
+        near = work.save(near.join(hashed(hot), "anchor"), "near_hot")
         texts = self.with_spots(rows, near, "pos", "anchor", "left", "right", "hot")
         parts = [same]
         if near.filter("hot").limit(1).count():
@@ -215,10 +226,10 @@ class SuffixDedup:
         return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def with_spots(self, rows: DataFrame, spots: DataFrame, *columns: str) -> DataFrame:
-        """(row_id, body, spots) of the rows that have spots; a broadcast if there are few spots, else a join of these texts."""
+        """(row_id, body, spots) of the rows that have spots."""
         lists = spots.groupBy("row_id").agg(F.collect_list(F.struct(*columns)).alias("spots"))
         lists = self.work.save(lists, "lists")
-        return rows.join(bounded(lists, ID_BOUND, spots.count()), "row_id").select("row_id", "body", "spots")
+        return rows.join(hashed(lists), "row_id").select("row_id", "body", "spots")
 
     def near_spots(self, rows: DataFrame, open_rows: DataFrame) -> DataFrame:
         """(row_id, pos, anchor, left, right): open spots that may share a string with another one, cut down to the steps in which."""
@@ -251,7 +262,7 @@ class SuffixDedup:
         texts = self.with_spots(rows, open_rows, "pos", "anchor", "left", "right")
         probes = self.work.save(texts.mapInArrow(probe, f"row_id {self.id_type}, pos long, anchor long, left short, right short, key long"), "probes")
         twice = self.work.save(probes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
-        near = probes.join(bounded(twice, ID_BOUND), "key", "left_semi").groupBy("row_id", "pos", "anchor")
+        near = probes.join(hashed(twice), "key", "left_semi").groupBy("row_id", "pos", "anchor")
         near = self.work.save(near.agg(F.max("left").alias("left"), F.max("right").alias("right")), "near")
         self.work.drop("probes", "twice", "lists")
         self.work.release()
@@ -323,6 +334,8 @@ class SuffixDedup:
         """
         work = self.work
         ranges = work.save(self.intervals(), "ranges")
+        work.drop(*[name for name in work.paths if name not in ("ranges", "copies")])
+        work.release()
         per_row = ranges.groupBy("row_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
         runs = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
