@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Largest alphabet whose buckets are induced as arrays; with more, buckets are so small that a plain loop is faster.
-ARRAY_SYMBOLS = 1024
+#: Mean suffixes of a symbol from which its bucket is induced as an array; below, a plain loop is faster.
+ARRAY_SUFFIXES = 100
 
 
 def shared_symbols(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ class _Buckets:
 
     def induce(self, ordered: np.ndarray) -> np.ndarray:
         """All suffixes, from the leftmost-smaller ones in ``ordered``; a bucket at a time, as arrays or by a plain loop."""
-        return self._by_arrays(ordered) if len(self.sizes) <= ARRAY_SYMBOLS else np.array(self._by_loop(ordered.tolist()))
+        return self._by_arrays(ordered) if self.n >= ARRAY_SUFFIXES * len(self.sizes) else np.array(self._by_loop(ordered.tolist()))
 
     def _deal(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Suffixes by first symbol (order kept), these symbols, each one's rank among its symbol, and counts by symbol."""

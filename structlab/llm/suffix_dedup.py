@@ -10,8 +10,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,17 +120,22 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], ends[np.concatenate((at[1:] - 1, [len(ends) - 1]))] if len(at) else ends
 
 
-def repeated_starts(texts: list[bytes], rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def flat_spots(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row of each struct in a column of lists, and its fields as arrays."""
+    flat = column.flatten()
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return row, {flat.type.field(k).name: flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)}
+
+
+def repeated_starts(raw: np.ndarray, sizes: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, start) of the LEAST-byte strings of the texts that occur at an earlier (row, start) in any of them.
 
-    ``rows`` and ``starts`` (below 2^32) say where each text lies.  One suffix
-    array over all texts, a separator after each; suffixes that share LEAST
-    symbols are neighbours.
+    ``raw`` is the texts' bytes one after another; ``rows`` and ``starts``
+    (below 2^32) say where each text lies.  One suffix array over all texts, a
+    separator after each; suffixes that share LEAST symbols are neighbours.
     """
-    sizes = np.array([len(t) for t in texts])
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
-    symbols = np.insert(raw, np.cumsum(sizes), 0)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    symbols = np.insert(raw.astype(np.uint16) + 1, np.cumsum(sizes), 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     at = np.arange(len(symbols)) - np.repeat(np.concatenate(([0], np.cumsum(sizes + 1)[:-1])), sizes + 1)
     order = suffix_order(symbols, 257)
     common = permuted_common_prefixes(symbols, order, LEAST)
@@ -237,27 +242,21 @@ class SuffixDedup:
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blake = hashlib.blake2b
             for batch in batches:
-                at, pos, anchor, left, right, key = [], [], [], [], [], []
-                for k, (body, spots) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    raw = body.encode()
-                    for s in spots:
-                        p, a = s["pos"], s["anchor"]
-                        seed = a.to_bytes(8, "little", signed=True)
-                        for g in STEPS:
-                            # Strings with g to g + STEP bytes to the left of the anchor, of those that are its own.
-                            most, fewest = min(g + STEP, s["left"]), max(g, LEAST - s["right"])
-                            if fewest <= most:
-                                at.append(k)
-                                pos.append(p)
-                                anchor.append(a)
-                                left.append(most)
-                                right.append(LEAST - fewest)
-                                low, high = p - g, p + LEAST - STEP - g
-                                key.append(int.from_bytes(blake(raw[low:high], digest_size=8, key=seed, salt=bytes((g,))).digest(), "little", signed=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (pos, anchor)), *(pa.array(x, pa.int16()) for x in (left, right)), pa.array(key, pa.int64())],
-                    names=["row_id", "pos", "anchor", "left", "right", "key"],
-                )
+                raw, offsets = textnum.utf8(batch.column(1))
+                body = raw.tobytes()
+                row, spot = flat_spots(batch.column(2))
+                pos, anchor, left, right = (spot[x].astype(np.int64) for x in ("pos", "anchor", "left", "right"))
+                for g in STEPS:
+                    # Strings with g to g + STEP bytes to the left of the anchor, of those that are its own.
+                    most, fewest = np.minimum(g + STEP, left), np.maximum(g, LEAST - right)
+                    k = np.flatnonzero(fewest <= most)
+                    seeds, low = anchor[k].tobytes(), (offsets[row[k]] + pos[k] - g).tolist()
+                    salt, size = bytes((g,)), LEAST - STEP
+                    key = [blake(body[a : a + size], digest_size=8, key=seeds[8 * i : 8 * i + 8], salt=salt).digest() for i, a in enumerate(low)]
+                    columns = [pos[k], anchor[k], most[k].astype(np.int16), (LEAST - fewest[k]).astype(np.int16), np.frombuffer(b"".join(key), np.int64)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(row[k])), *(pa.array(x) for x in columns)], names=["row_id", "pos", "anchor", "left", "right", "key"]
+                    )
 
         texts = self.with_spots(rows, open_rows, "pos", "anchor", "left", "right")
         probes = self.work.save(texts.mapInArrow(probe, f"row_id {self.id_type}, pos long, anchor long, left short, right short, key long"), "probes")
@@ -273,33 +272,35 @@ class SuffixDedup:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, start, anchor, around = [], [], [], []
-                for k, (body, spots) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    raw = body.encode()
-                    for s in spots:
-                        if not s["hot"]:
-                            low = s["pos"] - s["left"]
-                            at.append(k)
-                            start.append(low)
-                            anchor.append(s["anchor"])
-                            around.append(raw[low : s["pos"] + s["right"]])
+                raw, offsets = textnum.utf8(batch.column(1))
+                body = raw.tobytes()
+                row, spot = flat_spots(batch.column(2))
+                k = np.flatnonzero(~spot["hot"].astype(bool))
+                row, start = row[k], spot["pos"][k] - spot["left"][k]
+                low = offsets[row] + start
+                high = low + spot["left"][k] + spot["right"][k]
+                around = [body[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(anchor, pa.int64()), pa.array(around, pa.binary())],
+                    [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(spot["anchor"][k]), pa.array(around, pa.binary())],
                     names=["row_id", "start", "anchor", "around"],
                 )
 
-        def sort(rows: pd.DataFrame) -> pd.DataFrame:
-            ids, number = np.unique(rows["row_id"].to_numpy(), return_inverse=True)
-            row, start = repeated_starts(rows["around"].tolist(), number.astype(np.int64), rows["start"].to_numpy(np.int64))
+        def sort(rows: pa.Table) -> pa.Table:
+            rows = rows.combine_chunks()
+            id_column, around = (rows.column(x).chunk(0) for x in ("row_id", "around"))
+            ids, number = np.unique(id_column.to_numpy(zero_copy_only=False), return_inverse=True)
+            sizes = pc.binary_length(around).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = np.frombuffer(b"".join(around.to_pylist()), np.uint8)
+            row, start = repeated_starts(raw, sizes, number.astype(np.int64), rows.column("start").to_numpy().astype(np.int64))
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + LEAST)
             first = np.flatnonzero(new)
             last = np.concatenate((first[1:], [len(row)]))[: len(first)] - 1
-            return pd.DataFrame({"row_id": ids[row[first]], "low": start[first], "high": start[last] + LEAST})
+            return pa.table({"row_id": pa.array(ids[row[first]], id_column.type), "low": start[first], "high": start[last] + LEAST})
 
         spots = texts.select("row_id", "body", "spots").mapInArrow(cut, f"row_id {self.id_type}, start long, anchor long, around binary")
         dealt = spots.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        return dealt.groupBy("shard").applyInPandas(sort, f"row_id {self.id_type}, low long, high long")
+        return dealt.groupBy("shard").applyInArrow(sort, f"row_id {self.id_type}, low long, high long")
 
     def by_hash(self, texts: DataFrame) -> DataFrame:
         """Strings around hot anchors: a 128-bit hash of each, first places by an aggregate, later ones removed."""
@@ -337,15 +338,14 @@ class SuffixDedup:
         work.drop(*[name for name in work.paths if name not in ("ranges", "copies")])
         work.release()
         per_row = ranges.groupBy("row_id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-        runs = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
         def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for ranges in batch.column(1).to_pylist():
-                    low, high = merged(np.array([r["low"] for r in ranges]), np.array([r["high"] for r in ranges]))
-                    out.append([{"low": a, "high": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, runs)], names=["row_id", "ranges"])
+                row, span = flat_spots(batch.column(1))
+                low, high = merged((row << np.int64(40)) + span["low"], (row << np.int64(40)) + span["high"])
+                offsets = np.searchsorted(low >> np.int64(40), np.arange(batch.num_rows + 1)).astype(np.int32)
+                runs = pa.StructArray.from_arrays([pa.array(x & np.int64((1 << 40) - 1)) for x in (low, high)], ["low", "high"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["row_id", "ranges"])
 
         per_row = work.save(per_row.mapInArrow(unite, f"row_id {self.id_type}, ranges array<struct<low:long,high:long>>"), "ranges_by_row")
         work.drop("ranges")
