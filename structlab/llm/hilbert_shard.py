@@ -14,16 +14,54 @@ from pyspark.sql import types as T
 from structlab.llm.common import Scratch
 
 BITS = 4
+#: Most distinct strings of a dimension, and most bytes of them, whose places are broadcast.
+VALUE_BOUND, VALUE_BYTES = 100_000, 16 << 20
 ROW_BITS = 33  # monotonically_increasing_id holds the partition above these
 
 
+def is_string(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
+def ranked(work: Scratch, df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``df`` with ``rank`` (place in the order of ``key``, from 0) and ``total`` (rows).
+
+    Rows are range-partitioned; a rank is the place within a partition plus the
+    partition's offset, so no task sees more than its partition.  The order is
+    written once and read again, because a second range partitioning might cut
+    elsewhere.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id())
+    ordered = work.save(ordered, name)
+    ordered = ordered.withColumn("part", F.shiftright("at", ROW_BITS)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
+    counts = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(  # one row per partition
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total")
+    )
+    return ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("place")).drop("at", "part", "place", "offset")
+
+
+def with_places(work: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the whole strings in ``name`` replaced by their places among the distinct ones (null first).
+
+    The distinct strings combine before the shuffle and are ordered like the
+    rows; their places are broadcast if few and short enough, else the join is
+    shuffled and adaptive execution splits hot strings.
+    """
+    values = ranked(work, rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct(), ["value"], f"values-{name}")
+    places = work.save(values.select("value", F.col("rank").cast("double").alias("number")), f"places-{name}")
+    n, size = places.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    places = F.broadcast(places) if n <= VALUE_BOUND and size <= VALUE_BYTES else places
+    joined = rows.join(places, F.col(name) == F.col("value"), "left")
+    return joined.withColumn(name, F.coalesce("number", F.lit(float("-inf")))).drop("value", "number")
+
+
 def as_number(df: DataFrame, name: str) -> Column:
-    """An order-preserving double: strings by their first six bytes, others by value; null and NaN first."""
+    """An order-preserving double of a value that isn't a string; null and NaN first."""
     kind = df.schema[name].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-        value = F.conv(head, 16, 10).cast("double")
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         value = F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     else:
         value = F.col(name).cast("double")
@@ -91,17 +129,14 @@ def hilbert_shards(
     Cut points of each dimension are approximate quantiles over all rows (2^bits
     - 1 per dimension are collected).  Only narrow rows are range-partitioned,
     by (curve, text CRC, id): a cell with a third of all rows is split by the
-    rest of the key, and equal texts lie side by side.  Positions follow from
-    the place within a partition plus the partition's offset, so no task sees
-    more than its partition.  The order is written once and read again, because
-    a second range partitioning might cut elsewhere.
+    rest of the key, and equal texts lie side by side.  Strings count by their
+    places among all distinct strings of their dimension.
 
     Null dimensions come first; a null text is empty (size 1).  An empty table
     gives an empty result.  Repeated rows take neighbouring slots.  With
     ``whole`` each row's own columns come along as a struct ``row``.
     """
-    spark = df.sparkSession
-    work = Scratch(spark, "hilbert")
+    work = Scratch(df.sparkSession, "hilbert")
     body = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.struct("*").alias("row")] if whole else []
     kept = ["row"] if whole else []
@@ -109,10 +144,13 @@ def hilbert_shards(
         F.col(id_col).alias("row_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        *[as_number(df, c).alias(f"dim{k}") for k, c in enumerate(dims)],
+        *[(F.col(c) if is_string(df, c) else as_number(df, c)).alias(f"dim{k}") for k, c in enumerate(dims)],
         *carried,
     )
     rows = work.save(rows, "rows")
+    for k, c in enumerate(dims):
+        if is_string(df, c):
+            rows = with_places(work, rows, f"dim{k}")
     shares = [k / 2**bits for k in range(1, 2**bits)]
     cuts = rows.agg(*[F.percentile_approx(f"dim{k}", shares, 10_000).alias(f"dim{k}") for k in range(len(dims))]).first()
     codes = []
@@ -120,21 +158,11 @@ def hilbert_shards(
         points = sorted(set(cuts[k] or []))
         codes.append(sum((F.when(F.col(f"dim{k}") > F.lit(p), 1).otherwise(0) for p in points), F.lit(0)))
     cells = rows.select("row_id", "size", "text_crc32", hilbert_index(codes, bits).alias("curve"), *kept)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = ["curve", "text_crc32", "row_id"]
-    ordered = cells.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id())
-    ordered = work.save(ordered, "ordered")
+    placed = ranked(work, cells, ["curve", "text_crc32", "row_id"], "ordered")
     work.drop("rows")
-    ordered = ordered.withColumn("part", F.shiftright("at", ROW_BITS)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
-    counts = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(  # one row per partition
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total")
-    )
-    ranked = ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("place"))
-    ranked = ranked.withColumn("shard", F.expr(f"(rank * {n_shards}) div total"))
+    placed = placed.withColumn("shard", F.expr(f"(rank * {n_shards}) div total"))
     start = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
-    return ranked.select("row_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - start).alias("slot"), *kept)
+    return placed.select("row_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - start).alias("slot"), *kept)
 
 
 def write_shards(df: DataFrame, dims: list[str], path: str, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:

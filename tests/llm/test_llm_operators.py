@@ -116,6 +116,15 @@ def test_hilbert_shards(docs, rows, none, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(rows) + 5
 
 
+def test_hilbert_shards_tell_strings_with_one_prefix_apart(spark):
+    names = ["common_crawl_a", "common_crawl_b", "common_wiki", None]
+    df = spark.createDataFrame([(k, f"text {k}", names[k % 4]) for k in range(400)], "doc_id long, text string, source string")
+    held = {}
+    for r in hilbert_shard.hilbert_shards(df, ["source"], 4).collect():
+        held.setdefault(r.shard, set()).add(names[r.row_id % 4])
+    assert [held[k] for k in range(4)] == [{None}, {"common_crawl_a"}, {"common_crawl_b"}, {"common_wiki"}]
+
+
 def fill(sizes, weights=(5, 2, 1), share=1.5, cap=2):
     """Capping and sharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
