@@ -213,13 +213,16 @@ class JaccardJoin:
         heads = heads.join(reps, "row_id", "left_semi")
         self.heads = work.save(heads if self.unique else heads.dropDuplicates(["row_id"]), "heads")
         entries = work.save(self.shared_entries(), "entries")
+        work.drop("shared")
         work.release()
         tested = work.save(self.likely_by_prefix(self.by_ranges(self.stars(entries))), "stars")
+        work.drop("star_pairs", "pairs", "wanted")
+        work.release()
         links = work.save(self.verify(tested), "star_links")
         found = work.save(connected_components(links, work), "star_components")
         counted = self.counted(self.across(entries, found)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         across = work.save(self.likely_by_prefix(counted), "across")
-        work.drop("rows", "split", "star_pairs", "pairs", "wanted", "shared")
+        work.drop("heads", "stars", "rows", "split", "pairs", "wanted")
         work.release()
         more = work.save(self.verify(across), "more_links")
         edges = links.unionByName(more)
