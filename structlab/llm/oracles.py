@@ -68,4 +68,38 @@ OP10 = f"""
     FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id
 """
 
-ORACLES = {"op6_jaccard_join": OP6, "op7_source_mix": OP7, "op8_exact_dedup": OP8, "op10_secret_ledger": OP10}
+OP12 = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+         s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+               FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+         p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+         n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+                      s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+               FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+    SELECT * FROM n WHERE rank <= 10
+"""
+
+#: The register's step for each low byte, and the CRC-32 of a word's bytes.
+_STEPS = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP13 = f"""
+    WITH t AS (SELECT {_STEPS} AS step),
+         b AS (SELECT doc_id, true AS source, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+         f AS (SELECT doc_id, source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_LETTERS})) AS word FROM b),
+         d AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM f),
+         c AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)),
+                      lambda r, x: xor(step[(xor(r, x) & 255) + 1], r >> 8)), 4294967295) % 10000 AS bucket FROM d, t),
+         u AS (SELECT bucket, count(*) FILTER (source) AS s, count(*) FILTER (NOT source) AS t FROM f JOIN c USING (word) GROUP BY bucket),
+         a AS (SELECT coalesce(sum(s), 0)::BIGINT AS s, coalesce(sum(t), 0)::BIGINT AS t FROM u),
+         g AS (SELECT bucket, floor(1000 * ln(((u.t + 1)::DOUBLE * (a.s + 10000)) / ((u.s + 1)::DOUBLE * (a.t + 10000))))::BIGINT AS gain FROM u, a),
+         w AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM f JOIN c USING (word) JOIN g USING (bucket) WHERE source GROUP BY doc_id),
+         z AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+                      ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w USING (doc_id)),
+         y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM z),
+         r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM y)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM r
+"""
+
+ORACLES = {"op6_jaccard_join": OP6, "op7_source_mix": OP7, "op8_exact_dedup": OP8, "op10_secret_ledger": OP10, "op12_vector_file": OP12, "op13_target_resample": OP13}

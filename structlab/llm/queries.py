@@ -12,11 +12,14 @@ from structlab.llm.hilbert_shard import hilbert_shards
 from structlab.llm.html_consensus import extract_main_text
 from structlab.llm.jaccard_join import jaccard_components
 from structlab.llm.oracles import ORACLES  # noqa: F401
+from structlab.llm.piece_codec import decode_pieces, encode_pieces
 from structlab.llm.quality_rules import apply_rules, fit_rules
 from structlab.llm.secret_ledger import BASE_RULES, RULES, joined_spans, ordered_spans, scan
 from structlab.llm.skip_chain_pii import KINDS, find_personal_data
 from structlab.llm.source_mix import mix_sources
 from structlab.llm.suffix_dedup import suffix_dedup
+from structlab.llm.target_resample import resample
+from structlab.llm.vector_file import hard_negatives
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +100,30 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = encode_pieces(table(spark, sf_dir, "documents"), path)
+    spanned = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, k: n + k)
+    coded = coded.select(
+        F.col("row_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), spanned.alias("n_spanned"), "ids",
+    )
+    decoded = decode_pieces(coded, path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_spanned")
+
+
+def op12_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("row_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -108,4 +135,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_pack": op9_best_fit_pack,
     "op10_secret_ledger": op10_secret_ledger,
+    "op11_piece_codec": op11_piece_codec,
+    "op12_vector_file": op12_vector_file,
+    "op13_target_resample": op13_target_resample,
 }
