@@ -63,7 +63,8 @@ def bigrams(df: DataFrame, by: list[str] = (), seq: str = "seq", order: str | li
 def conditional_entropy(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     """H(next | previous) in bits; the previous token's total counts only tokens that have a next."""
     by = list(by)
-    joint = pairs.groupBy(*by, "x", "y").agg(F.count("*").alias("c"))
+    counted = "c" in pairs.columns  # pairs that come with their counts
+    joint = pairs if counted else pairs.groupBy(*by, "x", "y").agg(F.count("*").alias("c"))
     rows = joint.groupBy(*by, "x").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("s"))
     value = F.sum(F.col("n") * F.log2(F.col("n").cast("double")) - F.col("s")) / F.sum("n")
     return rows.groupBy(*by).agg(F.sum("n").cast("long").alias("n_pairs"), value.alias("cond_entropy"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from structlab.functions import sphere
 from structlab.functions.rng import uniform
-from structlab.operators import nulls, periodic, sequence, verdict
+from structlab.operators import nulls, periodic, ranks, sequence, verdict
 from structlab.plans.registry import micros, query, r6, seconds, sql_uniform, table
 
 PERIODS = [3600.0 * h for h in range(2, 202)]
@@ -138,21 +138,38 @@ N_TRIALS = 40
 def null_cond_entropy_events(spark, sf_dir):
     """Entropy of the next event type against shuffles of the stream: trials are rows, one plan for all."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("token"))
-    shuffled = nulls.permute(nulls.trials(rows, N_TRIALS), "token", ["pos"], ["trial"], "shuffle").withColumn("seq", F.col("trial"))
-    stat = lambda df, by: sequence.conditional_entropy(sequence.bigrams(df, by, order="pos"), by)
-    out = nulls.summarize(stat(rows.withColumn("seq", F.lit(0)), []), stat(shuffled, ["trial"]), "cond_entropy")
+    observed = ranks.neighbour_counts(rows, [], ["pos"], "token")
+    null = nulls.shuffled_neighbours(nulls.trials(rows, N_TRIALS), "token", ["pos"], ["trial"], "shuffle")
+    out = nulls.summarize(sequence.conditional_entropy(observed), sequence.conditional_entropy(null, ["trial"]), "cond_entropy")
     return out.select(
         r6("observed").alias("observed"), "n_trials", r6("null_mean").alias("null_mean"), r6("null_sd", 7).alias("null_sd"), r6("z", 3).alias("z"), r6("p_ge").alias("p_ge"), r6("p_le").alias("p_le"), "null_degenerate"
     )
 
 
+#: Values as whole millionths and means as whole billionths (floored): sums, sums of squares and quantiles of such numbers
+#: don't depend on the order of their terms, so a tie rounds alike everywhere.
+MEAN = "(sum(v) * 1000 // count(*))::HUGEINT"
+HALF_UP = "floor(({}) / 1000 + 0.5) / 1e6"
+N_BOOT = 30
+Q_LOW, Q_HIGH = 0.05 * (N_BOOT - 1), 0.95 * (N_BOOT - 1)
+
+
+def at_quantile(ordered: str, place: float, sql: bool = False) -> str:
+    """The value at a place between two whole numbers of a sorted list, in hundredths exactly."""
+    low, part = int(place), round(100 * (place - int(place)))
+    pick = (lambda k: f"{ordered}[{k + 1}]") if sql else (lambda k: f"element_at({ordered}, {k + 1})")
+    return f"({pick(low)} * {100 - part} + {pick(low + 1)} * {part})"
+
+
 @query(f"""
-    WITH e AS (SELECT user_id AS g, event_id AS pos, value AS v FROM events WHERE value IS NOT NULL), k AS (SELECT unnest(range(0, 30)) AS trial),
-         n AS (SELECT trial, g, pos, v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY trial, g) AS n FROM e, k WINDOW w AS (PARTITION BY trial, g ORDER BY pos)),
-         d AS (SELECT trial, g, pos, floor({sql_uniform("'boot'", 'trial::VARCHAR', 'g::VARCHAR', 'pos::VARCHAR')} * n)::BIGINT + 1 AS rn FROM n),
-         b AS (SELECT trial, avg(v) AS m FROM d JOIN n USING (trial, g, rn) GROUP BY trial)
-    SELECT (SELECT round(avg(v), 6) + 0.0 FROM e) AS observed, count(*) AS n_trials, round(avg(m), 6) + 0.0 AS null_mean, round(stddev_samp(m), 6) + 0.0 AS null_sd,
-           round(quantile_cont(m, 0.05), 6) + 0.0 AS null_q05, round(quantile_cont(m, 0.95), 6) + 0.0 AS null_q95 FROM b
+    WITH e AS (SELECT user_id AS g, event_id AS pos, floor(value * 1e6 + 0.5)::BIGINT AS v FROM events WHERE value IS NOT NULL), k AS (SELECT unnest(range(0, {N_BOOT})) AS trial),
+         n AS (SELECT g, pos, v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY g) AS n FROM e WINDOW w AS (PARTITION BY g ORDER BY pos)),
+         d AS (SELECT trial, g, floor({sql_uniform("'boot'", 'trial::VARCHAR', 'g::VARCHAR', 'pos::VARCHAR')} * n)::BIGINT + 1 AS rn FROM n, k),
+         b AS (SELECT trial, {MEAN} AS m FROM d JOIN n USING (g, rn) GROUP BY trial),
+         s AS (SELECT count(*) AS n, sum(m)::HUGEINT AS s, sum(m * m)::HUGEINT AS q, list(m ORDER BY m) AS l FROM b)
+    SELECT {HALF_UP.format(f"(SELECT {MEAN} FROM e)::DOUBLE")} AS observed, n AS n_trials, {HALF_UP.format("s::DOUBLE / n")} AS null_mean,
+           {HALF_UP.format("sqrt((n * q - s * s)::DOUBLE / (n * (n - 1)))")} AS null_sd,
+           {HALF_UP.format(at_quantile("l", Q_LOW, True) + "::DOUBLE / 100")} AS null_q05, {HALF_UP.format(at_quantile("l", Q_HIGH, True) + "::DOUBLE / 100")} AS null_q95 FROM s
 """)
 def stratified_bootstrap_null(spark, sf_dir):
     """Mean value against resampling with replacement within each user."""
@@ -160,10 +177,19 @@ def stratified_bootstrap_null(spark, sf_dir):
 
 
 def bootstrap_null(events):
-    rows = events.filter("value is not null").select(F.col("user_id").alias("g"), F.col("event_id").alias("pos"), F.col("value").alias("v"))
-    drawn = nulls.bootstrap(nulls.trials(rows, 30), "v", ["pos"], ["trial", "g"], "boot")
-    out = nulls.summarize(rows.agg(F.avg("v").alias("m")), drawn.groupBy("trial").agg(F.avg("v").alias("m")), "m", ddof=1)
-    return out.select("n_trials", *[r6(c).alias(c) for c in ("observed", "null_mean", "null_sd", "null_q05", "null_q95")])
+    rows = events.filter("value is not null").select(F.col("user_id").alias("g"), F.col("event_id").alias("pos"), F.floor(F.col("value") * 1e6 + 0.5).alias("v"))
+    drawn = nulls.bootstrap(rows, "v", ["pos"], ["g"], "boot", N_BOOT)
+    mean = F.expr("cast(sum(v) * 1000 div count(*) as decimal(18, 0))")
+    null = drawn.groupBy("trial").agg(mean.alias("m"))
+    sums = null.agg(F.count("*").alias("n"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).cast("decimal(38,0)").alias("q"), F.array_sort(F.collect_list("m")).alias("l"))  # a row per trial
+    out = sums.crossJoin(rows.agg(mean.alias("o")))  # one row each
+    half_up = lambda c: F.floor(c / 1000 + 0.5) / 1e6
+    spread = F.expr("cast(n * q - s * s as double) / (n * (n - 1))")
+    quantile = lambda place: F.expr(f"cast({at_quantile('l', place)} as double) / 100")
+    return out.select(
+        half_up(F.col("o").cast("double")).alias("observed"), F.col("n").alias("n_trials"), half_up(F.col("s").cast("double") / F.col("n")).alias("null_mean"), half_up(F.sqrt(spread)).alias("null_sd"),
+        half_up(quantile(Q_LOW)).alias("null_q05"), half_up(quantile(Q_HIGH)).alias("null_q95"),
+    )
 
 
 @query("""

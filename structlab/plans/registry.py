@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structlab.shared import checkpoints, shared_dir  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,18 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a local one where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}" if root else tempfile.mkdtemp(prefix=f"structlab-{name}-")
-
-
-def checkpoints(spark: SparkSession) -> None:
-    """Have a folder for checkpoints."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
-
-
 def r6(c: Column | str, places: int = 6) -> Column:
     """Rounded, without a negative zero."""
     c = F.col(c) if isinstance(c, str) else c

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from structlab.functions import sphere
 from structlab.functions.rng import uniform
 from structlab.operators import fit, graph, grid, joins, nulls, plants, spatial
-from structlab.plans.registry import checkpoints, query, r6, sql_uniform, table
+from structlab.plans.registry import query, r6, sql_uniform, table
 
 LAT, LON = sql_uniform("'site'", "c_custkey::VARCHAR"), sql_uniform("'site'", "c_custkey::VARCHAR", lane=1)
 SITES = f"""s AS (SELECT c_custkey AS id, c_nationkey AS nation, -60 + 120 * {LAT} AS lat, -180 + 360 * {LON} AS lon FROM customer)"""
@@ -296,8 +296,7 @@ def spanning_trees(spark, sf_dir):
 def connected_components(spark, sf_dir):
     """Components of points linked within a distance (density clustering with one neighbour)."""
     pairs = spatial.close_pairs(plane(spark, sf_dir), "id", "x", "y", 90.0).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    checkpoints(spark)
-    return graph.min_label_components(pairs)
+    return graph.connected_components(pairs)
 
 
 @query(f"SELECT round(avg((1 - cos(2 * pi() * {sql_uniform("'mc'", 'id::VARCHAR')})) / 2), 6) + 0.0 AS mean, count(*) AS n FROM (SELECT unnest(range(0, 20000)) AS id)")
