@@ -1,0 +1,222 @@
+"""Piece codec, vector file and resampling against the library, brute force and plain Python, on hostile rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from structlab.llm import piece_codec, target_resample, vector_file
+
+spm = pytest.importorskip("sentencepiece")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+TEXTS = [None, "", " ", "  two  spaces ", "▁", "a▁b", "one", "x" * 3000, "ab " * 4000, "tabs\tand\nlines\r\n", "12345 3.14", "é中文ゼ벨ﬁ½​", "\x00\x01", "😀😀", "<s> </s> <unk> <0x41>", "Mixed CASE Words", "dup", "dup"]
+
+
+def hostile(n, seed):
+    r = random.Random(seed)
+    parts = [*"abcdefgh ABC   .,!?\n\t01239'\"-_▁é中文ゼ벨ﬁ½Ǻ​\x01　ｈ…", "the ", "ing", "  ", " hello", "😀", "ำ", "é", "é"]
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
+def arrays(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def variant(rule, dummy, trim, fallback):
+    """The model file with another normaliser, and without byte pieces where ``fallback`` is false."""
+    out = b""
+    for number, value in piece_codec.fields(open(PATH, "rb").read()):
+        if number == 1 and not fallback and dict(piece_codec.fields(value)).get(3) == piece_codec.BYTE:
+            continue
+        if number == 2 and not fallback:
+            value += varint(35 << 3) + b"\0"
+        if number == 3:
+            value = varint(3 << 3) + varint(dummy) + varint(4 << 3) + varint(trim)
+            if rule:
+                other = spm.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+                blob = next(dict(piece_codec.fields(v))[2] for k, v in piece_codec.fields(other) if k == 3)
+                value += varint(2 << 3 | 2) + varint(len(blob)) + blob
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("dummy,trim,fallback", [(1, 0, 1), (1, 1, 1), (0, 1, 0), (1, 1, 0), (0, 0, 1)])
+def test_codec_is_the_librarys(rule, dummy, trim, fallback):
+    raw = variant(rule, dummy, trim, fallback)
+    library, model = spm.SentencePieceProcessor(model_proto=raw), piece_codec.PieceModel(raw)
+    texts = [t or "" for t in TEXTS] + hostile(400, 7)
+    ids, begin, end, at = model.encode(*arrays(texts))
+    want = library.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    for k, t in enumerate(texts):
+        spans = [(p.begin, p.end) for p in library.encode(t, return_type="proto").pieces]
+        assert list(zip(begin[at[k] : at[k + 1]].tolist(), end[at[k] : at[k + 1]].tolist(), strict=True)) == spans, repr(t)
+    text, place = model.decode(ids, at)
+    assert [text[a:b].tobytes().decode() for a, b in zip(place, place[1:], strict=False)] == library.decode(want)
+    r = random.Random(9)
+    some = [[r.choice([0, 1, 2, r.randint(0, 300), r.randint(0, len(model.text) - 1), model.text.index("▁")]) for _ in range(r.randint(0, 9))] for _ in range(400)]
+    text, place = model.decode(np.array([i for x in some for i in x]), np.cumsum([0, *map(len, some)]))
+    assert [text[a:b].tobytes().decode() for a, b in zip(place, place[1:], strict=False)] == [library.decode(x) for x in some]
+
+
+def test_codec_with_a_full_table(monkeypatch):
+    monkeypatch.setattr("structlab.llm.unit_encoder.UNITS", 40)
+    monkeypatch.setattr("structlab.llm.unit_encoder.UNIT_IDS", 700)
+    model, library = piece_codec.PieceModel(open(PATH, "rb").read()), spm.SentencePieceProcessor(model_file=PATH)
+    texts = hostile(300, 11)
+    ids, _, _, at = model.encode(*arrays(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == library.encode(texts)
+
+
+def test_codec_over_rows(spark):
+    library = spm.SentencePieceProcessor(model_file=PATH)
+    df = spark.createDataFrame([(k if k != 3 else None, t, "x", [1]) for k, t in enumerate(TEXTS)], "doc_id long, text string, row_id string, ids array<int>").repartition(3)
+    coded = piece_codec.encode_pieces(df, PATH)
+    got = coded.collect()
+    assert Counter((x.row_id, tuple(x.ids)) for x in got) == Counter((k if k != 3 else None, tuple(library.encode(t or ""))) for k, t in enumerate(TEXTS))
+    back = piece_codec.decode_pieces(coded.withColumn("note", F.lit("n")), PATH).collect()
+    assert Counter((x.row_id, x.decoded, x.note) for x in back) == Counter((k if k != 3 else None, library.decode(library.encode(t or "")), "n") for k, t in enumerate(TEXTS))
+    none = piece_codec.encode_pieces(df.filter("false"), PATH)
+    assert none.count() == 0 and piece_codec.decode_pieces(none, PATH).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>")
+    assert [x.decoded for x in piece_codec.decode_pieces(odd, PATH).collect()] == ["", ""]
+
+
+def test_codec_refuses_other_models():
+    raw = open(PATH, "rb").read()
+    with pytest.raises(ValueError):
+        piece_codec.PieceModel(raw + varint(1 << 3 | 2) + varint(5) + varint(1 << 3 | 2) + b"\x01q" + varint(3 << 3) + bytes([piece_codec.USER_DEFINED])[:1])
+    model = piece_codec.PieceModel(raw)
+    with pytest.raises(IndexError):
+        model.decode(np.array([len(model.text)]), np.array([0, 1]))
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, score string, code string"
+
+
+def vectors(n, dims, seed, ties=0):
+    r = random.Random(seed)
+    rows = [[k, [round(r.gauss(0, 0.3), 3) for _ in range(dims)], r.randrange(3)] for k in range(n)]
+    for k in range(ties):
+        rows[n - 1 - k][1] = list(rows[1][1])
+        rows[n - 1 - k][2] = 2
+    return rows
+
+
+def mined(rows, every=10, positives=3, negatives=4, window=(30, 90)):
+    use = [(i, [math.floor(256 * float(np.float32(x))) for x in v], y) for i, v, y in rows if i is not None and v is not None and y is not None and all(x is not None and math.isfinite(x) for x in v)]
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    out = []
+    for i, v, y in use:
+        if i % every:
+            continue
+        scored = sorted((-score(v, w), j, z) for j, w, z in use if j != i)
+        for p, j, _ in [s for s in scored if s[2] == y][:positives]:
+            fit = [(n, m) for n, m, z in scored if z != y and window[0] * -p <= 100 * -n <= window[1] * -p][:negatives]
+            out += [(i, j, k + 1, m, -p, -n) for k, (n, m) in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n,dims,ties,block,parts", [(160, 8, 0, 4096, 1), (160, 7, 60, 4, 3), (90, 1, 10, 4096, 2), (40, 3, 0, 1, 40)])
+def test_hard_negatives_are_those_of_brute_force(spark, n, dims, ties, block, parts):
+    rows = vectors(n, dims, n + dims, ties)
+    rows += [[None, [0.1] * dims, 1], [n + 1, None, 1], [n + 2, [0.1] * dims, None], [n + 3, [float("nan")] * dims, 1], [n + 4, [float("inf")] * dims, 0], [n + 5, [None] * dims, 1]]
+    if dims > 1:
+        rows += [[n + 6, [0.9], 0], [n + 7, [], 1]]
+    df = spark.createDataFrame([(*x, "s", "c") for x in rows], VECTORS).repartition(parts)
+    out = vector_file.hard_negatives(df, "vec_id % 10 = 0", 3, 4, block=block)
+    assert sorted(tuple(x) for x in out.collect()) == mined(rows)
+
+
+def test_hard_negatives_edges(spark):
+    none = spark.createDataFrame([], VECTORS)
+    assert vector_file.hard_negatives(none).count() == 0
+    lone = spark.createDataFrame([(7, [1.0], 1, "", "")], VECTORS)
+    assert vector_file.hard_negatives(lone).count() == 0
+    assert vector_file.hard_negatives(lone.withColumn("vec_id", F.lit(100))).count() == 0
+    huge = spark.createDataFrame([(100, [1e30], 1, "", "")], VECTORS)
+    with pytest.raises(ArithmeticError):
+        vector_file.hard_negatives(huge)
+    rows = vectors(60, 4, 5)
+    twice = spark.createDataFrame([(*x, "", "") for x in rows + rows[:1] + rows[5:6]], VECTORS)
+    got = vector_file.hard_negatives(twice, "vec_id % 10 = 0", 3, 4).collect()
+    want = Counter(mined(rows + rows[5:6]))
+    want.update({k: c for k, c in want.items() if k[0] == 0})
+    assert Counter(tuple(x) for x in got) == want
+
+
+def test_bounds_hold_for_every_row(spark):
+    r = np.random.default_rng(4)
+    m = r.normal(0, 60, (300, 5)).astype(np.int64)
+    df = spark.createDataFrame([(k, 0, row.tolist()) for k, row in enumerate(m)], "vec_id long, label long, vec array<long>")
+    cuts, least, greatest = vector_file.fit_cells(df, 5, fitted=20)
+    coded = vector_file.approximate(df, cuts, 2).collect()
+    codes = np.array([list(x.code) for x in coded], np.uint8).T
+    for anchor in m[:20]:
+        low, high = vector_file.score_bounds(vector_file.score_tables(anchor, least, greatest), codes)
+        exact = np.array([x.vec for x in coded]) @ anchor
+        assert (low <= exact).all() and (exact <= high).all()
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_resample(docs, target, longest, buckets, least, percent, seed=2024):
+    def buckets_of(text):
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        runs = [" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+        return len(words), [zlib.crc32(x.encode()) % buckets for x in runs]
+
+    s, t = Counter(b for _, x in docs for b in buckets_of(x)[1]), Counter(b for x in target for b in buckets_of(x)[1])
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (big_s + buckets) / ((s[b] + 1) * (big_t + buckets))))
+    rows = []
+    for i, x in docs:
+        n, own = buckets_of(x)
+        weight = sum(map(gain, own)) // len(own) if own else 0
+        h = int(hashlib.sha256(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, n, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    able = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], -1 if r[0] is None else r[0]))
+    drawn = {id(r): k + 1 for k, r in enumerate(able[: percent * len(able) // 100])}
+    return Counter((*r, drawn.get(id(r))) for r in rows)
+
+
+@pytest.mark.parametrize("longest,buckets,percent", [(1, 10_000, 10), (2, 50, 50), (3, 1, 100)])
+def test_resample_is_the_plain_one(spark, longest, buckets, percent):
+    r = random.Random(longest)
+    vocab = ["".join(r.choice("abcdefghé0") for _ in range(r.randint(1, 9))) for _ in range(80)]
+    texts = [None, "", "--", "One", "w" * 5000, "中文 ABC-def", "a" * 300 + " " + "b" * 200, *TEXTS[3:]]
+    texts += [r.choice([" ", ", ", "\n"]).join(r.choice(vocab).title() for _ in range(r.randint(1, 60))) for _ in range(120)]
+    docs = list(enumerate(texts)) + [(None, "no id " * 20)]
+    target = [" ".join(r.choice(vocab[:15]) for _ in range(30)) for _ in range(9)] + [None]
+    df = spark.createDataFrame([(*d, 5, 6, "x") for d in docs], "doc_id long, text string, rank int, bucket int, gain string").repartition(4)
+    bench = spark.createDataFrame([(x,) for x in target], "text string")
+    out = target_resample.resample(df, bench, longest=longest, buckets=buckets, percent=percent)
+    assert Counter(tuple(x) for x in out.collect()) == plain_resample(docs, target, longest, buckets, 20, percent)
+
+
+def test_resample_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b " * 20), (1, "a b " * 20), (2, "c")], "doc_id long, text string")
+    assert target_resample.resample(none, some).count() == 0
+    out = target_resample.resample(some, none, percent=100).collect()
+    assert sorted(x["rank"] for x in out if x.row_id == 1) == [1, 2] and [x["rank"] for x in out if x.row_id == 2] == [None]
+    crc = target_resample.advance(np.full(40, 0xFFFFFFFF, np.uint32), np.arange(4000, dtype=np.int64).astype(np.uint8), np.arange(40) * 7, np.arange(40) ** 2)
+    raw = np.arange(4000).astype(np.uint8).tobytes()
+    assert [int(x) ^ 0xFFFFFFFF for x in crc] == [zlib.crc32(raw[7 * k : 7 * k + k * k]) for k in range(40)]
