@@ -58,11 +58,20 @@ def best_overlap_whole(left: DataFrame, right: DataFrame, start: str, end: str,
     return left.join(found, [start, end]).select(F.col("id").alias("left_id"), "right_id", "overlap", "straddles")
 
 
-def unordered_pairs(df: DataFrame, id_col: str, cols: list[str], block: list[str] = ()) -> DataFrame:
-    """Pairs a < b of the rows of each block (of a whole table only where it is a small dimension)."""
-    a = df.select(*block, F.col(id_col).alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = df.select(*block, F.col(id_col).alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    return a.join(b, list(block)).filter("a < b") if block else a.join(F.broadcast(b), F.col("a") < F.col("b"))
+def containment_join(long: DataFrame, short: DataFrame, text: str, part: str) -> DataFrame:
+    """Rows of ``long`` with each row of ``short`` whose non-empty ``part`` occurs in ``text``.
+
+    The lengths of parts are few; each text is cut into its distinct substrings
+    of these lengths, which meet the parts by equality.  No pair is compared
+    that doesn't match.
+    """
+    lengths = [r[0] for r in short.select(F.length(part).alias("n")).filter("n > 0").distinct().orderBy("n").collect()]  # numbers of characters
+    if not lengths:
+        return long.join(short, F.lit(False))
+    whole = F.col(text)
+    cut = lambda n: F.when(F.length(whole) >= n, F.transform(F.sequence(F.lit(1), F.length(whole) - (n - 1)), lambda i: F.substring(whole, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in lengths])))
+    return long.select("*", F.explode(pieces).alias("__piece")).join(short, F.col("__piece") == F.col(part)).drop("__piece")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:

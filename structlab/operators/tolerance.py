@@ -202,3 +202,26 @@ def against(null: DataFrame, observed: DataFrame, name: str, n_trials: int) -> D
 def sweep_fixed_floor(row: Column) -> Column:
     """The rule without calibration: a spread below ``SPREAD_FLOOR``, or the 95th percentile on the observed count."""
     return (row["perm_spread"] < SPREAD_FLOOR) | (row["hits_filt"] == row["perm_p95"])
+
+
+def note_shares(df: DataFrame, by: list[str], y: str, tolerance: float) -> DataFrame:
+    """(by, note, n_pairs, n_hits): pairs of rows by the note that their octave-reduced ratio is nearest to, and those within the tolerance of it.
+
+    Range counts as in ``note_hits``.  A ratio that is a power of two is a unison.
+    """
+    low, high = df.agg(F.min(y), F.max(y)).first()
+    span = (high - low) if low is not None else 0.0
+    notes = [(n, math.log2(v)) for n, v in DIATONIC]
+    middle = [0.0 - 1e-9, *((a + b) / 2 for (_, a), (_, b) in zip(notes, notes[1:], strict=False)), 1.0 - 1e-9]
+    ends, parts = [], []
+    for k in range(math.ceil(span) + 1):
+        for j, (note, at) in enumerate(notes):
+            a, b = max(middle[j], at - tolerance / 1200), min(middle[j + 1], at + tolerance / 1200)
+            inner = b == at + tolerance / 1200  # this end belongs to the hits; where cells meet it doesn't
+            for cut, strict, sign, hit in ((middle[j], False, 1, 0), (middle[j + 1], False, -1, 0), (a, False, 1, 1), (b, inner, -1, 1)):
+                parts.append((len(ends), note, sign, hit))
+                ends.append((k + cut, strict))
+    counts = distant_pairs(df, by, y, ends)
+    of = F.broadcast(df.sparkSession.createDataFrame(parts, "end int, note string, sign int, hit int"))  # a few per octave
+    total = lambda h: F.sum(F.when(F.col("hit") == h, F.col("sign") * F.col("n_pairs")).otherwise(0))
+    return counts.join(of, "end").groupBy(*by, "note").agg(total(0).alias("n_pairs"), total(1).alias("n_hits"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from structlab.operators import raster
+from structlab.functions import text
+from structlab.operators import hough, raster, spiral
 from structlab.plans.registry import micros, query, r6, table
 
 #: Side of the tiles of these queries: small, so that what is found crosses tiles.
@@ -120,3 +121,62 @@ def window_means(spark, sf_dir):
     sums = raster.summed_area(cells, ["flag"], TILE)
     out = raster.window_means(sums.select("flag", "r", "c"), sums, size, ["flag"], 2)
     return out.groupBy("flag", "c").agg(F.count("*").alias("n"), r6(F.sum("mean"), 4).alias("means"))
+
+
+SWEEP_TURNS, SWEEP_STEPS = (8, 12, 16), 4
+
+
+@query(f"""
+    WITH p AS (SELECT date_diff('day', DATE '1992-01-01', l_shipdate::DATE) // 40 AS r, floor(l_extendedprice / 1100)::BIGINT AS c, least(255, count(*) * 20) AS v FROM lineitem GROUP BY 1, 2 HAVING r >= 0 AND c >= 0),
+         z AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM p), n AS (SELECT 8 * max(length(r_name)) AS n FROM region),
+         k AS (SELECT r_name AS name, bit, (ascii(substr(r_name, (bit // 8 + 1)::INT, 1)) >> (7 - bit % 8)::INT) & 1 AS on_ FROM (SELECT r_name, unnest(range(0, 8 * length(r_name))) AS bit FROM region)),
+         g AS (SELECT (((t * 3 + i) * 2 + o) * 2 + d) * {SWEEP_STEPS} + s AS cfg, {list(map(float, SWEEP_TURNS))}[t + 1]::DOUBLE AS turns, [0.08, 0.12, 0.18][i + 1]::DOUBLE AS inner_, o, d, 2 * pi() * s / {SWEEP_STEPS} AS theta
+               FROM (SELECT unnest(range(0, {len(SWEEP_TURNS)})) AS t), (SELECT unnest(range(0, 3)) AS i), (SELECT unnest(range(0, 2)) AS o), (SELECT unnest(range(0, 2)) AS d), (SELECT unnest(range(0, {SWEEP_STEPS})) AS s)),
+         b AS (SELECT cfg, turns, inner_, o, d, theta, bit, bit / greatest(n - 1, 1)::DOUBLE AS t, h, w, floor(least(h, w) / 3) AS radius FROM g, z, (SELECT n, unnest(range(0, n)) AS bit FROM n)),
+         q AS (SELECT cfg, bit, h, w, round_even(h // 2 + a * sin(x), 0)::BIGINT AS r, round_even(w // 2 + a * cos(x), 0)::BIGINT AS c
+               FROM (SELECT *, CASE WHEN o = 0 THEN radius * inner_ * (1 - t) + radius * t ELSE radius * (1 - t) + radius * inner_ * t END AS a, theta + CASE WHEN d = 0 THEN 1.0 ELSE -1.0 END * (t * turns * (2 * pi())) AS x FROM b)),
+         u AS (SELECT DISTINCT r, c, h, w FROM q WHERE r >= 0 AND c >= 0 AND r < h AND c < w),
+         m AS (SELECT u.r, u.c, sum(coalesce(v, 0))::DOUBLE / ((least(u.r + 1, any_value(h) - 1) - greatest(u.r - 1, 0) + 1) * (least(u.c + 1, any_value(w) - 1) - greatest(u.c - 1, 0) + 1)) / 255 AS sample
+               FROM u, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc) LEFT JOIN p ON p.r = u.r + dr AND p.c = u.c + dc GROUP BY u.r, u.c),
+         a AS (SELECT cfg, bit, coalesce(sample, 0) AS sample, quantile_cont(coalesce(sample, 0), 0.5) OVER (PARTITION BY cfg) AS middle FROM q LEFT JOIN m USING (r, c)),
+         e AS (SELECT cfg, name, avg(((sample >= middle)::INT <> on_)::INT) AS e FROM a JOIN k USING (bit) GROUP BY ALL),
+         f AS (SELECT cfg, false AS invert, e AS error, name FROM e UNION ALL SELECT cfg, true, 1.0 - e, name FROM e)
+    SELECT cfg::INT AS cfg, invert, round(min(error), 4) AS error, arg_min(name, (error, name)) AS name FROM f GROUP BY cfg, invert ORDER BY error, cfg, invert LIMIT 25
+""")
+def spiral_sweep(spark, sf_dir):
+    """The 25 spiral readings of a raster of all lines (days by price) that come nearest to the bits of a region's name."""
+    rows = table(spark, sf_dir, "lineitem").select(F.expr("datediff(l_shipdate, date'1992-01-01') div 40").alias("r"), F.floor(F.col("l_extendedprice") / 1100).alias("c"))
+    cells = rows.filter("r >= 0 and c >= 0").groupBy("r", "c").agg(F.least(F.lit(255), F.count("*") * 20).alias("v"))
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    known = names.select("name", F.posexplode(F.split(text.text_to_bits(F.col("name")), "")).alias("bit", "on")).filter("on in ('0', '1')").withColumn("on", F.col("on").cast("int"))
+    n_bits = known.agg(F.max("bit") + 1).first()[0]
+    configs = spiral.sweep_grid(spark, SWEEP_TURNS, theta_steps=SWEEP_STEPS)
+    return spiral.spiral_sweep(cells, [], configs, known, n_bits, 25, TILE)
+
+
+_ANGLES = ", ".join("{{'t': {0}, 'x': {1}, 'y': {2}}}".format(k, *hough.direction(k, 180)) for k in range(180))
+
+
+@query(f"""
+    WITH {_SLOTS}, a AS (SELECT unnest([{_ANGLES}]) AS a), v AS (SELECT kind, a.t::INT AS theta, (c * a.x + r * a.y + 32768) >> 16 AS rho, count(*) AS votes FROM q, a GROUP BY ALL), s AS (SELECT * FROM v WHERE votes >= 5),
+         n AS (SELECT kind, votes, theta, rho, theta + i AS t, rho + j AS p FROM s, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE i <> 0 OR j <> 0),
+         b AS (SELECT kind, (t + 180) % 180 AS theta, CASE WHEN t < 0 OR t >= 180 THEN -p ELSE p END AS rho, max((votes, -theta, -rho)) AS rival FROM n GROUP BY ALL)
+    SELECT s.kind, s.theta, s.rho, s.votes FROM s LEFT JOIN b ON b.kind = s.kind AND b.theta = s.theta AND b.rho = s.rho WHERE rival IS NULL OR (s.votes, -s.theta, -s.rho) > rival
+""")
+def hough_lines(spark, sf_dir):
+    """Lines of at least five cells of the event rasters that no line near them beats."""
+    votes = hough.line_votes(event_cells(spark, sf_dir), ["kind"])
+    return hough.local_peaks(votes, ["kind"], 5)
+
+
+@query(f"""
+    WITH {_SHIPS}, x AS (SELECT *, {_STEP("v", "c", "r")} AS x1, {_STEP("v", "r", "c")} AS y1 FROM g),
+         s AS (SELECT flag, r, c, {_SUM3("x1", "r", "c")}::DOUBLE AS gx, {_SUM3("y1", "c", "r")}::DOUBLE AS gy FROM x), m AS (SELECT flag, r, c, sqrt(gx * gx + gy * gy) AS mag FROM s WHERE gx <> 0 OR gy <> 0),
+         t AS (SELECT flag, quantile_cont(mag, 0.9) AS least FROM m GROUP BY flag), e AS (SELECT flag, r, c FROM m JOIN t USING (flag) WHERE mag > least + 1e-9), a AS (SELECT unnest([{_ANGLES}]) AS a),
+         v AS (SELECT flag, a.t AS theta, (c * a.x + r * a.y + 32768) >> 16 AS rho, count(*) AS votes FROM e, a GROUP BY ALL)
+    SELECT flag, coalesce(max(votes), 0) AS votes, round(100 * coalesce(max(votes), 0) / sqrt(any_value(h) * any_value(h) + any_value(w) * any_value(w)), 4) + 0.0 AS score FROM z LEFT JOIN v USING (flag) GROUP BY flag
+""")
+def raster_line_score(spark, sf_dir):
+    """The most strong gradients on one line of each shipping raster."""
+    out = hough.line_score(ship_raster(spark, sf_dir), ["flag"], tile=TILE)
+    return out.select("flag", "votes", r6("score", 4).alias("score"))

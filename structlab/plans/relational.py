@@ -206,3 +206,15 @@ def stream_deduplicated(spark, sf_dir):
 
     out = _stream(spark, sf_dir, lambda e: st.deduplicated(e, "1000 days"), "dedup", "append")
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH k AS (SELECT DISTINCT p_brand AS brand, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits FROM part), c AS (SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS core FROM customer)
+    SELECT brand, count(*) AS n_customers, min(c_custkey) AS first_key FROM c JOIN k ON digits <> '' AND contains(core, digits) GROUP BY brand
+""")
+def digit_containment(spark, sf_dir):
+    """Customers whose name holds a brand's digits, by equality of substrings."""
+    only = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), only("p_brand").alias("digits")).distinct()
+    customers = table(spark, sf_dir, "customer").select("c_custkey", only("c_name").alias("core"))
+    return joins.containment_join(customers, brands, "core", "digits").groupBy("brand").agg(F.count("*").alias("n_customers"), F.min("c_custkey").alias("first_key"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from structlab.functions import sphere
 from structlab.functions.rng import uniform
-from structlab.operators import fit, graph, grid, joins, nulls, plants, spatial
+from structlab.operators import fit, graph, grid, joins, nulls, plants, spatial, tolerance
 from structlab.plans.registry import query, r6, sql_uniform, table
 
 LAT, LON = sql_uniform("'site'", "c_custkey::VARCHAR"), sql_uniform("'site'", "c_custkey::VARCHAR", lane=1)
@@ -252,11 +252,8 @@ def pairwise_ratio_diatonic(spark, sf_dir):
 
 
 def diatonic_hits(supplier):
-    from structlab.functions.ratio import nearest_diatonic
-
-    d = supplier.select(F.col("s_suppkey").alias("k"), ((F.col("s_acctbal") + 1000) / 100).alias("v"))
-    pairs = joins.unordered_pairs(d, "k", ["v"]).select(nearest_diatonic(F.greatest("v_a", "v_b") / F.least("v_a", "v_b")).alias("n"))
-    return pairs.groupBy("n.note").agg(F.count("*").alias("n_pairs"), F.count_if(F.round("n.off", 4) <= 20).alias("n_hits"))
+    y = supplier.select(F.lit(0).alias("g"), F.log2((F.col("s_acctbal") + 1000) / 100).alias("y")).filter("y is not null")
+    return tolerance.note_shares(y, ["g"], "y", 20.00005).filter("n_pairs > 0").select("note", "n_pairs", "n_hits")
 
 
 @query(f"""

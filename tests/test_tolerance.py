@@ -48,3 +48,19 @@ def test_sweep_keeps_within_its_bar(spark):
     began = time.time()
     assert tolerance.tolerance_sweep(rows, "id", "v", known, "s", 50).count() == 7
     assert time.time() - began < 10
+
+
+def test_note_shares_are_those_of_all_pairs(spark):
+    r = random.Random(5)
+    values = [r.randint(1, 9000) / 100 for _ in range(120)] + [10.0, 20.0, 40.0, 20.0, 30.0]
+    df = spark.createDataFrame([(0, math.log2(v)) for v in values], "g int, y double")
+    got = {x.note: (x.n_pairs, x.n_hits) for x in tolerance.note_shares(df, ["g"], "y", 20.0).collect()}
+    want = {n: [0, 0] for n, _ in DIATONIC}
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            ratio = max(a, b) / min(a, b)
+            folded = ratio / 2 ** math.floor(math.log2(ratio))
+            off, k = min((abs(1200 * math.log2(folded / v)), k) for k, (_, v) in enumerate(DIATONIC))
+            want[DIATONIC[k][0]][0] += 1
+            want[DIATONIC[k][0]][1] += off <= 20.0
+    assert got == {n: tuple(v) for n, v in want.items()}
