@@ -7,6 +7,8 @@ Windows are partitioned by sequence, so no corpus passes through one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,34 +103,80 @@ def repeat_structure(df: DataFrame, by: list[str], item: str, order: str, least:
     return out.withColumn("layout", layout)
 
 
+def lz78_count(tokens: Iterable) -> int:
+    """Phrases of the LZ78 parse, by a trie whose edges are keyed by (node, token); an unfinished last phrase doesn't count."""
+    trie: dict = {}
+    node = phrases = 0
+    for t in tokens:
+        after = trie.get((node, t))
+        if after is None:
+            phrases += 1
+            trie[node, t] = phrases
+            node = 0
+        else:
+            node = after
+    return phrases
+
+
+def lz76_count(s: Sequence) -> int:
+    """Phrases of the exhaustive history of a sequence: each is the shortest that didn't begin earlier.
+
+    A suffix automaton grows by one symbol per step while the phrase is followed
+    in it, so the cost is linear in the length.
+    """
+    step: list[dict] = [{}]
+    link, length = [-1], [0]
+    last = at = size = phrases = 0
+    for symbol in s:
+        # The phrase with this symbol occurred before iff the automaton of all symbols before has that edge.
+        after = step[at].get(symbol)
+        new = len(step)
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and symbol not in step[p]:
+            step[p][symbol] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][symbol]
+            if length[p] + 1 == length[q]:
+                link[new] = q
+            else:
+                clone = len(step)
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(symbol) == q:
+                    step[p][symbol] = clone
+                    p = link[p]
+                link[q] = link[new] = clone
+        last = new
+        if after is None:
+            phrases, at, size = phrases + 1, 0, 0
+        else:
+            at, size = after, size + 1
+            while length[link[at]] >= size:  # a split left the phrase in the shorter state
+                at = link[at]
+    return phrases + (size > 0)
+
+
 def lz78_phrases(tokens: Column) -> Column:
-    """Phrases of the LZ78 parse of an array of strings (joined by bars); an unfinished last phrase doesn't count."""
-    zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit("").alias("phrase"))
+    """Phrases of the LZ78 parse of each array of tokens; null has none.  A parse is sequential, so a text is one row's work."""
 
-    def step(acc: Column, t: Column) -> Column:
-        phrase = F.when(acc["phrase"] == "", t).otherwise(F.concat(acc["phrase"], F.lit("|"), t))
-        known = F.array_contains(acc["seen"], phrase)
-        seen = F.when(known, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(phrase)))
-        return F.struct(seen.alias("seen"), F.when(known, phrase).otherwise("").alias("phrase"))
+    @F.pandas_udf(T.LongType())
+    def parse(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: 0 if r is None else lz78_count(r)).astype("int64")
 
-    return F.aggregate(tokens, zero, step, lambda acc: F.size(acc["seen"]))
+    return parse(tokens)
 
 
 def lz76_phrases(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_phrases): exhaustive-history parse; inherently sequential, so Arrow batches per partition."""
-
-    def count(s: str) -> int:
-        i, phrases, n = 0, 0, len(s)
-        while i < n:
-            k = 1
-            while i + k <= n and s.find(s[i : i + k], 0, i + k - 1) >= 0:
-                k += 1
-            phrases, i = phrases + 1, i + k
-        return phrases
+    """(id, n_phrases): exhaustive-history parse of each text; null has none."""
 
     @F.pandas_udf(T.LongType())
     def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: count(s or ""))
+        return texts.map(lambda s: lz76_count(s or "")).astype("int64")
 
     return df.select(id_col, parse(F.col(text_col)).alias("n_phrases"))
 

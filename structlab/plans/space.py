@@ -279,6 +279,13 @@ def convex_hulls(spark, sf_dir):
     return spatial.convex_hull_area(sites(spark, sf_dir), "lon", "lat", ["nation"])
 
 
+@query()
+def hull_envelope(spark, sf_dir):
+    """L(r) - r of the sites of suppliers against nine sets of uniform points within their hull."""
+    out = spatial.hull_envelope(plane(spark, sf_dir), "id", "x", "y", 9, "hull")
+    return out.select(*[r6(c).alias(c) for c in ("r", "observed", "null_mean", "z")], "outside", r6("nn_ratio").alias("nn_ratio"), r6("nn_z").alias("nn_z"))
+
+
 @query()
 def spanning_trees(spark, sf_dir):
     pairs = spatial.close_pairs(sites(spark, sf_dir), "id", "lon", "lat", 25.0, ["nation"])
