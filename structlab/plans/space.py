@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from structlab.functions import sphere
 from structlab.functions.rng import uniform
-from structlab.operators import fit, graph, grid, joins, nulls, plants, spatial, tolerance
-from structlab.plans.registry import query, r6, sql_uniform, table
+from structlab.operators import fit, graph, grid, joins, nulls, spatial, tolerance
+from structlab.plans.registry import micros, query, r6, sql_uniform, table
 
 LAT, LON = sql_uniform("'site'", "c_custkey::VARCHAR"), sql_uniform("'site'", "c_custkey::VARCHAR", lane=1)
 SITES = f"""s AS (SELECT c_custkey AS id, c_nationkey AS nation, -60 + 120 * {LAT} AS lat, -180 + 360 * {LON} AS lon FROM customer)"""
@@ -172,72 +172,89 @@ def galactic_latitude_stats(spark, sf_dir):
     )
 
 
-@query("""
-    WITH d AS (SELECT unnest(range(0, 365, 30)) AS doy), c AS (SELECT doy, 23.44 * sin(radians(360 / 365.25::DOUBLE * (doy - 80))) AS dec FROM d), l AS (SELECT unnest([-45.0::DOUBLE, 0.0, 30.0, 60.0]) AS lat)
-    SELECT lat, doy::INTEGER AS doy, round(degrees(acos(sin(radians(dec)) / cos(radians(lat)))), 6) + 0.0 AS azimuth FROM c, l WHERE abs(sin(radians(dec)) / cos(radians(lat))) <= 1
+@query(f"""
+    WITH {SITES}, o AS (SELECT nation, lat, dayofyear(o_orderdate) AS doy FROM orders JOIN s ON id = o_custkey), c AS (SELECT nation, doy, lat, 23.44 * sin(radians(360 / 365.25::DOUBLE * (doy - 80))) AS dec FROM o),
+         a AS (SELECT nation, sin(radians(dec)) / cos(radians(lat)) AS x FROM c)
+    SELECT nation, count(*) AS n, round(avg(degrees(acos(x))), 5) + 0.0 AS mean_azimuth, round(min(degrees(acos(x))), 6) + 0.0 AS northmost, round(max(degrees(acos(x))), 6) + 0.0 AS southmost FROM a WHERE abs(x) <= 1 GROUP BY nation
 """)
 def sunrise_azimuths(spark, sf_dir):
-    days = spark.range(0, 365, 30).select(F.col("id").cast("int").alias("doy"), F.explode(F.array(*[F.lit(x) for x in (-45.0, 0.0, 30.0, 60.0)])).alias("lat"))
-    az = sphere.rising_azimuth(F.col("lat"), sphere.solar_declination(F.col("doy")))
-    return days.select("lat", "doy", r6(az).alias("azimuth")).filter("azimuth is not null")
+    """Where the sun rises at each customer's site on the days of their orders, by nation."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.dayofyear("o_orderdate").alias("doy"))
+    at = sites(spark, sf_dir).join(o, "id")
+    rows = at.select("nation", sphere.rising_azimuth(F.col("lat"), sphere.solar_declination(F.col("doy"))).alias("az")).filter("az is not null")
+    return rows.groupBy("nation").agg(F.count("*").alias("n"), r6(F.avg("az"), 5).alias("mean_azimuth"), r6(F.min("az")).alias("northmost"), r6(F.max("az")).alias("southmost"))
 
 
-CELL = sql_uniform("'grid'", "(id // 256)::VARCHAR", "(id % 256)::VARCHAR")
-GRID = f"g AS (SELECT id // 256 AS grid, (id % 256) // 16 AS r, id % 16 AS c, ({CELL} < 0.4)::INT AS v FROM (SELECT unnest(range(0, 2048)) AS id))"
+#: Per event type a grid of hours by days: how many events fell into each cell, and whether that is odd.
+GRID = """e AS (SELECT event_type AS grid, epoch_us(ts) // 3600000000 AS t FROM events WHERE ts IS NOT NULL), d AS (SELECT min(t // 24) AS first, max(t // 24) - min(t // 24) + 1 AS w FROM e),
+         n AS (SELECT grid, t % 24 AS r, t // 24 - first AS c, count(*) AS n FROM e, d GROUP BY ALL),
+         g AS (SELECT k.grid, h.r, y.c, coalesce(n, 0) AS n, (coalesce(n, 0) % 2)::INT AS v, 24 AS h, w
+               FROM (SELECT DISTINCT grid FROM e) k CROSS JOIN (SELECT unnest(range(0, 24)) AS r) h CROSS JOIN (SELECT unnest(range(0, w)) AS c, w FROM d) y LEFT JOIN n ON n.grid = k.grid AND n.r = h.r AND n.c = y.c)"""
 
 
-def cells(spark):
-    return plants.noise_grid(spark, 8, 16, 0.4, "grid")
+def hour_grid(spark, sf_dir):
+    """(grid, r, c, n, v) of every hour of every day of each event type."""
+    e = table(spark, sf_dir, "events").filter("ts is not null").select(F.col("event_type").alias("grid"), F.floor(micros("ts") / 3_600_000_000).alias("t"))
+    day = F.floor(F.col("t") / 24)
+    days = e.agg(F.min(day).alias("first"), (F.max(day) - F.min(day) + 1).alias("w"))  # one row
+    n = e.crossJoin(F.broadcast(days)).groupBy("grid", (F.col("t") % 24).alias("r"), (day - F.col("first")).alias("c")).agg(F.count("*").alias("n"))
+    every = e.select("grid").distinct().crossJoin(F.broadcast(days))
+    every = every.select("grid", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("c")).select("grid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("r"), "c")
+    return every.join(n, ["grid", "r", "c"], "left").select("grid", "r", "c", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) % 2).cast("int").alias("v"))
 
 
 @query(f"""
-    WITH {GRID}, n AS (SELECT a.grid, (a.v = b.v)::INT AS s FROM g a JOIN g b ON a.grid = b.grid AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c = a.c)))
-    SELECT grid, round(avg(s), 6) + 0.0 AS agreement FROM n GROUP BY grid
+    WITH {GRID}, n2 AS (SELECT a.grid, (a.v = b.v)::INT AS s FROM g a JOIN g b ON a.grid = b.grid AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c = a.c)))
+    SELECT grid, round(avg(s), 6) + 0.0 AS agreement FROM n2 GROUP BY grid
 """)
 def neighbour_agreement(spark, sf_dir):
-    return grid.neighbour_agreement(cells(spark), ["grid"]).select("grid", r6("agreement").alias("agreement"))
+    return grid.neighbour_agreement(hour_grid(spark, sf_dir), ["grid"]).select("grid", r6("agreement").alias("agreement"))
 
 
 @query(f"""
-    WITH {GRID}, i AS (SELECT grid, v, 'horizontal' AS kind, r AS r2, 15 - c AS c2 FROM g UNION ALL SELECT grid, v, 'vertical', 15 - r, c FROM g UNION ALL SELECT grid, v, 'half_turn', 15 - r, 15 - c FROM g)
+    WITH {GRID}, i AS (SELECT grid, v, 'horizontal' AS kind, r AS r2, w - 1 - c AS c2 FROM g UNION ALL SELECT grid, v, 'vertical', h - 1 - r, c FROM g UNION ALL SELECT grid, v, 'half_turn', h - 1 - r, w - 1 - c FROM g)
     SELECT i.grid, kind, round(avg((i.v = g.v)::INT), 6) + 0.0 AS agreement FROM i JOIN g ON g.grid = i.grid AND g.r = r2 AND g.c = c2 GROUP BY ALL
 """)
 def grid_symmetry(spark, sf_dir):
-    return grid.symmetry(cells(spark), ["grid"]).select("grid", "kind", r6("agreement").alias("agreement"))
+    return grid.symmetry(hour_grid(spark, sf_dir), ["grid"]).select("grid", "kind", r6("agreement").alias("agreement"))
 
 
 @query(f"""
-    WITH {GRID}, b AS (SELECT DISTINCT grid, s, r // s AS br, c // s AS bc FROM g, (SELECT unnest([1, 2, 4, 8]) AS s) WHERE v = 1), n AS (SELECT grid, s, count(*) AS n FROM b GROUP BY ALL)
-    SELECT grid, round(regr_slope(ln(n), ln(1 / s)), 6) + 0.0 AS dimension, round(regr_r2(ln(n), ln(1 / s)), 6) + 0.0 AS r2 FROM n GROUP BY grid
+    WITH {GRID}, b AS (SELECT DISTINCT grid, s, r // s AS br, c // s AS bc FROM g, (SELECT unnest([1, 2, 4, 8]) AS s) WHERE v = 1), m AS (SELECT grid, s, count(*) AS n FROM b GROUP BY ALL)
+    SELECT grid, round(regr_slope(ln(n), ln(1 / s)), 6) + 0.0 AS dimension, round(regr_r2(ln(n), ln(1 / s)), 6) + 0.0 AS r2 FROM m GROUP BY grid
 """)
 def box_dimension(spark, sf_dir):
-    out = grid.fractal_dimension(grid.box_counts(cells(spark), ["grid"], [1, 2, 4, 8]), ["grid"])
+    out = grid.fractal_dimension(grid.box_counts(hour_grid(spark, sf_dir), ["grid"], [1, 2, 4, 8]), ["grid"])
     return out.select("grid", r6("dimension").alias("dimension"), r6("r2").alias("r2"))
 
 
 @query(f"""
-    WITH {GRID}, m AS (SELECT a.grid, a.r, a.c, sum(b.v) AS m FROM g a JOIN g b ON a.grid = b.grid AND b.r BETWEEN a.r AND a.r + 2 AND b.c BETWEEN a.c AND a.c + 2 WHERE a.r <= 13 AND a.c <= 13 GROUP BY ALL)
-    SELECT grid, round(var_pop(m) / power(avg(m), 2) + 1, 6) + 0.0 AS lacunarity FROM m GROUP BY grid
+    WITH {GRID}, a AS (SELECT *, sum(v) OVER (PARTITION BY grid, r ORDER BY c ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS x FROM g), m AS (SELECT *, sum(x) OVER (PARTITION BY grid, c ORDER BY r ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS m FROM a)
+    SELECT grid, round(var_pop(m) / power(avg(m), 2) + 1, 6) + 0.0 AS lacunarity FROM m WHERE r <= h - 3 AND c <= w - 3 GROUP BY grid
 """)
 def lacunarity(spark, sf_dir):
-    return grid.lacunarity(cells(spark), ["grid"], 3).select("grid", r6("lacunarity").alias("lacunarity"))
+    return grid.lacunarity(hour_grid(spark, sf_dir), ["grid"], 3).select("grid", r6("lacunarity").alias("lacunarity"))
 
 
 @query(f"""
     WITH {GRID} SELECT grid, string_agg(v::VARCHAR, '' ORDER BY r, CASE WHEN r % 2 = 0 THEN c ELSE -c END) AS bits FROM g GROUP BY grid
 """)
 def reading_order(spark, sf_dir):
-    return grid.flatten_grid(cells(spark), ["grid"], "boustrophedon")
+    return grid.flatten_grid(hour_grid(spark, sf_dir), ["grid"], "boustrophedon")
 
 
-@query()
+@query(f"""
+    WITH {GRID}, k AS (SELECT *, least(r, c, h - 1 - r, w - 1 - c) AS ring FROM g), s AS (SELECT *, CASE WHEN r = ring THEN 0 WHEN c = w - 1 - ring THEN 1 WHEN r = h - 1 - ring THEN 2 ELSE 3 END AS side FROM k)
+    SELECT grid, string_agg(v::VARCHAR, '' ORDER BY ring, side, CASE side WHEN 0 THEN c WHEN 1 THEN r WHEN 2 THEN -c ELSE -r END) AS bits FROM s GROUP BY grid
+""")
 def spiral_reading(spark, sf_dir):
-    return grid.flatten_grid(cells(spark), ["grid"], "spiral_cw")
+    return grid.flatten_grid(hour_grid(spark, sf_dir), ["grid"], "spiral_cw")
 
 
 @query()
 def fft_peakiness(spark, sf_dir):
-    return grid.fft_peakiness(plants.line_grid(spark, 4, 32, 4, 0.1, "lines"), ["grid"])
+    counts = hour_grid(spark, sf_dir).select("grid", "r", "c", F.col("n").alias("v"))
+    return grid.fft_peakiness(counts, ["grid"])
 
 
 @query("""
@@ -303,7 +320,8 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(pairs)
 
 
-@query(f"SELECT round(avg((1 - cos(2 * pi() * {sql_uniform("'mc'", 'id::VARCHAR')})) / 2), 6) + 0.0 AS mean, count(*) AS n FROM (SELECT unnest(range(0, 20000)) AS id)")
+@query(f"SELECT round(avg((1 - cos(2 * pi() * {sql_uniform("'mc'", 'o_orderkey::VARCHAR')})) / 2), 6) + 0.0 AS mean, count(*) AS n FROM orders")
 def monte_carlo_illumination(spark, sf_dir):
-    x = (1.0 - F.cos(2.0 * math.pi * uniform("mc", F.col("id")))) / 2.0
-    return spark.range(20000).agg(r6(F.avg(x)).alias("mean"), F.count("*").alias("n"))
+    """Mean illumination if each order fell on a random phase."""
+    x = (1.0 - F.cos(2.0 * math.pi * uniform("mc", F.col("o_orderkey")))) / 2.0
+    return table(spark, sf_dir, "orders").agg(r6(F.avg(x)).alias("mean"), F.count("*").alias("n"))
