@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structlab.operators.ranks import running_sums
+
 
 def nearest_dimension(df: DataFrame, dim: DataFrame, distance: Column, id_cols: list[str], dim_cols: list[str], tie: str) -> DataFrame:
     """Nearest row of a small dimension table for each row; ``distance`` is written over both sides' columns.
@@ -85,8 +87,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, value
 
 
 def rechunk(df: DataFrame, lengths: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Deal a flat stream (pos from 0, token) into words of given lengths (word, n), as (word, ord, token)."""
-    w = Window.partitionBy(*by).orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
-    spans = lengths.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    places = spans.select(*by, "word", "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ord")).withColumn("pos", F.col("first") + F.col("ord"))
+    """Deal flat streams (pos from 0, token) into words of given lengths (word, n), as (word, ord, token).
+
+    Where each word begins follows from running sums over all words, less the
+    sum at which its group begins; no task holds a group.
+    """
+    by = list(by)
+    spans = running_sums(lengths, [*by, "word"], "n", "first")
+    if by:
+        starts = spans.groupBy(*by).agg(F.min("first").alias("__start"))
+        spans = spans.join(starts, by).withColumn("first", F.col("first") - F.col("__start")).drop("__start")
+    places = spans.filter("n > 0").select(*by, "word", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("ord")).withColumn("pos", F.col("first") + F.col("ord"))
     return df.join(places.drop("first"), [*by, "pos"]).select(*by, "word", "ord", "token")
