@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,7 +23,27 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
 
 
+_SETTLED: list[str] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint: its rows are computed once, and a lost executor costs no earlier work."""
-    checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table in the shared folder: its rows are computed once, and a lost executor costs no earlier work.
+
+    The tables go when the driver's process ends.
+    """
+    path = shared_dir(df.sparkSession, "settled")
+    if not _SETTLED:
+        atexit.register(drop_settled)
+    _SETTLED.append(path)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_settled() -> None:
+    """Delete the tables that ``settled`` wrote, through the file system that owns them."""
+    jvm = SparkContext._jvm
+    with contextlib.suppress(Exception):  # at the end of a process the JVM may be gone
+        for path in _SETTLED:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    _SETTLED.clear()
