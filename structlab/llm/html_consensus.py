@@ -7,7 +7,9 @@ path that won.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,13 +32,24 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article main section div body td".split())
 #: Elements that end an open paragraph.
 CLOSES_P = BLOCKS - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that mark what is not the article, and words that only say how it is built.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|nav|navbar|navigation|navi|menu|breadcrumbs?|"
+    r"ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|nav|navbar|navigation|navi|menu|breadcrumbs?|"
     r"footer|foot|masthead|topbar|header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|"
     r"newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|widget|pagination|pager|"
-    r"complementary|contentinfo|search)(?=$|[\s_-])"
+    r"complementary|contentinfo|search"
 )
+BUILT = re.compile(
+    r"\d*|area|articles?|bar|block|body|bottom|box|buttons?|column|container|content|float\w*|for|form|global|group|head|icons?|inner|items?|js|left|link|links|list|listing|local|main|"
+    r"message|more|outer|page|pane|panel|posts?|primary|reader|right|row|secondary|section|site|slot|stories|thread|title|top|ui|unit|user|wrap|wrapper|the|your|us|me|to|of|by|and|in|up|l|r|x|s|m|xs|sm|md|lg|xl|v"
+)
+
+
+def names_noise(name: str) -> bool:
+    """Whether a name speaks of noise and, but for how it is built, of nothing else: ``ad-box`` and ``comment_list`` do, ``header-image`` doesn't."""
+    parts = re.split(r"[_-]", name)
+    noisy = [bool(NOISE.fullmatch(p)) for p in parts]
+    return any(noisy) and all(n or BUILT.fullmatch(p) for n, p in zip(noisy, parts, strict=True))
 
 
 def general(tag: str, attrs: dict) -> str:
@@ -52,45 +65,54 @@ def is_noise(tag: str, attrs: dict, inside_article: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    return any(NOISE.search((attrs.get(k) or "").lower()) for k in ("class", "id", "role"))
+    return any(names_noise(name) for k in ("class", "id", "role") for name in (attrs.get(k) or "").lower().split())
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page in order: (ids of the containers around it, text, characters of it in links).
+    """Blocks of a page in order: (innermost container or -1, text, characters of it in links).
 
-    Markup may be broken: a paragraph ends where a block begins, an end tag
-    closes what stands above its start, and unknown end tags are passed over.
+    A container is known by its parent and its last step, so a page costs time
+    in proportion to its length however deep it is.  Markup may be broken: a
+    paragraph ends where a block begins, an end tag closes what stands above
+    its start, and unknown end tags are passed over.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it starts noise, container number or -1
+        self.open: list[tuple[str, bool, bool]] = []  # tag, whether it starts noise, whether it is a container
+        self.count: Counter[str] = Counter()
         self.noise, self.links, self.articles = 0, 0, 0
-        self.paths: list[str] = []
+        self.steps: list[list[str]] = []  # of each container, from its parent on
+        self.parents: list[int] = []
         self.around: list[int] = []
-        self.steps: list[str] = []
+        self.between: list[list[str]] = [[]]  # steps since the innermost container
         self.buffer: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[tuple[int, ...], str, int]] = []
+        self.blocks: list[tuple[int, str, int]] = []
 
     def flush(self) -> None:
         if self.buffer:
             if text := " ".join("".join(self.buffer).split()):
-                self.blocks.append((tuple(self.around), text, min(self.linked, len(text))))
+                self.blocks.append((self.around[-1] if self.around else -1, text, min(self.linked, len(text))))
             self.buffer, self.linked = [], 0
 
     def pop(self) -> None:
         tag, noise, container = self.open.pop()
         if tag in BLOCKS:
             self.flush()
-        self.steps.pop()
+        self.count[tag] -= 1
         self.noise -= noise
         self.links -= tag == "a"
         self.articles -= tag in ("article", "main")
-        if container >= 0:
+        if container:
             self.around.pop()
+            self.between.pop()
+        elif shown_step(tag):
+            self.between[-1].pop()
 
     def close_to(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
                 while len(self.open) > k:
@@ -118,13 +140,16 @@ class Blocks(HTMLParser):
             return
         given = dict(attrs)
         noise = is_noise(tag, given, self.articles > 0)
-        self.steps.append(general(tag, given))
-        container = -1
-        if tag in CONTAINERS and not noise and not self.noise:
-            container = len(self.paths)
-            self.paths.append("/".join(s for s in self.steps if s.split(".")[0] in BLOCKS and not re.match(r"(p|h[1-6]|li)(\.|$)", s)))
-            self.around.append(container)
+        container = tag in CONTAINERS and not noise and not self.noise
+        if container:
+            self.steps.append([*self.between[-1], general(tag, given)])
+            self.parents.append(self.around[-1] if self.around else -1)
+            self.around.append(len(self.parents) - 1)
+            self.between.append([])
+        elif shown_step(tag):
+            self.between[-1].append(general(tag, given))
         self.open.append((tag, noise, container))
+        self.count[tag] += 1
         self.noise += noise
         self.links += tag == "a"
         self.articles += tag in ("article", "main")
@@ -135,7 +160,7 @@ class Blocks(HTMLParser):
             self.pop()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("p", "br") and all(o[0] != tag for o in self.open):
+        if tag in ("p", "br") and not self.count[tag]:
             if not self.noise:
                 self.flush()
             return
@@ -151,8 +176,13 @@ class Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def parse(html: str | None) -> tuple[list[tuple[tuple[int, ...], str, int]], list[str]]:
-    """Blocks and container paths of a page; a tag that the page's end cuts off is left out."""
+def shown_step(tag: str) -> bool:
+    """Whether a tag is a step of the paths below it."""
+    return tag in BLOCKS and not re.fullmatch(r"p|h[1-6]|li", tag)
+
+
+def parse(html: str | None) -> Blocks:
+    """A page's blocks and containers; a tag that the page's end cuts off is left out."""
     html = html or ""
     cut = html.rfind("<")
     if cut > html.rfind(">") and re.match(r"<(?:[a-zA-Z/!?]|$)", html[cut:]):
@@ -163,33 +193,67 @@ def parse(html: str | None) -> tuple[list[tuple[tuple[int, ...], str, int]], lis
     while page.open:
         page.pop()
     page.flush()
-    return page.blocks, page.paths
+    return page
 
 
-def scores(blocks, paths: list[str]) -> dict[str, float]:
+def keys_of(page: Blocks) -> list[bytes]:
+    """A digest of each container's path, from its parent's and its own steps."""
+    keys: list[bytes] = []
+    for parent, steps in zip(page.parents, page.steps, strict=True):
+        keys.append(hashlib.blake2b("/".join(steps).encode("utf-8", "surrogatepass"), digest_size=16, key=keys[parent] if parent >= 0 else b"").digest())
+    return keys
+
+
+def path_of(page: Blocks, container: int) -> str:
+    parts = []
+    while container >= 0:
+        parts.append("/".join(page.steps[container]))
+        container = page.parents[container]
+    return "/".join(reversed(parts))
+
+
+def scores(page: Blocks, keys: list[bytes]) -> dict[bytes, float]:
     """Score of each container path: text outside links counts in full for the innermost container, and less the further out.
 
-    Semantic containers weigh more; text in links counts against.
+    Semantic containers weigh more; text in links counts against.  Sums go up
+    the tree once.
     """
-    out: dict[str, float] = {}
-    for around, text, linked in blocks:
-        worth = len(text) - 2.0 * linked
-        for depth, c in enumerate(reversed(around)):
-            step = paths[c].rpartition("/")[2].split(".")[0]
-            weight = {"article": 1.5, "main": 1.2, "body": 0.5}.get(step, 1.0) * 0.8**depth
-            out[paths[c]] = out.get(paths[c], 0.0) + worth * weight
+    below = [0.0] * len(keys)
+    for c, text, linked in page.blocks:
+        if c >= 0:
+            below[c] += len(text) - 2.0 * linked
+    out: dict[bytes, float] = {}
+    for c in range(len(keys) - 1, -1, -1):
+        weight = {"article": 1.5, "main": 1.2, "body": 0.5}.get(page.steps[c][-1].split(".")[0], 1.0)
+        out[keys[c]] = out.get(keys[c], 0.0) + below[c] * weight
+        if page.parents[c] >= 0:
+            below[page.parents[c]] += 0.8 * below[c]
     return out
 
 
-def text_under(blocks, paths: list[str], path: str | None) -> str:
-    """Text of the blocks inside containers of ``path``."""
-    if path is None or path not in paths:
-        own = scores(blocks, paths)
-        path = max(sorted(own), key=own.__getitem__) if own else None
-    if path is None:
-        return "\n".join(t for _, t, _ in blocks)
-    inside = {k for k, p in enumerate(paths) if p == path}
-    return "\n".join(t for around, t, _ in blocks if not inside.isdisjoint(around))
+def best_path(page: Blocks, keys: list[bytes]) -> tuple[bytes, str, float] | None:
+    """(digest, path, score) of the best path; of equals the first by code point."""
+    own = scores(page, keys)
+    if not own or not page.blocks:
+        return None
+    top = max(own.values())
+    first = {k: c for c, k in reversed(list(enumerate(keys))) if own[k] == top}
+    path, key = min((path_of(page, c), k) for k, c in first.items())
+    return key, path, top
+
+
+def text_under(page: Blocks, key: bytes | None) -> str:
+    """Text of the blocks inside containers of the path with this digest, or of the page's own best path if it has none such."""
+    keys = keys_of(page)
+    if key is None or key not in keys:
+        best = best_path(page, keys)
+        key = best[0] if best else None
+    if key is None:
+        return "\n".join(t for _, t, _ in page.blocks)
+    inside: list[bool] = []
+    for k, parent in zip(keys, page.parents, strict=True):
+        inside.append(k == key or parent >= 0 and inside[parent])
+    return "\n".join(t for c, t, _ in page.blocks if c >= 0 and inside[c])
 
 
 def host_of(url):
@@ -202,23 +266,22 @@ def votes(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFr
 
     def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, winners, worth = [], [], []
+            hosts, found = [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = scores(*parse(html))
-                if own:
-                    best = max(sorted(own), key=own.__getitem__)
+                page = parse(html)
+                if best := best_path(page, keys_of(page)):
                     hosts.append(host)
-                    winners.append(best)
-                    worth.append(own[best])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(winners, pa.string()), pa.array(worth, pa.float64())], names=["host", "path", "score"])
+                    found.append(best)
+            columns = [pa.array([f[k] for f in found], t) for k, t in ((0, pa.binary()), (1, pa.string()), (2, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *columns], names=["host", "key", "path", "score"])
 
-    cast = df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(ballots, "host string, path string, score double")
-    return cast.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+    cast = df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(ballots, "host string, key binary, path string, score double")
+    return cast.groupBy("host", "key").agg(F.min("path").alias("path"), F.count("*").alias("votes"), F.sum("score").alias("score"))
 
 
 def winning_paths(counted: DataFrame) -> DataFrame:
-    """One path per host: most votes, then the last path by code point."""
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    """One path and its digest per host: most votes, then the last path by code point."""
+    return counted.groupBy("host").agg(F.max(F.struct("votes", "path", "key")).alias("w")).select("host", "w.path", "w.key")
 
 
 def extract_main_text(
@@ -240,12 +303,12 @@ def extract_main_text(
     pages = df.select(
         F.col(id_col).alias("row_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
     )
-    joined = pages.join(bounded(winners, host_bound), "host", "left").select("row_id", "url", "path", "html")
+    joined = pages.join(bounded(winners, host_bound), "host", "left").select("row_id", "url", "path", "html", "key")
     id_type = joined.schema["row_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_under(*parse(html), path) for path, html in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [text_under(parse(html), key) for html, key in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["row_id", "url", "path", "text"])
 
     return joined.mapInArrow(extract, f"row_id {id_type}, url string, path string, text string")
