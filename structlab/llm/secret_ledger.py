@@ -143,7 +143,7 @@ def scan(
         ]
     )
     scanned = work_rows.select("blob", F.filter(results, lambda r: r["spans"].isNotNull()).alias("results"))
-    scanned = work.save(scanned, "scanned")
+    scanned = work.save(scanned.dropDuplicates(["blob"]), "scanned")  # rows that repeat a path and its text
     fresh = scanned.select("blob", F.inline("results"))
     known = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "kind", "version", "spans"))
     current = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(r.version)) for r in rules])
@@ -154,6 +154,23 @@ def scan(
     return found, fresh
 
 
+def scan_in_steps(
+    df: DataFrame, cuts: list, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, id_bound: int = ID_BOUND
+) -> tuple[DataFrame, DataFrame]:
+    """``scan`` of a table that grows: up to each of ``cuts`` (path ids, ascending), then whole; (paths with findings, ledger).
+
+    Each step enters into the ledger what it alone has seen, so a blob that
+    comes back later, under whatever path, isn't searched again.  Rows without
+    a path come with the last step.
+    """
+    work, ledger = Scratch(df.sparkSession, "ledger"), None
+    for k, cut in enumerate([*cuts, None]):
+        rows = df if cut is None else df.filter(F.col(path_col) <= F.lit(cut))
+        found, fresh = scan(rows, ledger, path_col, text_col, rules, id_bound)
+        ledger = work.save(fresh if ledger is None else ledger.unionByName(fresh), f"ledger{k}")
+    return found, ledger
+
+
 def ordered_spans(findings: Column, rules: tuple[Rule, ...]) -> Column:
     """Findings of the given rules as (start, place of the rule, end, kind), sorted."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
