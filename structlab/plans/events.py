@@ -113,10 +113,15 @@ def autocorr_daily(spark, sf_dir):
     return periodic.autocorrelation(daily, ["series"], "day", "v", 7).select("lag", r6("r").alias("r"))
 
 
-@query()
+@query("""
+    WITH d AS (SELECT date_trunc('day', ts) AS day, sum(value) AS v FROM events GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n, v - avg(v) OVER () AS v FROM d),
+         h AS (SELECT i, n, v * (0.5 - 0.5 * cos(2 * pi() * i / nullif(n - 1, 0))) AS v, unnest(range(1, 11)) AS k FROM n),
+         s AS (SELECT k, sum(v * cos(2 * pi() * ((k * i / n) % 1.0))) AS c, sum(v * sin(2 * pi() * ((k * i / n) % 1.0))) AS s FROM h GROUP BY k)
+    SELECT 1 AS series, k::INTEGER AS k, round(c * c + s * s, 2) + 0.0 AS power FROM s
+""")
 def power_spectrum_daily(spark, sf_dir):
     daily = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.sum("value").alias("v")).withColumn("series", F.lit(1))
-    return periodic.power_spectrum(daily, ["series"], "day", "v", 10)
+    return periodic.power_spectrum(daily, ["series"], "day", "v", 10).select("series", "k", r6("power", 2).alias("power"))
 
 
 N_TRIALS = 40

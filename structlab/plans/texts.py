@@ -174,7 +174,13 @@ def html_strip_stats(spark, sf_dir):
     return pages.select("page_id", F.length(F.regexp_replace(bare, r"[\s\x0B]+", "")).cast("long").alias("n_chars"))
 
 
-@query()
+_TAGS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gis'), '<br\s*/?>', E'\n', 'gi'), '</p\s*>', E'\n\n', 'gi'), '<[^>]+>', ' ', 'g')"
+
+
+@query(rf"""
+    WITH t AS (SELECT page_id, replace(replace({_TAGS}, '&nbsp;', ' '), '&amp;', '&') AS t FROM pages)
+    SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g')) AS text FROM t
+""")
 def html_to_text_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
