@@ -111,35 +111,37 @@ def scan(
     firsts = paths.groupBy("blob").agg(F.min("path_id").alias("path_id"))
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
-        todo = firsts.select("blob", "path_id", F.transform(wanted, lambda r: r["kind"]).alias("kinds"))
+        todo = firsts.select(F.unhex("blob").alias("blob"), "path_id", F.lit((1 << len(rules)) - 1).alias("mask"))
     else:
         pairs = firsts.select("blob", "path_id", F.explode(wanted).alias("rule")).select("blob", "path_id", "rule.*")
         pairs = pairs.join(ledger.select("blob", "kind", "version").distinct(), ["blob", "kind", "version"], "left_anti")
-        todo = pairs.groupBy("blob").agg(F.first("path_id").alias("path_id"), F.collect_list("kind").alias("kinds"))
+        bit = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, 1 << k)]), F.col("kind"))
+        todo = pairs.groupBy("blob").agg(F.first("path_id").alias("path_id"), F.sum(bit).cast("int").alias("mask"))
+        todo = todo.select(F.unhex("blob").alias("blob"), "path_id", "mask")  # as narrow as it can be sent
     todo = work.save(todo, "todo")
     texts = df.select(F.col(path_col).alias("path_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     texts = texts.withColumn("blob", F.sha2("body", 256))
-    version = lambda w: F.col("t.path_id").eqNullSafe(F.col(f"{w}.path_id")) & (F.col("t.blob") == F.col(f"{w}.blob"))
+    version = lambda w: F.col("t.path_id").eqNullSafe(F.col(f"{w}.path_id")) & (F.unhex("t.blob") == F.col(f"{w}.blob"))
     n_rows, n_todo = paths.count(), todo.count()
     every = ledger is None
     if n_todo <= id_bound and not (every and n_rows - n_todo < n_todo):
-        work_rows = texts.alias("t").join(F.broadcast(todo).alias("w"), version("w")).select("w.blob", "w.kinds", "t.body")
+        work_rows = texts.alias("t").join(F.broadcast(todo).alias("w"), version("w")).select("t.blob", "w.mask", "t.body")
     elif every and n_rows - n_todo <= id_bound:
-        skip = work.save(paths.join(todo.select("blob", "path_id").withColumn("__first", F.lit(True)), ["blob", "path_id"], "left")
+        held = paths.select("path_id", F.unhex("blob").alias("blob"))
+        skip = work.save(held.join(todo.select("blob", "path_id").withColumn("__first", F.lit(True)), ["blob", "path_id"], "left")
                          .filter(F.col("__first").isNull() & F.col("path_id").isNotNull()).select("path_id", "blob"), "skip")
         work_rows = texts.alias("t").join(F.broadcast(skip).alias("s"), version("s"), "left_anti")
-        kinds = F.array(*[F.lit(r.kind) for r in rules])
-        work_rows = work_rows.select("blob", kinds.alias("kinds"), "body")
+        work_rows = work_rows.select("blob", F.lit((1 << len(rules)) - 1).alias("mask"), "body")
     else:
-        work_rows = texts.alias("t").join(todo.alias("w"), version("w")).select("w.blob", "w.kinds", "t.body")
+        work_rows = texts.alias("t").join(todo.alias("w"), version("w")).select("t.blob", "w.mask", "t.body")
     none = F.lit(None).cast("array<struct<start:int,end:int>>")
     results = F.array(
         *[
             F.struct(
                 F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"),
-                F.when(F.array_contains("kinds", r.kind), rule_spans(F.col("body"), r)).otherwise(none).alias("spans"),
+                F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, rule_spans(F.col("body"), r)).otherwise(none).alias("spans"),
             )
-            for r in rules
+            for k, r in enumerate(rules)
         ]
     )
     scanned = work_rows.select("blob", F.filter(results, lambda r: r["spans"].isNotNull()).alias("results"))
