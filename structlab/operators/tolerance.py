@@ -11,7 +11,7 @@ between them, and those tiles meet as sorted arrays.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +45,16 @@ def bands(tolerance: float, span: float) -> list[tuple[float, float]]:
     return out
 
 
-def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float, bool]], tile_values: int = TILE_VALUES) -> DataFrame:
+def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float, bool]], tile_values: int = TILE_VALUES, zones: list[tuple[int, int]] = (), judge: Callable | None = None, value: str | None = None) -> DataFrame:
     """(by, end, n_pairs): unordered pairs of rows of a group at least ``ends[end]`` apart (more than that where the flag is set).
 
     Equal positions combine before the shuffle, so a position with many rows is
-    one number with a weight.
+    one number with a weight.  ``zones`` are pairs of ends so close together that
+    few pairs lie between them: those are looked at one by one and counted under
+    the number ``judge(a, b)`` of their ``value`` instead of an end's.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    weighted = settled(df.groupBy(*by, F.col(y).alias("__y")).agg(F.count("*").alias("__w")))
+    weighted = settled(df.groupBy(*by, F.col(y).alias("__y")).agg(F.count("*").alias("__w"), F.min(value or y).cast("double").alias("__x")))
     low, high = weighted.agg(F.min("__y"), F.max("__y")).first()
     most = weighted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if not most:
@@ -60,27 +62,38 @@ def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float,
     tiles = -(-most // tile_values)
     width = (high - low) / tiles or 1.0
     place = F.least(F.floor((F.col("__y") - low) / width).cast("int"), F.lit(tiles - 1))
-    tiled = weighted.groupBy(*by, place.alias("__tile")).agg(F.array_sort(F.collect_list(F.struct("__y", "__w"))).alias("__v"), F.sum("__w").alias("__n"))
-    tiled = settled(tiled.select(*by, "__tile", F.col("__v.__y").alias("__y"), F.col("__v.__w").alias("__w"), "__n"))
+    tiled = weighted.groupBy(*by, place.alias("__tile")).agg(F.array_sort(F.collect_list(F.struct("__y", "__w", "__x"))).alias("__v"), F.sum("__w").alias("__n"))
+    tiled = settled(tiled.select(*by, "__tile", *[F.col(f"__v.{c}").alias(c) for c in ("__y", "__w", "__x")], "__n"))
     cut, strict = np.array([e for e, _ in ends]), np.array([s for _, s in ends])
     first = np.floor(cut / width).astype(int)
 
     # Pairs of tiles that an end falls between meet; their distance in tiles is one of a few numbers.
     near = sorted({int(d) for f in first for d in (f - 1, f, f + 1) if 0 <= d < tiles})
-    lower = tiled.select(*by, F.col("__tile").alias("__at"), F.col("__y").alias("__y2"), F.col("__w").alias("__w2"))
-    upper = tiled.select(*by, "__y", "__w", "__tile", F.explode(F.array(*[F.lit(d) for d in near])).alias("__d")) if near else None
+    lower = tiled.select(*by, F.col("__tile").alias("__at"), F.col("__y").alias("__y2"), F.col("__w").alias("__w2"), F.col("__x").alias("__x2"))
+    upper = tiled.select(*by, "__y", "__w", "__x", "__tile", F.explode(F.array(*[F.lit(d) for d in near])).alias("__d")) if near else None
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                a, wa, b, wb = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("__y", "__w", "__y2", "__w2"))
-                mine = np.flatnonzero(np.abs(first - batch.column("__d")[r].as_py()) <= 1)
+                a, wa, xa, b, wb, xb = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("__y", "__w", "__x", "__y2", "__w2", "__x2"))
+                close = np.abs(first - batch.column("__d")[r].as_py()) <= 1
+                mine = np.flatnonzero(close)
                 below = np.concatenate(([0], np.cumsum(wb)))
                 count = np.empty(len(mine), np.int64)
                 for k, e in enumerate(mine):
                     count[k] = wa @ below[np.searchsorted(b, a - cut[e], "left" if strict[e] else "right")]
-                groups = [batch.column(c).take(pa.array([r] * len(mine))) for c in by]
-                yield pa.RecordBatch.from_arrays([*groups, pa.array(mine, pa.int32()), pa.array(count)], names=[*by, "end", "n_pairs"])
+                judged: dict[int, int] = {}
+                for near_end, far_end in zones:
+                    if not (close[near_end] or close[far_end]):
+                        continue
+                    low, high = (np.searchsorted(b, a - cut[e], "left" if strict[e] else "right") for e in (far_end, near_end))
+                    for i in np.flatnonzero(high > low):
+                        for j in range(low[i], high[i]):
+                            label = judge(float(xa[i]), float(xb[j]))
+                            judged[label] = judged.get(label, 0) + int(wa[i]) * int(wb[j])
+                numbers, found = [*mine.tolist(), *judged], [*count.tolist(), *judged.values()]
+                groups = [batch.column(c).take(pa.array([r] * len(numbers))) for c in by]
+                yield pa.RecordBatch.from_arrays([*groups, pa.array(numbers, pa.int32()), pa.array(found, pa.int64())], names=[*by, "end", "n_pairs"])
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +112,10 @@ def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float,
     sizes = tiled.groupBy(*by).agg(F.collect_list("__tile").alias("__tiles"), F.collect_list("__n").alias("__sizes"))  # one number per tile
     out = sizes.mapInArrow(apart, schema)
     if upper is not None:
-        positive = F.array(*[F.lit(int(k)) for k in np.flatnonzero(cut > 0)])
+        every = [int(k) for k in np.flatnonzero(cut <= 0)]
         both = upper.withColumn("__at", F.col("__tile") - F.col("__d")).filter("__at >= 0").join(lower, [*by, "__at"])
         met = both.repartition(*by, "__tile", "__d").mapInArrow(meet, schema)
-        out = out.unionByName(met.filter(F.array_contains(positive, F.col("end"))))
+        out = out.unionByName(met.filter(~F.col("end").isin(every)) if every else met)
     return out.groupBy(*by, "end").agg(F.sum("n_pairs").alias("n_pairs"))
 
 
@@ -204,24 +217,58 @@ def sweep_fixed_floor(row: Column) -> Column:
     return (row["perm_spread"] < SPREAD_FLOOR) | (row["hits_filt"] == row["perm_p95"])
 
 
-def note_shares(df: DataFrame, by: list[str], y: str, tolerance: float) -> DataFrame:
+#: Half the width of the zones around the ends of a note's share, in octaves.
+ZONE = 1e-9
+
+
+def note_of(r: float, tolerance: float) -> tuple[int, bool]:
+    """The place of the note nearest to a ratio reduced to an octave, to a millionth of a cent, the first winning a tie, and whether it is within the tolerance."""
+    folded = r / 2.0 ** math.floor(math.log2(r))
+    off = [abs(1200 * math.log2(folded / v)) for _, v in DIATONIC]
+    return min((round(o, 6), k) for k, o in enumerate(off))[1], min(off) <= tolerance
+
+
+def note_shares(df: DataFrame, by: list[str], y: str, tolerance: float, value: str | None = None) -> DataFrame:
     """(by, note, n_pairs, n_hits): pairs of rows by the note that their octave-reduced ratio is nearest to, and those within the tolerance of it.
 
-    Range counts as in ``note_hits``.  A ratio that is a power of two is a unison.
+    Range counts as in ``note_hits`` between the places where the note or its
+    hits change; the pairs at such a place, whose ratio only arithmetic puts on
+    one side or the other, are judged one by one from ``value``, the number whose
+    log2 is ``y``.  Without it a ratio that is a power of two is a unison.
     """
     low, high = df.agg(F.min(y), F.max(y)).first()
     span = (high - low) if low is not None else 0.0
-    notes = [(n, math.log2(v)) for n, v in DIATONIC]
-    middle = [0.0 - 1e-9, *((a + b) / 2 for (_, a), (_, b) in zip(notes, notes[1:], strict=False)), 1.0 - 1e-9]
-    ends, parts = [], []
-    for k in range(math.ceil(span) + 1):
-        for j, (note, at) in enumerate(notes):
-            a, b = max(middle[j], at - tolerance / 1200), min(middle[j + 1], at + tolerance / 1200)
-            inner = b == at + tolerance / 1200  # this end belongs to the hits; where cells meet it doesn't
-            for cut, strict, sign, hit in ((middle[j], False, 1, 0), (middle[j + 1], False, -1, 0), (a, False, 1, 1), (b, inner, -1, 1)):
-                parts.append((len(ends), note, sign, hit))
-                ends.append((k + cut, strict))
-    counts = distant_pairs(df, by, y, ends)
+    notes = [math.log2(v) for _, v in DIATONIC]
+    turns = {0.0, *((a + b) / 2 for a, b in zip(notes, notes[1:], strict=False)), *(n + s * tolerance / 1200 for n in notes for s in (-1, 1))}
+    places = sorted(k + t for k in range(math.ceil(span) + 1) for t in turns if 0 <= t < 1)
+    around: list[list[float]] = []
+    for p in places[1:]:
+        if around and p - ZONE <= around[-1][1]:
+            around[-1][1] = p + ZONE
+        else:
+            around.append([p - ZONE, p + ZONE])
+
+    def judge(a: float, b: float) -> int:
+        if value is None:
+            d = abs(a - b)
+            ratio = 2.0 ** (round(d) if abs(d - round(d)) < ZONE else d)
+        else:
+            ratio = max(a, b) / min(a, b)
+        place, hit = note_of(ratio, tolerance)
+        return -1 - 2 * place - hit
+
+    # Every distance lies between two zones or in one; those below the first zone include equal values.
+    ends, parts = [(0.0, False)], []
+    for zone in around:
+        ends += [(zone[0], False), (zone[1], False)]
+    for k in range(0, len(ends), 2):
+        middle = ends[k][0] + (ends[k + 1][0] - ends[k][0]) / 2 if k + 1 < len(ends) else ends[k][0] + ZONE
+        place, hit = note_of(2.0**middle, tolerance)
+        for end, sign in ((k, 1), (k + 1, -1)):
+            if end < len(ends):
+                parts.append((end, DIATONIC[place][0], sign, int(hit)))
+    parts += [(-1 - 2 * k - hit, DIATONIC[k][0], 1, hit) for k in range(len(DIATONIC)) for hit in (0, 1)]
+    counts = distant_pairs(df, by, y, ends, zones=[(k, k + 1) for k in range(1, len(ends), 2)], judge=judge, value=value)
     of = F.broadcast(df.sparkSession.createDataFrame(parts, "end int, note string, sign int, hit int"))  # a few per octave
-    total = lambda h: F.sum(F.when(F.col("hit") == h, F.col("sign") * F.col("n_pairs")).otherwise(0))
-    return counts.join(of, "end").groupBy(*by, "note").agg(total(0).alias("n_pairs"), total(1).alias("n_hits"))
+    n = F.col("sign") * F.col("n_pairs")
+    return counts.join(of, "end").groupBy(*by, "note").agg(F.sum(n).alias("n_pairs"), F.sum(F.when(F.col("hit") == 1, n).otherwise(0)).alias("n_hits"))

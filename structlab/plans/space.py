@@ -269,8 +269,8 @@ def pairwise_ratio_diatonic(spark, sf_dir):
 
 
 def diatonic_hits(supplier):
-    y = supplier.select(F.lit(0).alias("g"), F.log2((F.col("s_acctbal") + 1000) / 100).alias("y")).filter("y is not null")
-    return tolerance.note_shares(y, ["g"], "y", 20.00005).filter("n_pairs > 0").select("note", "n_pairs", "n_hits")
+    v = supplier.select(F.lit(0).alias("g"), ((F.col("s_acctbal") + 1000) / 100).alias("v")).withColumn("y", F.log2("v")).filter("y is not null")
+    return tolerance.note_shares(v, ["g"], "y", 20.00005, "v").filter("n_pairs > 0").select("note", "n_pairs", "n_hits")
 
 
 @query(f"""

@@ -64,3 +64,24 @@ def test_note_shares_are_those_of_all_pairs(spark):
             want[DIATONIC[k][0]][0] += 1
             want[DIATONIC[k][0]][1] += off <= 20.0
     assert got == {n: tuple(v) for n, v in want.items()}
+
+
+def test_note_shares_judge_octaves_as_the_arithmetic_does(spark):
+    r = random.Random(11)
+    low = [(r.randint(1, 250_000) / 100 + 1000) / 100 for _ in range(150)]
+    balances = [round(v * 100 - 1000, 2) for v in low] + [round(2 * v * 100 - 1000, 2) for v in low]
+    values = [(b + 1000) / 100 for b in balances]
+    df = spark.createDataFrame([(0, v, math.log2(v)) for v in values], "g int, v double, y double")
+    got = {x.note: (x.n_pairs, x.n_hits) for x in tolerance.note_shares(df, ["g"], "y", 20.00005, "v").collect()}
+    want, just_below = {n: [0, 0] for n, _ in DIATONIC}, 0
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            ratio = max(a, b) / min(a, b)
+            folded = ratio / 2 ** math.floor(math.log2(ratio))
+            offs = [abs(1200 * math.log2(folded / v)) for _, v in DIATONIC]
+            k = min((round(o, 6), k) for k, o in enumerate(offs))[1]
+            just_below += 2 - 1e-12 < ratio < 2
+            want[DIATONIC[k][0]][0] += 1
+            want[DIATONIC[k][0]][1] += round(min(offs), 4) <= 20
+    assert just_below > 5
+    assert got == {n: tuple(v) for n, v in want.items()}
