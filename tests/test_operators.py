@@ -245,3 +245,31 @@ def test_streams(spark, tmp_path):
     assert st.run_to_table(st.sessions(stream(), "30 minutes"), "t3", "complete", str(tmp_path / "c3")).count() == 3
     assert st.run_to_table(st.running_phase(stream(), 3600.0), "t4", "complete", str(tmp_path / "c4")).first().n == 50
     assert st.run_to_parquet(st.deduplicated(stream()), str(tmp_path / "o"), str(tmp_path / "c5")).count() == 50
+
+
+def test_repeat_structure_on_a_limit_follows_the_running_deviation(spark):
+    import random
+
+    def deviations(gaps):
+        n, mean, one, other, squares = 0, 0.0, 0.0, 0.0, 0.0
+        for x in gaps:
+            n += 1
+            new = mean + (x - mean) / n
+            one += (x - new) * (x - mean)  # as DuckDB sums it
+            squares += (x - mean) * ((x - mean) - (x - mean) / n)  # as Spark does
+            mean = new
+        return math.sqrt(one / n), math.sqrt(squares / n), sum(gaps) / n
+
+    r, rows, want = random.Random(2), [], {}
+    while len(want) < 12:
+        gaps = [r.choice([1, 1, 2, 3, 5, 8, 13, 21]) for _ in range(r.randint(5, 17))]
+        if len(gaps) * sum(g * g for g in gaps) != 2 * sum(gaps) ** 2:
+            continue
+        one, other, mean = deviations(gaps)
+        if (one / mean >= 1) != (other / mean >= 1):
+            seq = len(want)
+            want[seq] = "clustered" if one / mean >= 1 else "scattered"
+            rows += [(seq, "r", sum(gaps[:k])) for k in range(len(gaps) + 1)]
+    df = spark.createDataFrame(rows, "seq int, token string, ord int")
+    got = {x.seq: x.layout for x in sequence.repeat_structure(df, ["seq"], "token", "ord").collect()}
+    assert set(want.values()) == {"clustered", "scattered"} and got == want
