@@ -273,3 +273,19 @@ def test_repeat_structure_on_a_limit_follows_the_running_deviation(spark):
     df = spark.createDataFrame(rows, "seq int, token string, ord int")
     got = {x.seq: x.layout for x in sequence.repeat_structure(df, ["seq"], "token", "ord").collect()}
     assert set(want.values()) == {"clustered", "scattered"} and got == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawn_rows_are_never_broadcast(spark):
+    df = spark.range(300).select((F.col("id") % 5).alias("u"), F.col("id").alias("pos"), F.col("id").alias("v"))
+    plan = plan_of(nulls.bootstrap(df, "v", ["pos"], ["u"], "t", 30))
+    assert "SortMergeJoin [__rn" in plan
+
+
+def test_exploded_cells_are_never_broadcast(spark):
+    df = spark.range(300).select("id", (F.col("id") * 1.1).alias("x"), (F.col("id") * 0.2).alias("y"))
+    for pairs in (spatial.sky_neighbours(df, "id", "x", "y", 2.0), spatial.close_pairs(df, "id", "x", "y", 2.0)):
+        assert "SortMergeJoin" in plan_of(pairs) and "BroadcastHashJoin" not in plan_of(pairs)
