@@ -289,3 +289,11 @@ def test_exploded_cells_are_never_broadcast(spark):
     df = spark.range(300).select("id", (F.col("id") * 1.1).alias("x"), (F.col("id") * 0.2).alias("y"))
     for pairs in (spatial.sky_neighbours(df, "id", "x", "y", 2.0), spatial.close_pairs(df, "id", "x", "y", 2.0)):
         assert "SortMergeJoin" in plan_of(pairs) and "BroadcastHashJoin" not in plan_of(pairs)
+
+
+def test_nearest_points_begin_with_cells_of_few_points(spark, monkeypatch):
+    widths, search = [], spatial.nearest_by_doubling
+    monkeypatch.setattr(spatial, "nearest_by_doubling", lambda *a: widths.append(a[4]) or search(*a))
+    df = spark.range(900).select("id", (F.col("id") % 30).alias("x"), F.floor(F.col("id") / 30).alias("y"))
+    assert spatial.nearest_neighbours(df, "id", "x", "y", 60.0).filter("nn = 1").count() == 900
+    assert len(widths) == 1 and 0 < widths[0] <= 2.0
