@@ -204,7 +204,9 @@ def stream_session(spark, sf_dir):
 def stream_deduplicated(spark, sf_dir):
     from structlab.streaming import events as st
 
-    out = _stream(spark, sf_dir, lambda e: st.deduplicated(e, "1000 days"), "dedup", "append")
+    # The rows are as many as the events: they go to a table, not to the driver's memory.
+    rows = st.deduplicated(st.event_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts"), "1000 days")
+    out = st.run_to_parquet(rows, shared_dir(spark, "dedup"), shared_dir(spark, "stream"))
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 

@@ -297,3 +297,12 @@ def test_nearest_points_begin_with_cells_of_few_points(spark, monkeypatch):
     df = spark.range(900).select("id", (F.col("id") % 30).alias("x"), F.floor(F.col("id") / 30).alias("y"))
     assert spatial.nearest_neighbours(df, "id", "x", "y", 60.0).filter("nn = 1").count() == 900
     assert len(widths) == 1 and 0 < widths[0] <= 2.0
+
+
+def test_deduplicated_stream_leaves_no_rows_in_memory(spark):
+    from structlab import plans
+
+    path = "/root/testdata/sf0.001"
+    n = plans.QUERIES["stream_deduplicated"](spark, path).agg(F.sum("n")).first()[0]
+    assert n == spark.read.parquet(f"{path}/events.parquet").select("event_id").distinct().count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("dedup_")]
