@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from structlab.operators import nulls, sequence
@@ -24,8 +24,8 @@ def ledger_statistics(df: DataFrame, corpus: str, tablet: list[str], place: list
     """
     keys = [*tablet, *place]
     rows = df.select(F.col(corpus).alias("corpus"), *keys, F.col(token).alias("token"), F.col(numeral).alias("num"))
-    first = rows.filter("num").groupBy("corpus", *tablet).agg(F.min(F.struct(*place)).alias("first"))
-    rows = rows.join(first, ["corpus", *tablet], "left")
+    first = F.min(F.when(F.col("num"), F.struct(*place))).over(Window.partitionBy("corpus", *tablet))  # a tablet's signs
+    rows = rows.withColumn("first", first)
     rows = settled(rows.withColumn("header", F.coalesce(F.struct(*place) < F.col("first"), F.lit(True))).drop("first"))
     size = rows.groupBy("corpus").agg(
         F.count_if("header").alias("n_header"), F.count_if(F.col("header") & F.col("num")).alias("n_header_numerals"), F.count_if(~F.col("header")).alias("n_lines"), F.count_if(~F.col("header") & F.col("num")).alias("n_numerals")
