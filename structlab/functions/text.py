@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,9 +54,20 @@ def chi2_english(s: Column) -> Column:
 
 
 def index_of_coincidence_letters(s: Column) -> Column:
-    n = F.length(letters_only(s)).cast("double")
-    pairs = F.aggregate(letter_counts(s), F.lit(0.0), lambda a, c: a + c * (c - 1))
-    return pairs / F.nullif(n * (n - 1), F.lit(0.0))
+    """Share of pairs of letters that are alike, case folded; null with fewer than two letters.  A text is counted in one pass."""
+
+    def share(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            # Case differs in one bit; what isn't ASCII has bytes from 128 on.
+            c = np.bincount(np.frombuffer((t or "").encode(), np.uint8), minlength=256)
+            c = (c[65:91] + c[97:123]).astype(object)
+            n = sum(c)
+            out.append(float(sum(k * (k - 1) for k in c)) / float(n * (n - 1)) if n > 1 else None)
+        return pd.Series(out, dtype="float64")
+
+    found = F.pandas_udf(share, "double")(s)
+    return F.when(s.isNotNull() & ~F.isnan(found), found)
 
 
 def english_like(s: Column, max_chi2: float = 80.0, min_ic: float = 0.055, least: int = 40) -> Column:

@@ -131,8 +131,8 @@ _LETTERS = "regexp_replace(upper(text), '[^A-Z]', '', 'g')"
 """)
 def letter_coincidence(spark, sf_dir):
     """Index of coincidence of the letters of plain documents, by language."""
-    d = table(spark, sf_dir, "documents").filter(text.is_pure_ascii(F.coalesce("text", F.lit("")))).select("lang", text.letters_only(F.col("text")).alias("w")).filter("length(w) > 1")
-    return d.groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg(text.index_of_coincidence_letters(F.col("w"))), 5).alias("ic"))
+    d = table(spark, sf_dir, "documents").filter(text.is_pure_ascii(F.coalesce("text", F.lit("")))).select("lang", text.index_of_coincidence_letters(F.col("text")).alias("ic")).filter("ic is not null")
+    return d.groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg("ic"), 5).alias("ic"))
 
 
 @query("""
