@@ -84,13 +84,38 @@ def top_bigrams(pairs: DataFrame, k: int, by: list[str] = ()) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Most n-grams that are broadcast to be counted by their text.
+NGRAM_BOUND = 100_000
+
+
 def common_ngrams(df: DataFrame, tokens_col: str, id_col: str, n: int, least: int = 2, top: int = 20) -> DataFrame:
-    """n-grams in at least ``least`` sequences: n-gram, count, sequences; the ``top`` by sequences, count, n-gram."""
+    """n-grams in at least ``least`` sequences: n-gram, count, sequences; the ``top`` by sequences, count, n-gram.
+
+    Where no id repeats, n-grams are counted by 64-bit hashes first, combined before the shuffle; equal hashes can only raise a
+    count, so those that reach the counts of the last of the ``top`` hold the answer and are counted again by their text.
+    """
     starts = F.when(F.size(tokens_col) >= n, F.sequence(F.lit(1), F.size(tokens_col) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    grams = df.select(F.col(id_col).alias("seq"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice(tokens_col, i, F.lit(n)), " "))).alias("ngram"))
-    per_seq = grams.groupBy("ngram", "seq").agg(F.count("*").alias("c"))
-    out = per_seq.groupBy("ngram").agg(F.sum("c").alias("n_total"), F.count("*").alias("n_seqs")).filter(F.col("n_seqs") >= least)
-    return out.orderBy(F.desc("n_seqs"), F.desc("n_total"), "ngram").limit(top)
+    texts = F.transform(starts, lambda i: F.array_join(F.slice(tokens_col, i, F.lit(n)), " "))
+    exact = lambda grams: grams.groupBy("ngram", "seq").agg(F.count("*").alias("c")).groupBy("ngram").agg(F.sum("c").alias("n_total"), F.count("*").alias("n_seqs")).filter(F.col("n_seqs") >= least)
+    ranked = lambda rows: rows.orderBy(F.desc("n_seqs"), F.desc("n_total"), "ngram").limit(top)
+    grams = df.select(F.col(id_col).alias("seq"), F.explode(texts).alias("ngram"))
+    if not df.groupBy(id_col).count().filter(f"count > 1 or `{id_col}` is null").isEmpty():
+        return ranked(exact(grams))
+    hashes = df.select(F.sort_array(F.transform(texts, lambda t: F.xxhash64(t))).alias("h"))
+    marked = hashes.select(F.explode(F.transform("h", lambda h, i: F.struct(h.alias("h"), ((i == 0) | (F.get("h", i - 1) != h)).alias("new")))).alias("m"))
+    counts = settled(marked.groupBy("m.h").agg(F.count("*").alias("n_total"), F.count_if("m.new").alias("n_seqs")).filter(F.col("n_seqs") >= least))
+    low = None
+    while True:
+        order = counts.orderBy(F.desc("n_seqs"), F.desc("n_total")).limit(top).collect()  # ``top`` rows
+        bound = low or ((order[-1].n_seqs, order[-1].n_total) if len(order) == top else (least, 0))
+        held = counts.filter((F.col("n_seqs") > bound[0]) | ((F.col("n_seqs") == bound[0]) & (F.col("n_total") >= bound[1]))).select("h")
+        held = held.hint("broadcast" if held.limit(NGRAM_BOUND + 1).count() <= NGRAM_BOUND else "merge")
+        out = settled(ranked(exact(grams.withColumn("h", F.xxhash64("ngram")).join(held, "h", "left_semi"))))
+        found = out.collect()  # ``top`` rows
+        last = min(((r.n_seqs, r.n_total) for r in found), default=(least, 0)) if len(found) == top else (least, 0)
+        if len(order) < top or last >= bound:
+            return ranked(out)
+        low = last  # two texts share a hash
 
 
 def repeat_structure(df: DataFrame, by: list[str], item: str, order: str, least: int = 2) -> DataFrame:
