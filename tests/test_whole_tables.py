@@ -2,9 +2,11 @@
 
 import math
 import os
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from structlab import plans
 from structlab.operators import spatial
@@ -85,6 +87,27 @@ def test_collinear_triples_in_blocks(spark, stretched):
         assert [r[3] for r in got] == pytest.approx([r[3] for r in want], rel=1e-9)
 
 
+def test_collinear_triples_on_a_tolerance(spark):
+    """Deviations that lie on a tolerance to the last bits are judged in degrees, as the plain version does."""
+    places = [(10.0, 20.0 + 3 * k) if k % 3 else (-40.0 + 4 * k, 20.0) for k in range(24)]
+    rows = spark.createDataFrame([(k, 0, la, lo) for k, (la, lo) in enumerate(places)], "id long, g int, lat double, lon double")
+    key = lambda df: sorted(df.select("tol", "n_triples", "mean_dev").collect())
+    devs = [1e-9, 0.25, 5.0, 60.0, 90.0]
+    want, got = key(spatial.collinear_triples(rows, "id", "lat", "lon", devs, ["g"])), key(spatial.collinear_triples_whole(rows, "id", "lat", "lon", devs, ["g"], 7, 40))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and 0 < want[0][1] < want[2][1] < want[4][1] == 24 * 23 * 22 // 6
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-7)
+
+
+def test_collinear_triples_of_a_large_group(spark):
+    """562 million triples of one group: each once, and a few nanoseconds apiece (the whole took about half a minute before)."""
+    rows = spark.range(1500).select("id", F.lit(0).alias("g"), (F.rand(1) * 120 - 60).alias("lat"), (F.rand(2) * 360 - 180).alias("lon"))
+    spatial.collinear_triples_whole(rows.limit(3), "id", "lat", "lon", [180.0], ["g"]).collect()
+    began = time.perf_counter()
+    (row,) = spatial.collinear_triples_whole(rows, "id", "lat", "lon", [180.0], ["g"]).collect()
+    assert row.n_triples == 1500 * 1499 * 1498 // 6
+    assert time.perf_counter() - began < 20
+
+
 def test_sky_nearest_finds_lone_points(spark, stretched):
     rows = space.sites(spark, stretched[0])
     nn = lambda t: {r.id: r.nn for r in spatial.sky_nearest(rows, "id", "lon", "lat", t, ["nation"]).collect()}
