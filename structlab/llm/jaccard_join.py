@@ -27,6 +27,8 @@ CELLS, SLICES = 1 << 20, 64
 ID_BOUND = 1_000_000
 #: Ranges of hashes that a row's n-grams are counted in.
 RANGES = 32
+#: Words of 64 bits that hold, per bit, whether a row has an odd number of n-grams with that hash.
+WORDS = 8
 #: Prefix n-grams that two linked rows are made to share (fewer in rows too small for that), and the earlier ones of a row
 #: by which a block can tell that other blocks have given enough of these already.
 SHARED, EARLIER = 4, 6
@@ -104,12 +106,13 @@ def load_classes(scanned: DataFrame, rows: int) -> np.ndarray:
 
 
 def row_prefixes(df: DataFrame, n: int, percent: int, load: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, size, grams, ranges): the first size - o + s n-grams of each row, with o = ceil(percent * size / 100) the
+    """(row_id, size, grams, ranges, bits): the first size - o + s n-grams of each row, with o = ceil(percent * size / 100) the
     least overlap of a link and s = min(SHARED, o).
 
     Two linked rows share at least the smaller s of these, whatever the common order is.  ``ranges`` counts all
     n-grams of the row by their hash's range, as bytes above or below size / RANGES (null if one is too large for it):
-    an overlap is at most the sum of the smaller counts.
+    an overlap is at most the sum of the smaller counts.  ``bits`` are the parities of how many n-grams fall on each of
+    64 * WORDS bits: where two rows differ in one, an n-gram is in one row only.
     """
     id_type = df.select(id_col).schema[0].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(load)
@@ -133,10 +136,15 @@ def row_prefixes(df: DataFrame, n: int, percent: int, load: np.ndarray, id_col:
                 fits = np.abs(table).max(1, initial=0) < 1 << 7
                 ends = pa.array(np.concatenate(([0], np.cumsum(np.where(fits, RANGES, 0)))), pa.int32())
                 ranges = pa.ListArray.from_arrays(ends, pa.array(table[fits].ravel().astype(np.int8)), mask=pa.array(~fits))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), grams, ranges], names=["row_id", "size", "grams", "ranges"])
+                spot = row * (64 * WORDS) + ((value >> np.uint64(32)) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+                odd = (np.bincount(spot, minlength=(high - low) * 64 * WORDS) & 1).astype(np.uint8).reshape(high - low, 64 * WORDS)
+                words = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+                bits = pa.StructArray.from_arrays([pa.array(words[:, k].copy()) for k in range(WORDS)], names=[f"w{k}" for k in range(WORDS)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size), grams, ranges, bits], names=["row_id", "size", "grams", "ranges", "bits"])
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(scan, f"row_id {id_type}, size long, grams array<long>, ranges array<byte>")
+    words = ", ".join(f"w{k}: long" for k in range(WORDS))
+    return rows.mapInArrow(scan, f"row_id {id_type}, size long, grams array<long>, ranges array<byte>, bits struct<{words}>")
 
 
 def full_sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -179,8 +187,10 @@ class JaccardJoin:
        the ``EARLIER`` ones before it; so pairs that share many columns are
        made a few times, and still reach the count that a link needs.
     4. Pairs are dropped by bounds that their sizes give: sizes too unlike,
-       too few n-grams that can follow, or by the smaller counts per range of
-       hashes; then by the overlap of both prefixes and what can follow it.
+       too few n-grams that can follow, too many n-grams that only one row has
+       by the parities of hashes, or by the smaller counts per range of
+       hashes; pairs with pivots also by the overlap of both prefixes and
+       what can follow it.
        The rest get the full product of their two rows.
 
     ``links`` holds what ``run`` verifies: a subset of the links between
@@ -221,8 +231,8 @@ class JaccardJoin:
         links = work.save(self.verify(tested), "star_links")
         found = work.save(connected_components(links, work), "star_components")
         counted = self.counted(self.across(entries, found)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        across = work.save(self.likely_by_prefix(counted), "across")
-        work.drop("heads", "stars", "rows", "split", "pairs", "wanted")
+        across = work.save(counted, "across")
+        work.drop("heads", "stars", "rows", "split")
         work.release()
         more = work.save(self.verify(across), "more_links")
         edges = links.unionByName(more)
@@ -237,7 +247,7 @@ class JaccardJoin:
         return least.select("row_id", "size", component.alias("component"))
 
     def shared_entries(self) -> DataFrame:
-        """(gram, row_id, size, pos, band, before, earlier, ranges): prefix n-grams that another row of like size has too.
+        """(gram, row_id, size, pos, band, before, earlier, ranges, bits): prefix n-grams that another row of like size has too.
 
         Linked rows are of the same band of sizes or of neighbouring ones; an n-gram's bands are bits of a number
         (bands 64 apart share a bit, and where a band may have three rows all bands count: both keep more, never less).
@@ -259,7 +269,7 @@ class JaccardJoin:
         entries = entries.withColumn("earlier", F.collect_list("gram").over(in_order.rowsBetween(-EARLIER, -1)))
         least = F.expr(f"({percent} * size + 99) div 100")
         entries = entries.filter(F.col("before") + F.col("size") - F.col("pos") >= least)
-        return entries.join(self.heads.select("row_id", "ranges"), "row_id")
+        return entries.join(self.heads.select("row_id", "ranges", "bits"), "row_id")
 
     def stars(self, entries: DataFrame) -> DataFrame:
         """(a, b, size_a, size_b): pairs of each row with the pivots of its blocks, unless bounds rule them out."""
@@ -277,6 +287,11 @@ class JaccardJoin:
         rest = F.least("before_a", "before_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
         return _sizes_fit(self.percent, "size_a", "size_b") & (rest >= _need(self.percent, "size_a", "size_b"))
 
+    def bits_fit(self) -> Column:
+        """Whether the bits in which rows _a and _b differ leave room for a link: each shows an n-gram that only one of them has."""
+        apart = sum((F.bit_count(F.col("bits_a")[f"w{k}"].bitwiseXOR(F.col("bits_b")[f"w{k}"])) for k in range(WORDS)), F.lit(0))
+        return apart <= F.col("size_a") + F.col("size_b") - 2 * _need(self.percent, "size_a", "size_b")
+
     def ranges_fit(self) -> Column:
         """Whether the smaller counts per range of hashes leave room for a link."""
         base = [F.floor(F.col(f"size_{k}") / RANGES).cast("int") for k in "ab"]
@@ -290,10 +305,10 @@ class JaccardJoin:
         return made.filter(F.col("n") >= enough).drop("n")
 
     def by_ranges(self, pairs: DataFrame) -> DataFrame:
-        pairs, ranges = self.work.save(pairs, "star_pairs"), self.heads.select("row_id", "ranges")
+        pairs, ranges = self.work.save(pairs, "star_pairs"), self.heads.select("row_id", "ranges", "bits")
         for k in "ab":
-            pairs = pairs.join(ranges.select(F.col("row_id").alias(k), F.col("ranges").alias(f"ranges_{k}")), k)
-        return pairs.filter(self.ranges_fit()).select("a", "b", "size_a", "size_b")
+            pairs = pairs.join(ranges.select(F.col("row_id").alias(k), F.col("ranges").alias(f"ranges_{k}"), F.col("bits").alias(f"bits_{k}")), k)
+        return pairs.filter(self.bits_fit() & self.ranges_fit()).select("a", "b", "size_a", "size_b")
 
     def likely_by_prefix(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose prefixes overlap enough: the common n-grams of both, and all that can follow the last of them."""
@@ -351,13 +366,13 @@ class JaccardJoin:
         split = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         split = self.work.save(split.filter("low <> high").select("gram"), "split")
         rows = rows.join(split, "gram", "left_semi")
-        columns = ["row_id", "size", "pos", "before", "earlier", "component", "ranges"]
+        columns = ["row_id", "size", "pos", "before", "earlier", "component", "ranges", "bits"]
         rows = self.work.save(rows.select("gram", *columns), "rows")
         a = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in columns])
         b = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in columns])
         seen = F.size(F.array_intersect("earlier_a", "earlier_b"))
         pairs = a.join(b, "gram").filter(
-            (F.col("row_id_a") < F.col("row_id_b")) & (F.col("component_a") != F.col("component_b")) & self.fits() & self.ranges_fit() & (seen < SHARED)
+            (F.col("row_id_a") < F.col("row_id_b")) & (F.col("component_a") != F.col("component_b")) & self.fits() & self.bits_fit() & self.ranges_fit() & (seen < SHARED)
         )
         return pairs.select(F.col("row_id_a").alias("a"), F.col("row_id_b").alias("b"), "size_a", "size_b")
 

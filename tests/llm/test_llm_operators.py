@@ -412,6 +412,30 @@ def test_jaccard_of_a_family(spark):
     assert made.count() < 3 * max(1, made.distinct().count()) + 5 * len(sets)
 
 
+def test_jaccard_refutes_near_misses_by_bits(spark):
+    """Copies of one text that lie just beyond the limit are told apart by the bits of their n-grams, not by comparing each pair whole."""
+    import random
+
+    from structlab.llm.jaccard_join import JaccardJoin
+
+    rng, base = random.Random(7), [f"w{k}" for k in range(150)]
+    texts = []
+    for d in range(240):
+        words = list(base)
+        for at in rng.sample(range(3, 147), 3):
+            words[at] = f"x{d}-{at}"
+        texts.append((d, " ".join(words)))
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(146)} for _, t in texts]
+    links = {(a, b) for a in range(240) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    low = list(range(240))
+    for _ in range(240):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    join = JaccardJoin(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80)
+    assert {r.row_id: r.component for r in join.run().collect()} == dict(enumerate(low))
+    assert spark.read.parquet(join.work.paths["across"]).count() < 600 + len(links)
+
+
 def test_jaccard_link_counts(docs, rows):
     def shingles(t):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
