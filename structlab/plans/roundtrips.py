@@ -1,7 +1,7 @@
 """Readers over files that are written from the tables first: what comes back is held against the tables themselves.
 
-Each file holds a bounded number of rows (a hundred keys), so files grow in
-number, not in size.
+Each file holds a bounded number of rows (a hundred keys a bucket, a fixed
+number of buckets), so files grow in number, not in size.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from structlab.plans.registry import query, r6, shared_dir, sql_uniform, table
 from structlab.sources import readers
 
-#: Keys per file.
-PER_FILE = 100
+#: Keys per bucket (a document, where a format has such), and buckets per file.
+PER_FILE, BUCKETS = 100, 64
 
 
 def bucket(key: str) -> Column:
@@ -21,11 +21,12 @@ def bucket(key: str) -> Column:
 
 
 def put(df: DataFrame, name: str) -> str:
-    """One text file per bucket from rows (bucket, value), in a new shared folder; a bucket has one row, or its lines in order of ``place``."""
-    path = shared_dir(df.sparkSession, name)
-    if "place" in df.columns:
-        df = df.groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n").alias("value"))
-    df.repartition("bucket").write.partitionBy("bucket").text(path)
+    """Text files from rows (bucket, value) in a new shared folder, each of ``BUCKETS`` buckets: their lines in order of ``place``, or an array of their JSON documents."""
+    path, lines = shared_dir(df.sparkSession, name), "place" in df.columns
+    parts = F.struct("bucket", *(["place"] if lines else []), "value")
+    files = df.groupBy(F.expr(f"bucket div {BUCKETS}").alias("file")).agg(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["value"]).alias("v"))
+    value = F.array_join("v", "\n") if lines else F.concat(F.lit("["), F.array_join("v", ",\n"), F.lit("]"))
+    files.select("file", value.alias("value")).repartition("file").write.partitionBy("file").text(path)
     return path
 
 

@@ -306,3 +306,22 @@ def test_deduplicated_stream_leaves_no_rows_in_memory(spark):
     n = plans.QUERIES["stream_deduplicated"](spark, path).agg(F.sum("n")).first()[0]
     assert n == spark.read.parquet(f"{path}/events.parquet").select("event_id").distinct().count()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("dedup_")]
+
+
+def test_files_hold_many_buckets(spark):
+    """A file holds a fixed number of buckets, in order: 200 buckets of lines or documents take four files."""
+    import glob
+
+    from structlab.plans import roundtrips
+
+    rows = spark.range(20_000).select(roundtrips.bucket("id"), F.col("id").alias("place"), F.concat_ws("\t", F.lit("c"), "id", F.col("id") + 1, F.lit("utr")).alias("value"))
+    path = roundtrips.put(rows, "lines")
+    assert len(glob.glob(f"{path}/file=*/*.txt")) == 4
+    got = readers.bed4(spark, path)
+    assert got.count() == got.select("start").distinct().count() == 20_000
+    first = spark.read.text(path, wholetext=True).filter("file = 1").first().value.splitlines()
+    assert [int(r.split("\t")[1]) for r in first] == list(range(6400, 12800))
+    docs = spark.range(200).select(F.col("id").alias("bucket"), F.to_json(F.struct(F.array(F.array(F.col("id").cast("string"))).alias("words"))).alias("value"))
+    path = roundtrips.put(docs, "docs")
+    assert len(glob.glob(f"{path}/file=*/*.txt")) == 4
+    assert sorted(int(r.token) for r in readers.word_lists(spark, path).collect()) == list(range(200))
