@@ -108,6 +108,22 @@ def test_collinear_triples_of_a_large_group(spark):
     assert time.perf_counter() - began < 20
 
 
+def test_embedding_nn_in_blocks_of_queries(spark, monkeypatch):
+    """However large the table is, queries are broadcast, in blocks; none is lost and no product is shuffled."""
+    from structlab.plans import relational
+
+    want = sorted(plans.QUERIES["embedding_nn"](spark, SF).collect())
+    monkeypatch.setattr(relational, "QUERY_BLOCK", 2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = plans.QUERIES["embedding_nn"](spark, SF)
+        assert "CartesianProduct" not in df._jdf.queryExecution().toString()
+        assert sorted(df.collect()) == want and len(want) > 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_sky_nearest_finds_lone_points(spark, stretched):
     rows = space.sites(spark, stretched[0])
     nn = lambda t: {r.id: r.nn for r in spatial.sky_nearest(rows, "id", "lon", "lat", t, ["nation"]).collect()}
