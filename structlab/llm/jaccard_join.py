@@ -178,7 +178,7 @@ class JaccardJoin:
 
     1. Every text is read whole; equal sets collapse into classes by size and
        a 128-bit signature.  Only one document of each class goes on.
-    2. The product over prefix columns is first taken against one pivot row
+    2. The product over prefix columns is first taken against one central row
        per block (an n-gram and a band of sizes): as many pairs as entries.
     3. Blocks that still hold several components get the product of all their
        rows across components: no link between components is lost, and a
@@ -272,14 +272,20 @@ class JaccardJoin:
         return entries.join(self.heads.select("row_id", "ranges", "bits"), "row_id")
 
     def stars(self, entries: DataFrame) -> DataFrame:
-        """(a, b, size_a, size_b): pairs of each row with the pivots of its blocks, unless bounds rule them out."""
+        """(a, b, size_a, size_b): pairs of each row with the pivots of its blocks, unless bounds rule them out.
+
+        The pivot is the row with the fewest n-grams of its own before the block's: of many near copies the one that is
+        changed least, which links most others.  Its id only decides between equal ones.
+        """
         columns = ["row_id", "size", "pos", "before"]
-        pivots = entries.groupBy("gram", "band").agg(F.min(F.struct(*columns)).alias("p"), F.count("*").alias("n"))
+        own = (F.col("pos") - F.col("before")).alias("own")
+        pivots = entries.groupBy("gram", "band").agg(F.min(F.struct(own, *columns)).alias("p"), F.count("*").alias("n"))
         pivots = pivots.filter("n > 1").select("gram", "band", *[F.col(f"p.{c}").alias(f"{c}_b") for c in columns])
         rows = entries.select("gram", "band", *[F.col(c).alias(f"{c}_a") for c in columns])
-        # The pivot has the smallest id of its block.
-        pairs = rows.join(pivots, ["gram", "band"]).filter((F.col("row_id_b") < F.col("row_id_a")) & self.fits())
-        pairs = pairs.select(F.col("row_id_b").alias("a"), F.col("row_id_a").alias("b"), F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b"))
+        pairs = rows.join(pivots, ["gram", "band"]).filter((F.col("row_id_b") != F.col("row_id_a")) & self.fits())
+        ordered = F.col("row_id_a") < F.col("row_id_b")
+        size = [F.when(ordered, F.col(f"size_{x}")).otherwise(F.col(f"size_{y}")).alias(f"size_{x}") for x, y in ("ab", "ba")]
+        pairs = pairs.select(F.least("row_id_a", "row_id_b").alias("a"), F.greatest("row_id_a", "row_id_b").alias("b"), *size)
         return pairs.distinct()
 
     def fits(self) -> Column:
