@@ -28,8 +28,8 @@ from structlab.shared import settled
 TOLERANCES = (5.0, 8.0, 10.0, 15.0, 20.0, 30.0, 50.0)
 #: Least spread of a healthy null, in square roots of its mean, where none is calibrated.
 SPREAD_FLOOR = 2.0
-#: Distinct positions that a tile holds, in expectation.
-TILE_VALUES = 4096
+#: Least and most distinct positions that a tile holds, in expectation, and the tiles that a group is cut into between these.
+TILE_LEAST, TILE_MOST, TILES = 4096, 65536, 8
 
 
 def bands(tolerance: float, span: float) -> list[tuple[float, float]]:
@@ -45,13 +45,16 @@ def bands(tolerance: float, span: float) -> list[tuple[float, float]]:
     return out
 
 
-def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float, bool]], tile_values: int = TILE_VALUES, zones: list[tuple[int, int]] = (), judge: Callable | None = None, value: str | None = None) -> DataFrame:
+def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float, bool]], tile_values: int | None = None, zones: list[tuple[int, int]] = (), judge: Callable | None = None, value: str | None = None) -> DataFrame:
     """(by, end, n_pairs): unordered pairs of rows of a group at least ``ends[end]`` apart (more than that where the flag is set).
 
     Equal positions combine before the shuffle, so a position with many rows is
     one number with a weight.  ``zones`` are pairs of ends so close together that
     few pairs lie between them: those are looked at one by one and counted under
     the number ``judge(a, b)`` of their ``value`` instead of an end's.
+
+    Tiles grow with the largest group up to a bound, so that up to TILES * TILE_MOST
+    positions each is sent to at most TILES others, however many positions there are.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     weighted = settled(df.groupBy(*by, F.col(y).alias("__y")).agg(F.count("*").alias("__w"), F.min(value or y).cast("double").alias("__x")))
@@ -59,29 +62,34 @@ def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float,
     most = weighted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if not most:
         return df.sparkSession.createDataFrame([], ", ".join(filter(None, [kinds, "end int, n_pairs long"])))
-    tiles = -(-most // tile_values)
+    tiles = -(-most // (tile_values or min(max(TILE_LEAST, -(-most // TILES)), TILE_MOST)))
     width = (high - low) / tiles or 1.0
     place = F.least(F.floor((F.col("__y") - low) / width).cast("int"), F.lit(tiles - 1))
     tiled = weighted.groupBy(*by, place.alias("__tile")).agg(F.array_sort(F.collect_list(F.struct("__y", "__w", "__x"))).alias("__v"), F.sum("__w").alias("__n"))
-    tiled = settled(tiled.select(*by, "__tile", *[F.col(f"__v.{c}").alias(c) for c in ("__y", "__w", "__x")], "__n"))
+    fields = ["__y", "__w", *(["__x"] if zones else [])]
+    tiled = settled(tiled.select(*by, "__tile", *[F.col(f"__v.{c}").alias(c) for c in fields], "__n"))
     cut, strict = np.array([e for e, _ in ends]), np.array([s for _, s in ends])
     first = np.floor(cut / width).astype(int)
 
     # Pairs of tiles that an end falls between meet; their distance in tiles is one of a few numbers.
     near = sorted({int(d) for f in first for d in (f - 1, f, f + 1) if 0 <= d < tiles})
-    lower = tiled.select(*by, F.col("__tile").alias("__at"), F.col("__y").alias("__y2"), F.col("__w").alias("__w2"), F.col("__x").alias("__x2"))
-    upper = tiled.select(*by, "__y", "__w", "__x", "__tile", F.explode(F.array(*[F.lit(d) for d in near])).alias("__d")) if near else None
+    lower = tiled.select(*by, F.col("__tile").alias("__at"), *[F.col(c).alias(f"{c}2") for c in fields])
+    upper = tiled.select(*by, *fields, "__tile", F.explode(F.array(*[F.lit(d) for d in near])).alias("__d")) if near else None
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                a, wa, xa, b, wb, xb = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("__y", "__w", "__x", "__y2", "__w2", "__x2"))
+                (a, wa, *xa), (b, wb, *xb) = ([batch.column(f"{c}{k}")[r].values.to_numpy(zero_copy_only=False) for c in fields] for k in ("", "2"))
                 close = np.abs(first - batch.column("__d")[r].as_py()) <= 1
                 mine = np.flatnonzero(close)
-                below = np.concatenate(([0], np.cumsum(wb)))
+                below, before = (np.concatenate(([0], np.cumsum(w))) for w in (wb, wa))
                 count = np.empty(len(mine), np.int64)
                 for k, e in enumerate(mine):
-                    count[k] = wa @ below[np.searchsorted(b, a - cut[e], "left" if strict[e] else "right")]
+                    # Only what falls between the first and the last position below is looked up.
+                    at = a - cut[e]
+                    low, high = np.searchsorted(at, b[0], "left"), np.searchsorted(at, b[-1], "right")
+                    inside = below[np.searchsorted(b, at[low:high], "left" if strict[e] else "right")]
+                    count[k] = wa[low:high] @ inside + (before[-1] - before[high]) * below[-1]
                 judged: dict[int, int] = {}
                 for near_end, far_end in zones:
                     if not (close[near_end] or close[far_end]):
@@ -89,7 +97,7 @@ def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float,
                     low, high = (np.searchsorted(b, a - cut[e], "left" if strict[e] else "right") for e in (far_end, near_end))
                     for i in np.flatnonzero(high > low):
                         for j in range(low[i], high[i]):
-                            label = judge(float(xa[i]), float(xb[j]))
+                            label = judge(float(xa[0][i]), float(xb[0][j]))
                             judged[label] = judged.get(label, 0) + int(wa[i]) * int(wb[j])
                 numbers, found = [*mine.tolist(), *judged], [*count.tolist(), *judged.values()]
                 groups = [batch.column(c).take(pa.array([r] * len(numbers))) for c in by]
@@ -114,12 +122,12 @@ def distant_pairs(df: DataFrame, by: list[str], y: str, ends: list[tuple[float,
     if upper is not None:
         every = [int(k) for k in np.flatnonzero(cut <= 0)]
         both = upper.withColumn("__at", F.col("__tile") - F.col("__d")).filter("__at >= 0").join(lower, [*by, "__at"])
-        met = both.repartition(*by, "__tile", "__d").mapInArrow(meet, schema)
+        met = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "__tile", "__d").mapInArrow(meet, schema)
         out = out.unionByName(met.filter(~F.col("end").isin(every)) if every else met)
     return out.groupBy(*by, "end").agg(F.sum("n_pairs").alias("n_pairs"))
 
 
-def note_hits(df: DataFrame, by: list[str], y: str, tolerances=TOLERANCES, tile_values: int = TILE_VALUES) -> DataFrame:
+def note_hits(df: DataFrame, by: list[str], y: str, tolerances=TOLERANCES, tile_values: int | None = None) -> DataFrame:
     """(by, tol, n_hits): pairs of rows of a group whose values 2^y have a ratio within each tolerance of a note."""
     low, high = df.agg(F.min(y), F.max(y)).first()
     span = (high - low) if low is not None else 0.0
@@ -156,7 +164,7 @@ def spread(values: Column, mean: Column) -> Column:
 
 
 def tolerance_sweep(
-    df: DataFrame, id_col: str, value: str, known: DataFrame, seed: str, n_trials: int = 50, tolerances=TOLERANCES, n_bootstraps: int = 20, multiplier: int = 4, tile_values: int = TILE_VALUES
+    df: DataFrame, id_col: str, value: str, known: DataFrame, seed: str, n_trials: int = 50, tolerances=TOLERANCES, n_bootstraps: int = 20, multiplier: int = 4, tile_values: int | None = None
 ) -> DataFrame:
     """One row per tolerance: hits of all pairs and of those not in ``known`` (pairs a, b of ids), against two nulls.
 

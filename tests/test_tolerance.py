@@ -85,3 +85,12 @@ def test_note_shares_judge_octaves_as_the_arithmetic_does(spark):
             want[DIATONIC[k][0]][1] += round(min(offs), 4) <= 20
     assert just_below > 5
     assert got == {n: tuple(v) for n, v in want.items()}
+
+
+def test_tiles_grow_with_a_group_instead_of_in_number(spark, monkeypatch):
+    df = spark.range(70_000).select(F.lit(0).alias("g"), (F.rand(4) * 5).alias("y")).localCheckpoint()
+    written, settled = [], tolerance.settled
+    monkeypatch.setattr(tolerance, "settled", lambda rows: written.append(out := settled(rows)) or out)
+    got = sorted(tolerance.note_hits(df, ["g"], "y", (5.0, 20.0)).collect())
+    assert max(w.count() for w in written if "__tile" in w.columns) <= 8
+    assert got == sorted(tolerance.note_hits(df, ["g"], "y", (5.0, 20.0), 4096).collect())
