@@ -144,3 +144,20 @@ def test_lz76_reads_whole_texts(spark, stretched):
     got = {r.item_id: r.n_phrases for r in plans.QUERIES["lz76_bits"](spark, root).collect()}
     texts = con.execute("SELECT item_id, text FROM benchmark").fetchall()
     assert got == {k: phrases("".join(format(ord(c) & 255, "08b") for c in t)) for k, t in texts}
+
+
+def test_scrambled_beam_null_adds_in_order(spark, tmp_path):
+    """Samples dealt in order, or reversed, tie but for the last bits: rows are those of the SQL, added in one thread."""
+    import duckdb
+
+    base = [346, 421, 478, 760, 1218]  # users with such ties among their copies
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").filter(space.F.col("user_id").isin(base))
+    copies = events.withColumn("k", space.F.explode(space.F.sequence(space.F.lit(0), space.F.lit(59))))
+    copies = copies.withColumn("user_id", space.F.expr("user_id + 1500 * k")).withColumn("event_id", space.F.expr("event_id + 100000 * k")).drop("k")
+    copies.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(plans.ORACLES["scrambled_beam_null"]).fetchall())
+    got = sorted(tuple(r) for r in plans.QUERIES["scrambled_beam_null"](spark, str(tmp_path)).collect())
+    assert len(want) == 300 and got == want
