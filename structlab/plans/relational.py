@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structlab.functions import dates
-from structlab.operators import fit, joins
+from structlab.operators import fit, joins, vectors
 from structlab.plans.registry import checkpoints, query, r6, shared_dir, table
 from structlab.shared import settled
 
@@ -102,13 +99,9 @@ def embedding_nn(spark, sf_dir):
     q = settled(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u")))
     rows = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v"))
     rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
-    blocks = -(-q.count() // QUERY_BLOCK) or 1
-    of = F.pmod(F.xxhash64("a"), F.lit(blocks))
-    each = [rows.join(F.broadcast(q.filter(of == k)), F.col("a") != F.col("b")) for k in range(blocks)]  # about QUERY_BLOCK vectors
-    pairs = reduce(DataFrame.unionByName, each)
-    d2 = F.aggregate(F.zip_with("u", "v", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-    best = F.min(F.struct(d2.alias("d2"), "b"))
-    return pairs.groupBy(F.col("a").alias("vec_id")).agg(best.alias("m")).select("vec_id", F.col("m.b").alias("nearest"), r6(F.sqrt("m.d2"), 5).alias("distance"))
+    blocks = -(-q.count() // QUERY_BLOCK) or 1  # of about QUERY_BLOCK vectors
+    best = vectors.nearest_vectors(q, rows, blocks)
+    return best.select(F.col("a").alias("vec_id"), F.col("b").alias("nearest"), r6(F.sqrt("d2"), 5).alias("distance"))
 
 
 @query("""

@@ -161,3 +161,20 @@ def test_scrambled_beam_null_adds_in_order(spark, tmp_path):
     want = sorted(con.execute(plans.ORACLES["scrambled_beam_null"]).fetchall())
     got = sorted(tuple(r) for r in plans.QUERIES["scrambled_beam_null"](spark, str(tmp_path)).collect())
     assert len(want) == 300 and got == want
+
+
+def test_embedding_nn_makes_no_row_per_pair(spark, tmp_path):
+    """Rows reach the aggregate as a task's best of each query; odd vectors (gaps, NaN, NULL, other lengths) count as in the SQL."""
+    import duckdb
+
+    nan = float("nan")
+    vectors = [[float((k * 7 + c * 13) % 11) - (k % 3) * 0.1 for c in range(8)] for k in range(3000)]
+    odd = {5: None, 6: [], 7: [1.0], 8: [None] * 8, 9: [nan] * 8, 10: [float("inf")] * 8, 11: [3.0, None, 2.5], 100: None, 200: [1.0, None], 300: [nan] * 8, 400: vectors[401], 402: vectors[401], 500: [2.0] * 9}
+    rows = [(k, odd.get(k, v)) for k, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = plans.QUERIES["embedding_nn"](spark, str(tmp_path))
+    assert "NestedLoopJoin" not in df._jdf.queryExecution().toString()
+    want, got = (sorted(map(str, map(tuple, r))) for r in (con.execute(plans.ORACLES["embedding_nn"]).fetchall(), df.collect()))
+    assert len(want) == 30 and got == want
