@@ -178,3 +178,18 @@ def test_embedding_nn_makes_no_row_per_pair(spark, tmp_path):
     assert "NestedLoopJoin" not in df._jdf.queryExecution().toString()
     want, got = (sorted(map(str, map(tuple, r))) for r in (con.execute(plans.ORACLES["embedding_nn"]).fetchall(), df.collect()))
     assert len(want) == 30 and got == want
+
+
+def test_configuration_null_keeps_no_random_graph(spark, monkeypatch):
+    """Graphs that are made one after another are those made at once, and of each only its row stays on the disk."""
+    from structlab import shared
+    from structlab.plans import nullmodels
+
+    before = set(shared._SETTLED)
+    run = lambda: sorted(tuple(r[c] for c in ("trial", "n_edges", "n_loops", "n_repeats", "n_degrees_moved", "degree_products")) for r in plans.QUERIES["configuration_null"](spark, SF).collect())
+    at_once = run()
+    left = [spark.read.parquet(p).count() for p in shared._SETTLED if p not in before]
+    n_edges = at_once[0][1]
+    assert sum(n >= n_edges for n in left) == 1 and len(left) <= 4, left
+    monkeypatch.setattr(nullmodels, "TOGETHER", 1)
+    assert run() == at_once and [r[0] for r in at_once] == [-1, 0, 1, 2]
